@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profiling"]
+MODULES = ["cleaning", "detection"]
 
 
 def all_queries() -> dict:
