@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning", "detection"]
+MODULES = ["aggregation", "scoring"]
 
 
 def all_queries() -> dict:

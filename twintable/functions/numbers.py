@@ -91,43 +91,60 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, F.lit(1.0) - upper).otherwise(upper)
 
 
-def gamma_cdf(x: Column, shape: float, scale: float) -> Column:
-    """Regularized lower incomplete gamma function; Spark has none, so an Arrow batch function."""
-    log_gamma = math.lgamma(shape)
+def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
+    """Regularized lower incomplete gamma function; Spark has none, so an Arrow batch function.
+
+    NULL where value or parameters are missing.
+    """
 
     @F.pandas_udf("double")
-    def evaluate(values: pd.Series) -> pd.Series:
-        z = np.maximum(values.to_numpy(dtype=float), 0.0) / scale
-        out = np.zeros_like(z)
-        low = (z > 0) & (z < shape + 1.0)
-        high = z >= shape + 1.0
+    def evaluate(values: pd.Series, shapes: pd.Series, scales: pd.Series) -> pd.Series:
+        a = shapes.to_numpy(dtype=float)
+        z = np.maximum(values.to_numpy(dtype=float), 0.0) / scales.to_numpy(dtype=float)
+        out = np.full(len(z), np.nan)
+        known = ~(np.isnan(a) | np.isnan(z))
+        logs = {s: math.lgamma(s) for s in np.unique(a[known])}
+        log_gamma = np.array([logs.get(s, np.nan) for s in a])
+        out[known & (z == 0)] = 0.0
+        low = known & (z > 0) & (z < a + 1.0)
+        high = known & (z >= a + 1.0)
         with np.errstate(all="ignore"):
             if low.any():
-                s = z[low]
-                term = np.full_like(s, 1.0 / shape)
-                total = term.copy()
-                for n in range(1, 2000):
-                    term = term * s / (shape + n)
-                    total += term
-                    if (term < total * 1e-16).all():
-                        break
-                out[low] = total * np.exp(-s + shape * np.log(s) - log_gamma)
+                out[low] = _gamma_series(z[low], a[low], log_gamma[low])
             if high.any():
-                s = z[high]
-                b = s + 1.0 - shape
-                c = np.full_like(s, 1e300)
-                d = 1.0 / b
-                h = d.copy()
-                for n in range(1, 2000):
-                    an = -n * (n - shape)
-                    b = b + 2.0
-                    d = 1.0 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
-                    c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
-                    step = d * c
-                    h = h * step
-                    if (np.abs(step - 1.0) < 1e-15).all():
-                        break
-                out[high] = 1.0 - h * np.exp(-s + shape * np.log(s) - log_gamma)
-        return pd.Series(out).where(values.notna().to_numpy())
-
-    return evaluate(x)
+                out[high] = 1.0 - _gamma_fraction(z[high], a[high], log_gamma[high])
+        return pd.Series(out).where(known)
+
+    return evaluate(x, shape, scale)
+
+
+def _gamma_series(z: np.ndarray, a: np.ndarray, log_gamma: np.ndarray) -> np.ndarray:
+    """Power series, quick below the mode."""
+    term = 1.0 / a
+    total = term.copy()
+    for n in range(1, 5000):
+        term = term * z / (a + n)
+        total = total + term
+        if (term < total * 1e-16).all():
+            break
+    return total * np.exp(-z + a * np.log(z) - log_gamma)
+
+
+def _gamma_fraction(z: np.ndarray, a: np.ndarray, log_gamma: np.ndarray) -> np.ndarray:
+    """Continued fraction of the upper tail, evaluated front to back."""
+    tiny = 1e-300
+    b = z + 1.0 - a
+    c = np.full_like(z, 1.0 / tiny)
+    d = 1.0 / b
+    h = d.copy()
+    for n in range(1, 5000):
+        an = -n * (n - a)
+        b = b + 2.0
+        d = an * d + b
+        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+        c = b + an / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        h = h * d * c
+        if (np.abs(d * c - 1.0) < 1e-15).all():
+            break
+    return h * np.exp(-z + a * np.log(z) - log_gamma)

@@ -9,7 +9,7 @@ the best edge are looked into, value by value, each bucket in its own window par
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -137,30 +137,39 @@ def _with_edges(counts: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 
 def one_sample_ks(
-    df: DataFrame, column: str, cdfs: dict[str, Callable[[Column], Column]]
+    df: DataFrame, columns: Sequence[str], parameters: DataFrame, cdfs: dict[str, Column]
 ) -> DataFrame:
-    """(family, n, ks): distance of a column from several distribution functions at once.
+    """(column, family, n, ks): distance of columns from several distribution functions at once.
 
-    The running counts are computed once and shared by all families.
+    ``parameters`` has one row per column; ``cdfs`` are expressions over ``value`` and the
+    parameter columns. The running counts are computed once and shared by all families.
     """
-    data = df.select(clean_number(df, column).alias("v0"))
-    rows = _bucketed(data, ["v0"], [])
+    names = [f"v{i}" for i in range(len(columns))]
+    data = df.select(*[clean_number(df, c).alias(v) for c, v in zip(columns, names)])
+    rows = _bucketed(data, names, [])
     edges = _with_edges(
         rows.groupBy("column", "bucket").agg(F.count("*").alias("obs")), ["obs"]
-    ).select("bucket", "obs_lo", "obs_n")
-    values = rows.groupBy("bucket", "value").agg(F.count("*").alias("obs")).join(
-        F.broadcast(edges), "bucket"
+    ).select("column", "bucket", "obs_lo", "obs_n")
+    # edges: at most MAX_BUCKETS rows per column; parameters: one
+    values = rows.groupBy("column", "bucket", "value").agg(F.count("*").alias("obs")).join(
+        F.broadcast(edges), ["column", "bucket"]
+    )
+    w = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0
     )
-    w = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("obs_lo") + F.sum("obs").over(w)
-    steps = values.select(
-        "value", "obs_n",
-        (upto / F.col("obs_n")).alias("f_at"),
-        ((upto - F.col("obs")) / F.col("obs_n")).alias("f_before"),
+    label = _labels(names, columns)
+    steps = (
+        values.select(
+            label[F.col("column")].alias("column"), "value", F.col("obs_n").alias("total_obs"),
+            (upto / F.col("obs_n")).alias("f_at"),
+            ((upto - F.col("obs")) / F.col("obs_n")).alias("f_before"),
+        )
+        .join(F.broadcast(parameters), "column")
+        .withColumns({f"cdf_{k}": c for k, c in cdfs.items()})
     )
-    steps = steps.withColumns({f"cdf_{k}": cdf(F.col("value")) for k, cdf in cdfs.items()})
-    wide = steps.agg(
-        F.first("obs_n").alias("n"),
+    wide = steps.groupBy("column").agg(
+        F.first("total_obs").alias("total_obs"),
         *[
             F.max(F.greatest(F.col("f_at") - F.col(f"cdf_{k}"), F.col(f"cdf_{k}") - F.col("f_before")))
             .alias(f"ks_{k}")
@@ -168,22 +177,8 @@ def one_sample_ks(
         ],
     )
     structs = [
-        F.struct(F.lit(k).alias("family"), F.col("n").alias("n"), F.col(f"ks_{k}").alias("ks"))
+        F.struct(F.lit(k).alias("family"), F.col("total_obs").alias("n"),
+                 F.col(f"ks_{k}").alias("ks"))
         for k in cdfs
     ]
-    return wide.select(F.inline(F.array(*structs)))
-
-
-def ks_p_value(ks: float, n_ref: int, n_syn: int) -> float:
-    """Asymptotic two-sided p-value (Kolmogorov distribution)."""
-    root = math.sqrt(n_ref * n_syn / (n_ref + n_syn))
-    x = root * ks
-    if x < 0.2:
-        return 1.0
-    if x < 1.18:
-        y = math.exp(-1.23370055013616983 / (x * x))
-        return 1.0 - 2.25675833419102515 * math.sqrt(-math.log(y)) * (
-            y + y**9 + y**25 + y**49
-        )
-    y = math.exp(-2.0 * x * x)
-    return max(0.0, min(1.0, 2.0 * (y - y**4 + y**9)))
+    return wide.select("column", F.inline(F.array(*structs)))
