@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["aggregation", "scoring"]
+MODULES = [
+    "scans", "profiling", "detection", "aggregation", "cleaning", "scoring", "fabrication",
+    "repairing", "domain",
+]
 
 
 def all_queries() -> dict:

@@ -11,6 +11,7 @@ from twintable.functions import text
 from twintable.functions.draw import Draws, integer_between, pick, pick_from, pick_weighted
 from twintable.operators.aggregates import deterministic_mode
 from twintable.operators.columns import find_column
+from twintable.operators.prefix import running_span
 from twintable.operators.sets import list_lookup
 from twintable.plans.fabricate import lookups
 
@@ -206,25 +207,26 @@ def profile_table(rows: DataFrame, seed: int, method: str = "md5") -> DataFrame:
 
 
 def make_unique(df: DataFrame, column: str, key: str = "row_id") -> DataFrame:
-    """Append a running number to repeated values of a text column; e-mails keep their domain.
+    """Mark repeated values of a text column by a running number; e-mails keep their domain.
 
-    The number is the position of the row among its equals. Positions come from a prefix sum
-    over hash buckets, so a value that repeats often is not one task's work.
+    The number is the position of the row among its equals and stands behind one dash more than
+    any value has at that place, so a marked value never meets another one. Positions come from
+    a prefix sum over hash buckets, so a value that repeats often is not one task's work.
     """
-    from twintable.operators.prefix import running_span
-
     value = F.col(f"`{column}`")
+    dashes = df.agg(
+        F.max(F.length(F.regexp_extract(value, r"(-*)\d*(@|$)", 1)))
+    ).first()[0] or 0
     spans = running_span(
-        df.select(F.col(column).alias("_value"), F.col(key).alias("_key"))
+        df.select(value.alias("_value"), F.col(key).alias("_key"))
         .filter(F.col("_value").isNotNull()).withColumn("_one", F.lit(1)),
         "_one", "_key", ["_value"],
     ).select(F.col("_key").alias(key), F.col("span_lo").alias("_nth"))
-    mark = F.col("_nth").cast("string")
+    mark = F.concat(F.lit("-" * (dashes + 1)), F.col("_nth").cast("string"))
     at = F.instr(value, "@")
     renamed = F.when(
-        at > 0,
-        F.concat(F.substr(value, F.lit(1), at - 1), mark, F.substr(value, at)),
-    ).otherwise(F.concat(value, F.lit(" "), mark))
+        at > 0, F.concat(F.substr(value, F.lit(1), at - 1), mark, F.substr(value, at))
+    ).otherwise(F.concat(value, mark))
     return df.join(spans, key, "left").withColumn(
         column, F.when(F.col("_nth") > 0, renamed).otherwise(value)
     ).select(*df.columns)

@@ -134,12 +134,12 @@ def repair_surnames(
 
 
 def repair(df: DataFrame, seed: int = 42, row_id: str = "row_id", method: str = "md5") -> DataFrame:
-    """All repairs, as expressions on one pass over the rows."""
+    """All repairs as expressions on one pass; e-mails last, when the names are settled."""
     out = repair_integers(df, row_id)
-    out = repair_emails(out, row_id)
     out = repair_cities(out, seed, row_id, method=method)
+    out = repair_surnames(out, seed, row_id, method=method)
     out = repair_genders(out)
-    return repair_surnames(out, seed, row_id, method=method)
+    return repair_emails(out, row_id)
 
 
 # ------------------------------------------------------------------- checks
