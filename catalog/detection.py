@@ -231,7 +231,7 @@ SELECT *, CASE data_type WHEN 'boolean' THEN 'numeric' WHEN 'categorical' THEN '
 
 
 def analyze_schema(spark, d):
-    out = infer.analyze_schema(_mixed(spark, d)).drop("all_integral")
+    out = infer.analyze_schema(_mixed(spark, d))
     return rounded(out, null_pct=6, avg_len=6, min=6, max=6, mean=5, std=5, skew=6)
 
 

@@ -15,16 +15,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twintable.operators.columns import small_copy
 from twintable.operators.quantiles import clean_number
 
 ROWS_PER_BUCKET = 200_000
 MIN_BUCKETS, MAX_BUCKETS = 16, 8192
+# Bucket counts of all columns together pass through the driver; this bounds their number.
+MAX_COUNTS = 200_000
 
 
 def _cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
     """Sketch quantiles per column, as many as the row count asks for (bounded)."""
     rows = df.count()
-    n = max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
+    most = min(MAX_BUCKETS, MAX_COUNTS // len(columns))
+    n = max(MIN_BUCKETS, min(most, rows // ROWS_PER_BUCKET))
     probs = [i / n for i in range(1, n)]
     # the sketch size is the accuracy; two ranks per bucket are plenty for balance
     accuracy = max(1000, 4 * n)
@@ -72,7 +76,9 @@ def two_sample_ks(reference: DataFrame, synthetic: DataFrame, columns: Sequence[
         F.sum("is_ref").alias("ref"),
         F.sum(F.lit(1) - F.col("is_ref")).alias("syn"),
     ]
-    edges = _with_edges(rows.groupBy("column", "bucket").agg(*counted), ["ref", "syn"])
+    # a bounded table of counts: taken once, so that the scan behind it is not repeated
+    counts = small_copy(rows.groupBy("column", "bucket").agg(*counted))
+    edges = _with_edges(counts, ["ref", "syn"])
     f_hi = F.col("ref_hi") / F.col("ref_n")
     f_lo = F.col("ref_lo") / F.col("ref_n")
     g_hi = F.col("syn_hi") / F.col("syn_n")
@@ -142,43 +148,64 @@ def one_sample_ks(
     """(column, family, n, ks): distance of columns from several distribution functions at once.
 
     ``parameters`` has one row per column; ``cdfs`` are expressions over ``value`` and the
-    parameter columns. The running counts are computed once and shared by all families.
+    parameter columns. At its lowest and highest value a bucket shows a distance each family
+    has at least, and by monotony one that no value inside can exceed; only buckets that could
+    raise some family's distance are looked into.
     """
     names = [f"v{i}" for i in range(len(columns))]
+    label = _labels(names, columns)
     data = df.select(*[clean_number(df, c).alias(v) for c, v in zip(columns, names)])
-    rows = _bucketed(data, names, [])
-    edges = _with_edges(
-        rows.groupBy("column", "bucket").agg(F.count("*").alias("obs")), ["obs"]
-    ).select("column", "bucket", "obs_lo", "obs_n")
-    # edges: at most MAX_BUCKETS rows per column; parameters: one
-    values = rows.groupBy("column", "bucket", "value").agg(F.count("*").alias("obs")).join(
-        F.broadcast(edges), ["column", "bucket"]
+    rows = _bucketed(data, names, []).withColumn("column", label[F.col("column")])
+    counts = small_copy(rows.groupBy("column", "bucket").agg(
+        F.count("*").alias("obs"), F.min("value").alias("lowest"), F.max("value").alias("highest")
+    ))
+    edges = _with_edges(counts, ["obs"]).join(F.broadcast(parameters), "column")
+
+    def evaluated(frame: DataFrame, at: str, prefix: str) -> DataFrame:
+        placed = frame.withColumn("value", F.col(at))
+        return placed.withColumns({f"{prefix}_{k}": c for k, c in cdfs.items()}).drop("value")
+
+    edges = evaluated(evaluated(edges, "lowest", "low"), "highest", "high")
+    f_lo, f_hi = F.col("obs_lo") / F.col("obs_n"), F.col("obs_hi") / F.col("obs_n")
+    edges = small_copy(edges.withColumns({
+        **{f"edge_{k}": F.greatest(f_hi - F.col(f"high_{k}"), F.col(f"low_{k}") - f_lo) for k in cdfs},
+        **{f"bound_{k}": F.greatest(f_hi - F.col(f"low_{k}"), F.col(f"high_{k}") - f_lo) for k in cdfs},
+    }))
+    best = edges.groupBy("column").agg(
+        F.first("obs_n").alias("total_obs"), *[F.max(f"edge_{k}").alias(f"best_{k}") for k in cdfs]
     )
+    worth = F.lit(False)
+    for k in cdfs:
+        worth = worth | F.coalesce(F.col(f"bound_{k}") > F.col(f"best_{k}"), F.lit(False))
+    # edges: at most MAX_BUCKETS rows per column
+    open_buckets = edges.join(F.broadcast(best), "column").filter(worth).select(
+        "column", "bucket", "obs_lo", "obs_n"
+    )
+    values = rows.join(F.broadcast(open_buckets), ["column", "bucket"]).groupBy(
+        "column", "bucket", "value", "obs_lo", "obs_n"
+    ).agg(F.count("*").alias("obs"))
     w = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0
     )
     upto = F.col("obs_lo") + F.sum("obs").over(w)
-    label = _labels(names, columns)
     steps = (
         values.select(
-            label[F.col("column")].alias("column"), "value", F.col("obs_n").alias("total_obs"),
-            (upto / F.col("obs_n")).alias("f_at"),
+            "column", "value", (upto / F.col("obs_n")).alias("f_at"),
             ((upto - F.col("obs")) / F.col("obs_n")).alias("f_before"),
         )
         .join(F.broadcast(parameters), "column")
         .withColumns({f"cdf_{k}": c for k, c in cdfs.items()})
     )
-    wide = steps.groupBy("column").agg(
-        F.first("total_obs").alias("total_obs"),
-        *[
-            F.max(F.greatest(F.col("f_at") - F.col(f"cdf_{k}"), F.col(f"cdf_{k}") - F.col("f_before")))
-            .alias(f"ks_{k}")
-            for k in cdfs
-        ],
-    )
+    inner = steps.groupBy("column").agg(*[
+        F.max(F.greatest(F.col("f_at") - F.col(f"cdf_{k}"), F.col(f"cdf_{k}") - F.col("f_before")))
+        .alias(f"inner_{k}")
+        for k in cdfs
+    ])
     structs = [
         F.struct(F.lit(k).alias("family"), F.col("total_obs").alias("n"),
-                 F.col(f"ks_{k}").alias("ks"))
+                 F.greatest(f"best_{k}", f"inner_{k}").alias("ks"))
         for k in cdfs
     ]
-    return wide.select("column", F.inline(F.array(*structs)))
+    return best.join(F.broadcast(inner), "column", "left").select(
+        "column", F.inline(F.array(*structs))
+    )

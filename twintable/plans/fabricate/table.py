@@ -19,7 +19,7 @@ from twintable.functions.numbers import clip
 from twintable.operators.columns import atomic_columns, find_column, has_token, restore_order
 from twintable.plans import infer
 from twintable.plans.fabricate import categorical, lookups, numeric, people, temporal, text
-from twintable.plans.repair import repair
+from twintable.plans.repair import COUNTER_WORDS, repair
 from twintable.sources.files import row_source
 
 
@@ -67,7 +67,7 @@ def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> D
         {c: F.lit(None).cast(source.schema[c].dataType) for c in columns if c not in rows.columns}
     )
     if o.repair:
-        rows = repair(rows, o.seed, method=o.method)
+        rows = repair(rows, o.seed, method=o.method, integers=False)
     for c in o.unique_columns:
         rows = people.make_unique(rows, c)
     rows = rows.withColumns({c: _typed(F.col(f"`{c}`"), source.schema[c].dataType) for c in columns})
@@ -109,6 +109,10 @@ def _numeric_exprs(source, kinds, o: Options) -> dict[str, Column]:
         if not p["n"]:
             continue
         whole = infer.should_be_integer(c, source.schema[c].dataType, p["is_integer"])
+        if whole and has_token(c, *COUNTER_WORDS) and p["min"] <= 0:
+            # counters start at one
+            out[c] = row + F.lit(1)
+            continue
         over = o.overrides.get(c, {})
         if c in mixed and not (whole and has_token(c, "id")):
             value = clip(mixed[c], float(p["min"]), float(p["max"]))

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from twintable.functions import dates
 from twintable.functions.numbers import not_nan, plain_text, to_number
 from twintable.operators import aggregates
-from twintable.operators.columns import atomic_columns, has_token, is_numeric, rows_from_wide
+from twintable.operators.columns import (
+    atomic_columns, has_token, is_numeric, rows_from_wide, small_copy,
+)
 from twintable.operators.frequency import frequency_summary, value_frequencies
 from twintable.plans import detect
 
@@ -43,6 +45,7 @@ FAMILIES = {
     "unknown": "hybrid",
 }
 DATE_WORDS = ("date", "time", "timestamp", "created_at", "updated_at", "dob")
+ROUTING_SIGNALS = ("n", "n_parsed", "avg_len", "max_len", "all_bool")
 INTEGER_WORDS = ("age", "sl no", "serial no", "serial number", "record id", "id")
 
 
@@ -61,8 +64,11 @@ def should_be_integer(column: str, dtype: T.DataType, all_integral: bool | None)
     return has_token(column, *INTEGER_WORDS) or bool(all_integral)
 
 
-def signals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column the counts that all type scores need; one scan, no shuffle of values."""
+def signals(df: DataFrame, columns: Sequence[str], scores: bool = True) -> DataFrame:
+    """Per column the counts that types are inferred from; one scan, no shuffle of values.
+
+    Routing needs only some of them; ``scores`` adds what the type scores use.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs, structs = [F.count("*").alias("rows")], []
     for i, name in enumerate(columns):
@@ -90,8 +96,9 @@ def signals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "std_len": F.stddev_samp(length),
             "max_len": F.max(length),
             "all_bool": F.bool_and(is_bool),
-            "all_integral": F.bool_and(number % 1 == 0),
         }
+        if not scores:
+            parts = {k: parts[k] for k in ROUTING_SIGNALS}
         aggs += [v.alias(f"c{i}_{k}") for k, v in parts.items()]
         structs.append(
             F.struct(
@@ -223,7 +230,7 @@ def route_types(
     Decision list: hint, name, boolean, numeric, temporal, personal data, categorical, text.
     """
     columns = list(columns or atomic_columns(df))
-    sig = with_distinct_counts(df, columns, signals(df, columns))
+    sig = with_distinct_counts(df, columns, signals(df, columns, scores=False))
     strings = [f.name for f in df.schema.fields
                if f.name in columns and isinstance(f.dataType, T.StringType)]
     if strings:
@@ -279,40 +286,40 @@ def analyze_schema(
 ) -> DataFrame:
     """One metadata row per column: type, pipeline, missing share, range, moments, lengths, dates.
 
-    Hinted columns get statistics like all others.
+    Columns are routed first, so that moments and date spans are computed only where they
+    belong. Hinted columns get statistics like all others.
     """
     columns = list(columns or atomic_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
-    routed = route_types(df, columns, hints).select(
+    is_text, is_date = F.col("data_type") == "text", F.col("data_type") == "temporal"
+    routed = small_copy(route_types(df, columns, hints).select(
         "column", "data_type", "pipeline",
         (F.col("n") < F.col("total_count")).alias("nullable"),
         F.when(F.col("total_count") > 0, 1 - F.col("n") / F.col("total_count"))
         .otherwise(F.lit(0.0)).alias("null_pct"),
         F.col("n_distinct").alias("n_unique"),
-        F.col("avg_len"), F.col("max_len"), F.col("all_integral"),
-    )
+        F.when(is_text, F.col("avg_len")).alias("avg_len"),
+        F.when(is_text, F.col("max_len")).alias("max_len"),
+    ))
     numeric = [c for c in columns if is_numeric(types[c])]
+    dated = columns_of_type(routed, "temporal")
+    out = routed
     if numeric:
         stats = aggregates.moments(df, numeric).select(
             "column", "min", "max", "mean", "std", F.col("skewness").alias("skew")
         )
+        out = out.join(F.broadcast(stats), "column", "left")
     else:
-        stats = df.sparkSession.createDataFrame(
-            [], "column string, min double, max double, mean double, std double, skew double"
+        out = out.withColumns(
+            {k: F.lit(None).cast("double") for k in ("min", "max", "mean", "std", "skew")}
         )
-    out = routed.join(F.broadcast(stats), "column", "left")
-    spans = _date_spans(df, columns)
+    spans = _date_spans(df, [c for c in columns if c in dated])
     if spans is not None:
-        out = out.join(F.broadcast(spans), "column", "left")
-    else:
-        out = out.withColumns({
-            "min_ts": F.lit(None).cast("timestamp"), "max_ts": F.lit(None).cast("timestamp"),
-            "date_format": F.lit(None).cast("string"),
-        })
-    is_text, is_date = F.col("data_type") == "text", F.col("data_type") == "temporal"
-    keep = {c: F.when(is_text, F.col(c)) for c in ("avg_len", "max_len")}
-    keep |= {c: F.when(is_date, F.col(c)) for c in ("min_ts", "max_ts", "date_format")}
-    return out.withColumns(keep)
+        return out.join(F.broadcast(spans), "column", "left")
+    return out.withColumns({
+        "min_ts": F.lit(None).cast("timestamp"), "max_ts": F.lit(None).cast("timestamp"),
+        "date_format": F.lit(None).cast("string"),
+    })
 
 
 def _date_spans(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
@@ -320,15 +327,15 @@ def _date_spans(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs, structs = [], []
     for i, c in enumerate(columns):
-        if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            moment, layout = F.col(f"`{c}`").cast("timestamp"), F.lit(None).cast("string")
-        elif isinstance(types[c], T.StringType):
+        if isinstance(types[c], T.StringType):
             moment = dates.parse_date(F.col(f"`{c}`"))
             layout = dates.date_format_name(
                 F.min(F.when(moment.isNotNull(), F.col(f"`{c}`"))), dates.ROUTER_FORMATS
             )
-        else:
+        elif is_numeric(types[c]):
             continue
+        else:
+            moment, layout = F.col(f"`{c}`").cast("timestamp"), F.lit(None).cast("string")
         aggs += [F.min(moment).alias(f"lo{i}"), F.max(moment).alias(f"hi{i}"),
                  layout.alias(f"fmt{i}")]
         structs.append(

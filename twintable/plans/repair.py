@@ -133,9 +133,16 @@ def repair_surnames(
     return df.withColumns(changed)
 
 
-def repair(df: DataFrame, seed: int = 42, row_id: str = "row_id", method: str = "md5") -> DataFrame:
-    """All repairs as expressions on one pass; e-mails last, when the names are settled."""
-    out = repair_integers(df, row_id)
+def repair(
+    df: DataFrame, seed: int = 42, row_id: str = "row_id", method: str = "md5",
+    integers: bool = True,
+) -> DataFrame:
+    """All repairs as expressions on one pass; e-mails last, when the names are settled.
+
+    Only the integer repair looks at the data first; leave it out where columns are whole
+    numbers by construction.
+    """
+    out = repair_integers(df, row_id) if integers else df
     out = repair_cities(out, seed, row_id, method=method)
     out = repair_surnames(out, seed, row_id, method=method)
     out = repair_genders(out)

@@ -21,6 +21,7 @@ def local_session(cores: str | int = "*", app: str = "twintable") -> SparkSessio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.maxPlanStringLength", "20000")
         .getOrCreate()
