@@ -524,17 +524,16 @@ TEMPLATE_SQL = f"WITH {ROWS} SELECT row_id, " + ", ".join(
 def matched_lengths(spark, d):
     """Template texts brought to the mean length of the reference texts."""
     mean = text.reference_length(load(spark, d, "benchmark"), "text")
-    return _rows(spark, d).select("row_id", text.text_column(F.col("row_id"), SEED, "body", mean).alias("body"))
+    return text.add_texts(_rows(spark, d), SEED, {"body": mean})
 
 
-_SHORTEST = min(map(len, lookups.FILLERS))
 MATCH_SQL = f"""
 WITH {ROWS}, m AS (SELECT avg(length(text)) AS mean FROM benchmark),
 t AS (SELECT row_id, mean, {template_sql('body', 'description')} AS c,
   CAST(floor(mean * (1 + ({u_sql(SEED, 'body|length', 'row_id', 0)} * 2 - 1) * 0.2)) AS INT) AS target FROM rows_, m),
-fill AS (SELECT row_id, string_agg({pick_sql(lookups.FILLERS, u_sql(SEED, 'body|filler', 'row_id', 'i'))} || ' ' || split_part(c, '.', 1) || '.', '' ORDER BY i) AS extra
-  FROM t, range(60) k(i) GROUP BY 1)
-SELECT row_id, CASE WHEN length(c) < target * 0.8 THEN substr(c || extra, 1, target) ELSE c END AS body FROM t JOIN fill USING (row_id)"""
+fill AS (SELECT row_id, string_agg({pick_sql(lookups.FILLERS, u_sql(SEED, 'body|filler', 'row_id', 'i'))} || ' ' || split_part(c, '.', 1) || '.', '' ORDER BY i) AS cycle
+  FROM t, range(8) k(i) GROUP BY 1)
+SELECT row_id, CASE WHEN length(c) < target * 0.8 THEN substr(c || repeat(cycle, ceil(target / length(cycle))::INT), 1, target) ELSE c END AS body FROM t JOIN fill USING (row_id)"""
 
 
 def shortened_texts(spark, d):

@@ -142,6 +142,35 @@ def _with_edges(counts: DataFrame, measures: Sequence[str]) -> DataFrame:
     return counts.withColumns(added)
 
 
+def _promising_buckets(
+    edges: DataFrame, parameters: DataFrame, cdfs: dict[str, Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Distances reached at bucket ends per column, and the buckets that may hold a larger one."""
+    placed = edges.join(F.broadcast(parameters), "column")
+    for at, prefix in (("lowest", "low"), ("highest", "high")):
+        placed = placed.withColumn("value", F.col(at)).withColumns(
+            {f"{prefix}_{k}": c for k, c in cdfs.items()}
+        ).drop("value")
+    f_lo, f_hi = F.col("obs_lo") / F.col("obs_n"), F.col("obs_hi") / F.col("obs_n")
+    placed = small_copy(placed.select(
+        "column", "bucket", "obs_lo", "obs_n",
+        *[F.greatest(f_hi - F.col(f"high_{k}"), F.col(f"low_{k}") - f_lo).alias(f"edge_{k}")
+          for k in cdfs],
+        *[F.greatest(f_hi - F.col(f"low_{k}"), F.col(f"high_{k}") - f_lo).alias(f"bound_{k}")
+          for k in cdfs],
+    ))
+    best = placed.groupBy("column").agg(
+        F.first("obs_n").alias("total_obs"), *[F.max(f"edge_{k}").alias(f"best_{k}") for k in cdfs]
+    )
+    worth = F.lit(False)
+    for k in cdfs:
+        worth = worth | F.coalesce(F.col(f"bound_{k}") > F.col(f"best_{k}"), F.lit(False))
+    # at most MAX_BUCKETS rows per column
+    return best, placed.join(F.broadcast(best), "column").filter(worth).select(
+        "column", "bucket", "obs_lo", "obs_n"
+    )
+
+
 def one_sample_ks(
     df: DataFrame, columns: Sequence[str], parameters: DataFrame, cdfs: dict[str, Column]
 ) -> DataFrame:
@@ -159,28 +188,16 @@ def one_sample_ks(
     counts = small_copy(rows.groupBy("column", "bucket").agg(
         F.count("*").alias("obs"), F.min("value").alias("lowest"), F.max("value").alias("highest")
     ))
-    edges = _with_edges(counts, ["obs"]).join(F.broadcast(parameters), "column")
-
-    def evaluated(frame: DataFrame, at: str, prefix: str) -> DataFrame:
-        placed = frame.withColumn("value", F.col(at))
-        return placed.withColumns({f"{prefix}_{k}": c for k, c in cdfs.items()}).drop("value")
-
-    edges = evaluated(evaluated(edges, "lowest", "low"), "highest", "high")
-    f_lo, f_hi = F.col("obs_lo") / F.col("obs_n"), F.col("obs_hi") / F.col("obs_n")
-    edges = small_copy(edges.withColumns({
-        **{f"edge_{k}": F.greatest(f_hi - F.col(f"high_{k}"), F.col(f"low_{k}") - f_lo) for k in cdfs},
-        **{f"bound_{k}": F.greatest(f_hi - F.col(f"low_{k}"), F.col(f"high_{k}") - f_lo) for k in cdfs},
-    }))
-    best = edges.groupBy("column").agg(
-        F.first("obs_n").alias("total_obs"), *[F.max(f"edge_{k}").alias(f"best_{k}") for k in cdfs]
-    )
-    worth = F.lit(False)
-    for k in cdfs:
-        worth = worth | F.coalesce(F.col(f"bound_{k}") > F.col(f"best_{k}"), F.lit(False))
-    # edges: at most MAX_BUCKETS rows per column
-    open_buckets = edges.join(F.broadcast(best), "column").filter(worth).select(
-        "column", "bucket", "obs_lo", "obs_n"
-    )
+    edges = _with_edges(counts, ["obs"])
+    if counts.count() <= MIN_BUCKETS * len(columns):
+        # little data: looking into all buckets is cheaper than ruling some out
+        best = edges.groupBy("column").agg(
+            F.first("obs_n").alias("total_obs"),
+            *[F.lit(None).cast("double").alias(f"best_{k}") for k in cdfs],
+        )
+        open_buckets = edges.select("column", "bucket", "obs_lo", "obs_n")
+    else:
+        best, open_buckets = _promising_buckets(edges, parameters, cdfs)
     values = rows.join(F.broadcast(open_buckets), ["column", "bucket"]).groupBy(
         "column", "bucket", "value", "obs_lo", "obs_n"
     ).agg(F.count("*").alias("obs"))

@@ -97,12 +97,11 @@ def email(
     f = text.letters_only(first, "user")
     s = text.letters_only(last, "name")
     style = integer_between(d(0), 0, 3)
-    local = (
-        F.when(style == 0, F.concat(f, F.lit("."), s))
-        .when(style == 1, F.concat(f, s))
-        .when(style == 2, F.concat(f, integer_between(d(1), 1, 999).cast("string")))
-        .otherwise(F.concat(F.substring(f, 1, 1), F.lit("."), s))
-    )
+    # each name is used once, so its clean-up runs once per row
+    head = F.substr(f, F.lit(1), F.when(style == 3, F.lit(1)).otherwise(F.lit(1_000_000)))
+    dot = F.when(style.isin(0, 3), F.lit(".")).otherwise(F.lit(""))
+    tail = F.when(style == 2, integer_between(d(1), 1, 999).cast("string")).otherwise(s)
+    local = F.concat(head, dot, tail)
     return F.concat(local, F.lit("@"), pick(domains or lookups.EMAIL_DOMAINS, d(2)))
 
 

@@ -62,7 +62,9 @@ def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> D
     rows = _add_categories(rows, source, kinds, meta, o)
     rows = _add_dates(rows, source, kinds, meta, o)
     rows = rows.withColumns(_person_exprs(rows, source, kinds, o))
-    rows = rows.withColumns(_text_exprs(kinds, meta, o))
+    texts = {c: meta[c]["avg_len"] if o.match_lengths else None for c, k in kinds.items() if k == "text"}
+    templates = {c: o.overrides[c]["template"] for c in texts if "template" in o.overrides.get(c, {})}
+    rows = text.add_texts(rows, o.seed, texts, templates, o.method)
     rows = rows.withColumns(
         {c: F.lit(None).cast(source.schema[c].dataType) for c in columns if c not in rows.columns}
     )
@@ -227,17 +229,6 @@ def _person_exprs(rows, source, kinds, o: Options) -> dict[str, Column]:
     return out
 
 
-def _text_exprs(kinds, meta, o: Options) -> dict[str, Column]:
-    row = F.col("row_id")
-    return {
-        c: text.text_column(
-            row, o.seed, c, meta[c]["avg_len"] if o.match_lengths else None,
-            o.overrides.get(c, {}).get("template", "description"), o.method,
-        )
-        for c, k in kinds.items() if k == "text"
-    }
-
-
 def blend(
     real: DataFrame, fabricated: DataFrame, label: str | None = None,
     fractions: Mapping | None = None, seed: int = 42,

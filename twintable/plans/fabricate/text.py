@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintable.functions import text
-from twintable.functions.draw import Draws, literal_array, pick
+from twintable.functions.draw import Draws, pick
 from twintable.plans.fabricate import lookups
 
 LENGTH_VARIANCE = 0.2
@@ -35,27 +35,22 @@ def reference_length(df: DataFrame, column: str) -> float | None:
     return df.agg(F.avg(F.length(F.col(f"`{column}`").cast("string")))).first()[0]
 
 
-def lengthen(c: Column, target: Column, row_id: Column, seed: int, name: str, longest: int,
+FILLER_CYCLE = 8
+
+
+def lengthen(c: Column, target: Column, row_id: Column, seed: int, name: str,
              method: str = "md5") -> Column:
     """Repeat the first sentence behind filler phrases until the target length, then cut.
 
-    ``longest`` is the greatest target there can be; it bounds the number of repeats.
+    Eight fillers are drawn per row and used in turn, so that the work does not grow with the
+    target and stays in generated code.
     """
     d = Draws(seed, f"{name}|filler", row_id, method)
-    lead = F.concat(F.lit(" "), F.get(F.split(c, r"\."), F.lit(0)), F.lit("."))
-    fillers = literal_array(lookups.FILLERS)
-    size = float(len(lookups.FILLERS))
-    # every round adds at least the shortest filler, a space and a full stop
-    rounds = longest // (min(map(len, lookups.FILLERS)) + 2) + 1
-    added = F.transform(
-        F.sequence(F.lit(0), F.lit(rounds - 1)),
-        lambda i: F.when(
-            # once enough is there the rest of the list stays empty
-            F.length(c) + i * (F.length(lead) + F.lit(min(map(len, lookups.FILLERS)))) < target,
-            F.concat(F.get(fillers, F.floor(d(i) * F.lit(size)).cast("int")), lead),
-        ).otherwise(F.lit("")),
-    )
-    return F.substr(F.concat(c, F.array_join(added, "")), F.lit(1), target)
+    lead = F.concat(F.lit(" "), F.substring_index(c, ".", 1), F.lit("."))
+    drawn = [pick(lookups.FILLERS, d(i)) for i in range(FILLER_CYCLE)]
+    cycle = F.concat(*[x for f in drawn for x in (f, lead)])
+    rounds = F.ceil(target / F.length(cycle)).cast("int")
+    return F.substr(F.concat(c, F.repeat(cycle, rounds)), F.lit(1), target)
 
 
 def match_length(
@@ -67,21 +62,31 @@ def match_length(
     target = F.floor(
         F.lit(float(mean_length)) * (1 + (u * 2 - 1) * F.lit(float(variance)))
     ).cast("int")
-    longest = int(mean_length * (1 + variance)) + 1
     return (
-        F.when(F.length(c) < target * 0.8, lengthen(c, target, row_id, seed, name, longest, method))
+        F.when(F.length(c) < target * 0.8, lengthen(c, target, row_id, seed, name, method))
         .when(F.length(c) > target * 1.2, text.cut_at_sentence(c, target))
         .otherwise(c)
     )
 
 
-def text_column(
-    row_id: Column, seed: int, name: str, mean_length: float | None = None,
-    category: str = "description", method: str = "md5",
-) -> Column:
-    base = template_text(row_id, seed, name, category, method=method)
-    return base if mean_length is None else match_length(base, mean_length, row_id, seed, name,
-                                                         method=method)
+def add_texts(
+    rows: DataFrame, seed: int, columns: Mapping[str, float | None],
+    categories: Mapping[str, str] | None = None, method: str = "md5",
+) -> DataFrame:
+    """Adds text columns, each near the given mean length (or as it comes, without one).
+
+    The template text is a projection of its own: the length rules look at it several times,
+    but it is filled once per row.
+    """
+    row = F.col("row_id")
+    out = rows.withColumns({
+        c: template_text(row, seed, c, (categories or {}).get(c, "description"), method=method)
+        for c in columns
+    })
+    return out.withColumns({
+        c: match_length(F.col(f"`{c}`"), mean, row, seed, c, method=method)
+        for c, mean in columns.items() if mean is not None
+    })
 
 
 def with_text_source(
