@@ -645,6 +645,20 @@ WITH {ROWS} SELECT round(100.0 + {_table_u('o_totalprice')} * 100.0, 1)::DOUBLE
   CASE WHEN floor({_table_u('o_orderstatus')} * 1000000) < 250000 THEN 'A' ELSE 'B' END AS o_orderstatus FROM rows_"""
 
 
+def custom_generators(spark, d):
+    """A column and a whole data type made by the caller's own expressions."""
+    df = load(spark, d, "orders").select("o_totalprice", "o_orderstatus")
+    return fabricate(df, df.count(), Options(seed=TABLE_SEED, generators={
+        "o_totalprice": lambda name, meta, draws: F.floor(draws(0) * 10) + F.lit(meta["n_unique"] * 0),
+        "categorical": lambda name, meta, draws: F.when(draws(0) < 0.5, "low").otherwise("high"),
+    }))
+
+
+CUSTOM_SQL = f"""
+WITH {ROWS} SELECT floor({_table_u('o_totalprice')} * 10)::DOUBLE AS o_totalprice,
+  CASE WHEN {_table_u('o_orderstatus')} < 0.5 THEN 'low' ELSE 'high' END AS o_orderstatus FROM rows_"""
+
+
 def blended_rows(spark, d):
     real = load(spark, d, "orders").select("o_orderstatus", "o_totalprice")
     made = fabricate(real, real.count(), Options(seed=TABLE_SEED))
@@ -693,6 +707,7 @@ QUERIES = {
     "fabricate_people": (fabricate_people, PEOPLE_SQL),
     "keep_nulls": (keep_nulls, NULLS_SQL),
     "column_overrides": (column_overrides, OVERRIDE_SQL),
+    "custom_generators": (custom_generators, CUSTOM_SQL),
     "blended_rows": (blended_rows, BLEND_SQL),
     "fast_draws": (fast_draws, "SELECT count(*) AS n_ref, count(*) AS n_syn, TRUE AS near FROM orders"),
 }

@@ -72,31 +72,21 @@ def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     carried = carried.withColumns(
         {f"_carry_{i}": F.last(f"_edge_{i}", True).over(w) for i in range(len(columns))}
     ).drop(*[f"_edge_{i}" for i in range(len(columns))])
-    # without keys the bucket list is bounded by MAX_BUCKETS
-    carried = carried if keys else F.broadcast(carried)
-    renamed = carried.select(
-        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_cell"), *[F.col(f"_carry_{i}") for i in range(len(columns))],
+    # What is handed over enters each bucket as a row before all others: one window does the
+    # rest, without joining anything to the table.
+    handed = carried.select(
+        *keys, "_bucket", F.lit(0).alias("_data"),
+        *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(columns)],
+    )
+    both = cut.withColumn("_data", F.lit(1)).withColumns(known).unionByName(
+        handed, allowMissingColumns=True
     )
-    same = F.col("_bucket") == F.col("_cell")
-    for i, k in enumerate(keys):
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_key_{i}"))
     span = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*map(turn, order))
+        Window.partitionBy(*keys, "_bucket").orderBy("_data", *map(turn, order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    filled = cut.withColumns(
-        {f"_own_{i}": F.last(v, True).over(span) for i, v in enumerate(known.values())}
-    )
-    done = filled.join(renamed, same, "left")
-    index = {c: i for i, c in enumerate(columns)}
-    return done.select(
-        *[
-            F.coalesce(F.col(f"_own_{index[c]}"), F.col(f"_carry_{index[c]}")).alias(c)
-            if c in index else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+    filled = both.withColumns({c: F.last(F.col(f"`{c}`"), True).over(span) for c in columns})
+    return filled.filter(F.col("_data") == 1).select(*df.columns)
 
 
 def fill_forward(

@@ -134,16 +134,13 @@ def rows_in_rare_groups(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame
     return df.join(small, on=list(keys), how="left_semi").select(*df.columns)
 
 
-def category_sets(df: DataFrame, group: str, member: str) -> DataFrame:
-    """Group -> sorted set of its members.
+def category_pairs(df: DataFrame, group: str, member: str) -> DataFrame:
+    """The set of members of each group, as distinct (group, member) rows.
 
-    Members are made distinct first, so a set holds the distinct members only and
-    repeated pairs are combined before the shuffle.
+    Kept as rows, so that a group with very many members is no single cell in one task.
     """
     return (
         df.select(group, member)
         .filter(F.col(group).isNotNull() & F.col(member).isNotNull())
         .distinct()
-        .groupBy(group)
-        .agg(F.array_sort(F.collect_list(member)).alias("members"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +18,27 @@ from twintable.plans.fabricate import lookups
 LITERAL_CATEGORIES = 256
 
 
-def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]] | None]:
+def category_counts(
+    df: DataFrame, columns: Sequence[str], sizes: Mapping[str, int] | None = None
+) -> dict[str, list[tuple[str, int]] | None]:
     """Counts per column, most frequent first; None for columns with too many values.
 
-    What reaches the driver is bounded: at most LITERAL_CATEGORIES values per column.
+    Distinct counts that are known already save a pass; else a sketch rules out the long columns
+    before anything is counted. What reaches the driver is a few hundred values per column.
     """
     if not columns:
         return {}
-    freq = value_frequencies(df, columns)
-    sizes = {r["column"]: r["d"] for r in freq.groupBy("column").agg(F.count("*").alias("d")).collect()}
-    short = [c for c in columns if 0 < sizes.get(c, 0) <= LITERAL_CATEGORIES]
-    out: dict[str, list[tuple[str, int]] | None] = {
-        c: ([] if sizes.get(c, 0) == 0 else None) for c in columns
-    }
-    if short:
-        rows = freq.filter(F.col("column").isin(short)).collect()
-        for c in short:
-            found = [(r["value"], r["n"]) for r in rows if r["column"] == c]
+    if sizes is None:
+        seen = df.agg(*[
+            F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(columns)
+        ]).first()
+        sizes = {c: seen[i] / 1.5 for i, c in enumerate(columns)}
+    short = [c for c in columns if sizes[c] <= LITERAL_CATEGORIES]
+    out: dict[str, list[tuple[str, int]] | None] = {c: None for c in columns}
+    rows = value_frequencies(df, short).collect() if short else []
+    for c in short:
+        found = [(r["value"], r["n"]) for r in rows if r["column"] == c]
+        if len(found) <= LITERAL_CATEGORIES:
             out[c] = sorted(found, key=lambda vn: (-vn[1], vn[0]))
     return out
 

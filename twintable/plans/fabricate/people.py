@@ -216,9 +216,13 @@ def make_unique(df: DataFrame, column: str, key: str = "row_id") -> DataFrame:
     dashes = df.agg(
         F.max(F.length(F.regexp_extract(value, r"(-*)\d*(@|$)", 1)))
     ).first()[0] or 0
+    pairs = df.select(value.alias("_value"), F.col(key).alias("_key")).filter(
+        F.col("_value").isNotNull()
+    )
+    repeated = pairs.groupBy("_value").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # only repeated values are numbered
     spans = running_span(
-        df.select(value.alias("_value"), F.col(key).alias("_key"))
-        .filter(F.col("_value").isNotNull()).withColumn("_one", F.lit(1)),
+        pairs.join(repeated.select("_value"), "_value", "left_semi").withColumn("_one", F.lit(1)),
         "_one", "_key", ["_value"],
     ).select(F.col("_key").alias(key), F.col("span_lo").alias("_nth"))
     mark = F.concat(F.lit("-" * (dashes + 1)), F.col("_nth").cast("string"))

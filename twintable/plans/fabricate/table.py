@@ -7,7 +7,7 @@ categories add a join.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +41,8 @@ class Options:
     locale: str = lookups.DEFAULT_LOCALE
     genders: Mapping[str, float] | None = None
     unique_columns: tuple[str, ...] = ()
+    # column or data type -> own generator (column name, its metadata row, its draws) -> Column
+    generators: Mapping[str, Callable[[str, Mapping, Draws], Column]] = field(default_factory=dict)
     partitions: int | None = None
     # "md5" can be replayed by other engines, "xxhash64" costs less per draw
     method: str = "md5"
@@ -65,6 +67,11 @@ def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> D
     texts = {c: meta[c]["avg_len"] if o.match_lengths else None for c, k in kinds.items() if k == "text"}
     templates = {c: o.overrides[c]["template"] for c in texts if "template" in o.overrides.get(c, {})}
     rows = text.add_texts(rows, o.seed, texts, templates, o.method)
+    own = {c: o.generators.get(c) or o.generators.get(kinds[c]) for c in columns}
+    rows = rows.withColumns({
+        c: make(c, meta[c].asDict(), Draws(o.seed, c, F.col("row_id"), o.method))
+        for c, make in own.items() if make
+    })
     rows = rows.withColumns(
         {c: F.lit(None).cast(source.schema[c].dataType) for c in columns if c not in rows.columns}
     )
@@ -131,7 +138,9 @@ def _add_categories(rows, source, kinds, meta, o: Options) -> DataFrame:
     names = [c for c, k in kinds.items() if k in ("categorical", "boolean")]
     if not names:
         return rows
-    counts = categorical.category_counts(source, names)
+    counts = categorical.category_counts(
+        source, names, {c: meta[c]["n_unique"] for c in names}
+    )
     country, city = find_column(names, "country"), find_column(names, "city")
     row = F.col("row_id")
     exprs, long, later = {}, [], []

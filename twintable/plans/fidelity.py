@@ -15,6 +15,7 @@ from twintable.operators.columns import is_numeric, rows_from_wide, small_copy
 from twintable.operators.ecdf import two_sample_ks
 from twintable.operators.frequency import melt, value_key
 from twintable.operators.quantiles import clean_number, quantile_values
+from twintable.session import durable
 
 # Default thresholds and the format patterns of two personal-data kinds.
 THRESHOLD = 0.7
@@ -401,8 +402,15 @@ def quality_report(
     threshold: float = REPORT_THRESHOLD,
     pii_kinds: Mapping[str, str] | None = None,
     correlations: bool = False,
+    stage: bool = False,
 ) -> DataFrame:
-    """All metrics of all columns in one frame; columns of one type share their jobs."""
+    """All metrics of all columns in one frame; columns of one type share their jobs.
+
+    The metrics scan both tables several times. ``stage`` checkpoints them first, which pays
+    when they are costly to compute and not plain files.
+    """
+    if stage:
+        reference, synthetic = durable(reference), durable(synthetic)
     kinds = dict(column_types or metric_types(reference))
     by_kind = {k: [c for c, t in kinds.items() if t == k and c in synthetic.columns]
                for k in ("numeric", "temporal")}

@@ -169,18 +169,22 @@ def enforce_relationships(df: DataFrame, relationships: Mapping[str, Sequence[st
     modes has one row per primary value; whether it is broadcast is decided by its real size.
     """
     out = df
-    order = df.columns
     for primary, dependents in relationships.items():
-        if primary not in df.columns:
+        wanted = [c for c in dependents if c in df.columns and c != primary]
+        if primary not in df.columns or not wanted:
             continue
-        for c in [c for c in dependents if c in df.columns]:
-            modes = deterministic_mode(
-                out.filter(F.col(f"`{primary}`").isNotNull()), c, [primary]
-            ).select(primary, F.col("mode").alias("_mode"))
-            out = out.join(modes, primary, "left").withColumn(
-                c, F.coalesce("_mode", F.col(f"`{c}`"))
-            ).drop("_mode")
-    return out.select(*order)
+        known = out.filter(F.col(f"`{primary}`").isNotNull())
+        modes = None
+        for i, c in enumerate(wanted):
+            one = deterministic_mode(known, c, [primary]).select(
+                primary, F.col("mode").alias(f"_mode_{i}")
+            )
+            modes = one if modes is None else modes.join(one, primary, "full_outer")
+        # the table itself is joined once, however many columns depend on it
+        out = out.join(modes, primary, "left").withColumns(
+            {c: F.coalesce(f"_mode_{i}", F.col(f"`{c}`")) for i, c in enumerate(wanted)}
+        ).select(*df.columns)
+    return out
 
 
 def check_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
