@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintable.functions.numbers import not_nan, plain_text
-from twintable.functions.text import words
 from twintable.operators.columns import atomic_columns, numeric_columns, rows_from_wide
 
 # Detector patterns, all anchored.
@@ -55,14 +54,15 @@ PRIORITY = [
 ]
 
 
+# A known first word with another word behind it, or a known last word behind another one.
+_KNOWN_NAME = (
+    rf"(?i)^({'|'.join(COMMON_FIRST_NAMES)})\s+\S|\s({'|'.join(COMMON_LAST_NAMES)})$"
+)
+
+
 def is_person_name(text: Column) -> Column:
     value = F.regexp_replace(text, r"^\s+|\s+$", "")
-    w = words(F.lower(value))
-    known = (F.size(w) >= 2) & (
-        F.get(w, F.lit(0)).isin(COMMON_FIRST_NAMES)
-        | F.try_element_at(w, F.lit(-1)).isin(COMMON_LAST_NAMES)
-    )
-    return value.rlike(FULL_NAME) | F.coalesce(known, F.lit(False)) | value.rlike(TITLED_NAME)
+    return value.rlike(FULL_NAME) | value.rlike(_KNOWN_NAME) | value.rlike(TITLED_NAME)
 
 
 def is_address(text: Column, whole_words: bool = False) -> Column:

@@ -70,6 +70,11 @@ def profile_numeric(
     return rows_from_wide(df.agg(*aggs), structs)
 
 
+def _count_of(c: Column, runs: str) -> Column:
+    """Characters in runs of a class: cutting runs out is quicker than counting single matches."""
+    return F.length(c) - F.length(F.regexp_replace(c, runs, ""))
+
+
 def length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per text column: length statistics and character class shares, in one scan."""
     aggs, structs = [], []
@@ -84,10 +89,10 @@ def length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "avg_length": F.avg(size),
             "median_length": F.percentile(size, F.lit(0.5)),
             "chars": F.sum(size),
-            "upper": F.sum(F.regexp_count(c, F.lit("[A-Z]"))),
-            "lower": F.sum(F.regexp_count(c, F.lit("[a-z]"))),
-            "digits": F.sum(F.regexp_count(c, F.lit(r"\d"))),
-            "special": F.sum(F.regexp_count(c, F.lit(r"[^a-zA-Z0-9\s]"))),
+            "upper": F.sum(_count_of(c, "[A-Z]+")),
+            "lower": F.sum(_count_of(c, "[a-z]+")),
+            "digits": F.sum(_count_of(c, r"\d+")),
+            "special": F.sum(_count_of(c, r"[^a-zA-Z0-9\s]+")),
         }
         aggs += [v.alias(f"c{i}_{k}") for k, v in parts.items()]
         structs.append(
