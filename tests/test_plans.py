@@ -268,3 +268,16 @@ def test_knowledge(spark):
     rules = [kn.Rule("r1", "v >= 0"), kn.Rule("r2", "v < 10", when="c = 'q'")]
     got = rows_by(kn.check_rules(df, rules), "rule_id")
     assert got["r1"]["passed"] and got["r2"]["violations"] == 6
+
+
+def test_dates_do_not_shift_with_the_session_time_zone(spark):
+    ref = spark.range(200).select(
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % 60).cast("int"))).alias("day")
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        low, high = fabricate(ref, 300, Options(seed=2)).agg(F.min("day"), F.max("day")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert low >= dt.datetime(2024, 1, 1) and high < dt.datetime(2024, 2, 29) and low.hour == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,5 +88,10 @@ def to_business_day(d: Column) -> Column:
     return d + F.make_dt_interval(shift)
 
 
+def moment(at: datetime | str) -> Column:
+    """A wall-clock time in the session's time zone, whatever zone the driver runs in."""
+    return F.lit(at if isinstance(at, str) else at.isoformat(sep=" ")).cast("timestamp")
+
+
 def add_days(d: Column, days: Column) -> Column:
     return d + F.make_dt_interval(days.cast("int"))

@@ -77,8 +77,9 @@ def two_sample_ks(reference: DataFrame, synthetic: DataFrame, columns: Sequence[
         F.sum(F.lit(1) - F.col("is_ref")).alias("syn"),
     ]
     # a bounded table of counts: taken once, so that the scan behind it is not repeated
-    counts = small_copy(rows.groupBy("column", "bucket").agg(*counted))
-    edges = _with_edges(counts, ["ref", "syn"])
+    edges = small_copy(
+        _with_edges(rows.groupBy("column", "bucket").agg(*counted), ["ref", "syn"])
+    )
     f_hi = F.col("ref_hi") / F.col("ref_n")
     f_lo = F.col("ref_lo") / F.col("ref_n")
     g_hi = F.col("syn_hi") / F.col("syn_n")

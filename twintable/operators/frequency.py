@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twintable.functions.numbers import not_nan, plain_text
 
@@ -35,9 +36,9 @@ def melt(
     structs = []
     for c in columns:
         v = plain_text(not_nan(F.col(f"`{c}`"), types[c]), types[c])
-        structs.append(
-            F.struct(F.lit(c).alias("column"), (value_key(v) if keys else v).alias("value"))
-        )
+        if keys and isinstance(types[c], T.StringType):
+            v = value_key(v)
+        structs.append(F.struct(F.lit(c).alias("column"), v.alias("value")))
     kept = [F.col(side).alias("side")] if side else []
     return (
         df.select(*kept, F.explode(F.array(*structs)).alias("cell"))

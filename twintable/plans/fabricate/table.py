@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twintable.functions.draw import Draws
+from twintable.functions.dates import parse_date
 from twintable.functions.numbers import clip
 from twintable.operators.columns import atomic_columns, find_column, has_token, restore_order
 from twintable.plans import infer
@@ -56,7 +57,11 @@ def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> D
     clash = {"row_id": "row_id__source"} if "row_id" in columns else {}
     source = reference.select(*[F.col(f"`{c}`").alias(clash.get(c, c)) for c in columns])
     columns = [clash.get(c, c) for c in columns]
-    meta = {r["column"]: r for r in infer.analyze_schema(source, columns, o.hints).collect()}
+    # wall-clock times, so that no driver time zone gets in between
+    found = infer.analyze_schema(source, columns, o.hints).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("min_ts", "max_ts")}
+    )
+    meta = {r["column"]: r for r in found.collect()}
     kinds = {c: meta[c]["data_type"] for c in columns}
 
     rows = row_source(source.sparkSession, n, o.partitions)
@@ -183,8 +188,6 @@ def _add_dates(rows, source, kinds, meta, o: Options) -> DataFrame:
         if o.keep_calendar and meta[c]["min_ts"] is not None and days > 0:
             dated = source
             if is_text:
-                from twintable.functions.dates import parse_date
-
                 dated = source.select(parse_date(F.col(f"`{c}`")).alias(c))
             weekdays, months = temporal.calendar_counts(dated, c)
             rows = temporal.add_patterned_dates(

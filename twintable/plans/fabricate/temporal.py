@@ -20,7 +20,7 @@ def span_days(low: datetime, high: datetime) -> int:
 
 def uniform_dates(low: datetime, days: int, u: Column) -> Column:
     """low + whole days below ``days``; the low end itself when the range is empty."""
-    start = F.lit(low).cast("timestamp")
+    start = dates.moment(low)
     return dates.add_days(start, F.floor(u * F.lit(float(max(days, 1)))))
 
 
@@ -50,7 +50,7 @@ def calendar_cells(spark: SparkSession, low: datetime, days: int) -> DataFrame:
     A cell without any day in the range offers all days of its weekday, and a weekday without
     any day offers the whole range. Its size is bounded by the days of the calendar range.
     """
-    day = dates.add_days(F.lit(low).cast("timestamp"), F.col("offset"))
+    day = dates.add_days(dates.moment(low), F.col("offset"))
     all_days = spark.range(max(days, 1)).select(F.col("id").cast("int").alias("offset")).select(
         "offset", F.weekday(day).alias("weekday"), F.month(day).alias("month")
     )
@@ -92,7 +92,7 @@ def add_patterned_dates(
     )
     # 84 rows that list each day of the range a few times
     joined = drawn.join(F.broadcast(cells), ["_w", "_m"], "left")
-    start = F.lit(low).cast("timestamp")
+    start = dates.moment(low)
     return joined.withColumn(
         name, dates.add_days(start, pick_from(F.col("offsets"), draws(2)))
     ).drop("_w", "_m", "offsets")
@@ -108,7 +108,7 @@ def regular_series(
     spark: SparkSession, start: str, end: str, interval: str = "1 day", partitions: int | None = None
 ) -> DataFrame:
     """(step, ts): every point from start to end in equal intervals, spread over partitions."""
-    lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    lo, hi = dates.moment(start), dates.moment(end)
     one = spark.range(1).select(
         F.unix_micros(lo).alias("a"), F.unix_micros(hi).alias("b"),
         F.unix_micros(lo + F.expr(f"INTERVAL '{interval.split()[0]}' {interval.split()[1]}")).alias("c"),
@@ -128,6 +128,6 @@ def seasonal_dates(
     """Dates in one year whose months follow twelve weights; days within a month are uniform."""
     draws = Draws(seed, name, row_id, method)
     month = pick_weighted(list(range(12)), list(month_weights), draws(0))
-    first = F.add_months(F.lit(year_start).cast("date"), month)
+    first = F.add_months(dates.moment(year_start).cast("date"), month)
     days = F.dayofmonth(F.last_day(first))
     return F.date_add(first, F.floor(draws(1) * days).cast("int"))

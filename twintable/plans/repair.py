@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twintable.functions import text
+from twintable.functions.dates import moment
 from twintable.functions.draw import Draws, pick_from
 from twintable.functions.numbers import round_half_even, to_number
 from twintable.operators.columns import find_column, has_token, is_numeric, rows_from_wide
@@ -159,7 +160,7 @@ def temporal_checks(
     aggs, structs = [], []
     for i, (name, (low, high)) in enumerate(ranges.items()):
         c = F.col(f"`{name}`").cast("timestamp")
-        at, lo, hi = (F.unix_micros(x) for x in (c, F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")))
+        at, lo, hi = (F.unix_micros(x) for x in (c, moment(low), moment(high)))
         slack = (hi - lo) * 0.1
         aggs += [
             F.count_if(c.isNull()).alias(f"m{i}"), F.count_if(at < lo - slack).alias(f"b{i}"),
