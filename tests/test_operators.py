@@ -103,6 +103,30 @@ def test_fills_match_pandas(spark, keys, rows_per_bucket):
             x if isinstance(x, str) else None for x in want["s"]]
 
 
+def test_fill_splits_a_hot_moment_along_the_second_order_column(spark):
+    n = 900
+    frame = pd.DataFrame({
+        "t": np.where(np.arange(n) % 3 == 0, 50, np.arange(n) % 100), "i": RNG.permutation(n),
+        "v": np.where(RNG.random(n) < 0.7, np.nan, RNG.random(n)),
+    })
+    df = spark.createDataFrame(frame)
+    cut = fill._cut(df, ["t", "i"], 40)
+    assert cut.filter("t = 50").select("_bucket", "_part").distinct().count() > 5
+    ordered = frame.sort_values(["t", "i"]).set_index("i")["v"]
+    for function, want in ((fill.fill_forward, ordered.ffill()), (fill.fill_backward, ordered.bfill())):
+        got = function(df, ["v"], ["t", "i"], None, 40).toPandas().set_index("i")["v"]
+        assert np.array_equal(got.loc[want.index].to_numpy(), want.to_numpy(), equal_nan=True)
+
+
+def test_wide_tables_take_several_scans(spark, monkeypatch):
+    monkeypatch.setattr(columns, "COLUMNS_PER_SCAN", 3)
+    df = spark.range(50).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(8)])
+    got = {r["column"]: r["mean"] for r in aggregates.moments(df, df.columns).collect()}
+    assert got == {f"c{k}": 24.5 * k for k in range(8)}
+    pairs = aggregates.correlation_pairs(df, ["c1", "c2", "c3"]).collect()
+    assert len(pairs) == 9 and all(r["corr"] == pytest.approx(1.0) for r in pairs)
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     for method in ("md5", "xxhash64"):
         one = spark.range(0, 500, 1, 1).select("id", uniform(3, "c", F.col("id"), 0, method).alias("u"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintable.functions.numbers import not_nan
-from twintable.operators.columns import rows_from_wide
+from twintable.operators.columns import rows_from_wide, rows_per_column
 from twintable.operators.quantiles import clean_number
 
 
@@ -35,7 +35,7 @@ def sample_kurtosis(c: Column, n: Column) -> Column:
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per numeric column: count, min, max, mean, std, variance, shape and sign flags."""
-    aggs, structs = [], []
+    per_column = []
     for i, name in enumerate(columns):
         c = clean_number(df, name)
         n = F.count(c)
@@ -51,11 +51,9 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "is_integer": F.bool_and(c % 1 == 0),
             "is_positive": F.bool_and(c > 0),
         }
-        aggs += [v.alias(f"c{i}_{k}") for k, v in parts.items()]
-        structs.append(
-            F.struct(F.lit(name).alias("column"), *[F.col(f"c{i}_{k}").alias(k) for k in parts])
-        )
-    return rows_from_wide(df.agg(*aggs), structs)
+        row = F.struct(F.lit(name).alias("column"), *[F.col(f"c{i}_{k}").alias(k) for k in parts])
+        per_column.append(([v.alias(f"c{i}_{k}") for k, v in parts.items()], [row]))
+    return rows_per_column(df, per_column)
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -97,10 +95,9 @@ def frame_totals(df: DataFrame) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_a, column_b, corr) over the full matrix, pairwise-complete like pandas.
 
-    All pairs are computed in one map-side aggregate; the mirror and the diagonal come for free.
+    Pairs are map-side aggregates that share scans; the mirror comes for free.
     """
     clean = df.select(*[clean_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    aggs, structs = [], []
 
     def cell(a: int, b: int, value: Column) -> Column:
         return F.struct(
@@ -108,14 +105,17 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             value.alias("corr"),
         )
 
+    parts = []
     for i in range(len(columns)):
-        aggs.append(F.var_pop(f"v{i}").alias(f"s{i}"))
-        structs.append(cell(i, i, F.when(F.col(f"s{i}") > 0, F.lit(1.0))))
+        one = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
+        parts.append(([F.var_pop(f"v{i}").alias(f"s{i}")], [cell(i, i, one)]))
     for i, j in combinations(range(len(columns)), 2):
         r = F.corr(f"v{i}", f"v{j}")
-        aggs.append(F.when(~F.isnan(r), r).alias(f"r{i}_{j}"))
-        structs += [cell(i, j, F.col(f"r{i}_{j}")), cell(j, i, F.col(f"r{i}_{j}"))]
-    return rows_from_wide(clean.agg(*aggs), structs)
+        both = F.col(f"r{i}_{j}")
+        parts.append(
+            ([F.when(~F.isnan(r), r).alias(f"r{i}_{j}")], [cell(i, j, both), cell(j, i, both)])
+        )
+    return rows_per_column(clean, parts)
 
 
 def deterministic_mode(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

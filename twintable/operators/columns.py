@@ -100,6 +100,27 @@ def rows_from_wide(wide: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
 
+COLUMNS_PER_SCAN = 40
+
+
+def rows_per_column(
+    df: DataFrame, parts: Sequence[tuple[Sequence[Column], Sequence[Column]]],
+    shared: Sequence[Column] = (),
+) -> DataFrame:
+    """Report rows from (aggregates, structs) of each column, plus aggregates all may use.
+
+    Up to COLUMNS_PER_SCAN columns share a scan. Wider tables take several: each reads only its
+    own columns, and no single aggregate grows beyond what generated code can hold.
+    """
+    out = None
+    for start in range(0, max(len(parts), 1), COLUMNS_PER_SCAN):
+        chunk = parts[start : start + COLUMNS_PER_SCAN]
+        wide = df.agg(*shared, *[a for aggs, _ in chunk for a in aggs])
+        rows = rows_from_wide(wide, [s for _, structs in chunk for s in structs])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def redact(df: DataFrame, columns: Iterable[str], replacement: str = "[REDACTED]") -> DataFrame:
     """Overwrite columns by a constant; missing columns are skipped."""
     hidden = {c for c in columns if c in df.columns}

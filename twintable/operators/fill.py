@@ -31,35 +31,62 @@ def _position(df: DataFrame, column: str) -> Column | None:
     return None
 
 
-def _cut(df: DataFrame, order: str, rows_per_bucket: int) -> DataFrame:
-    position = _position(df, order)
-    if position is None:
-        return df.withColumn("_bucket", F.lit(0))
-    placed = df.withColumn("_pos", position)
+def _splits(positions: DataFrame, column: str, n: int) -> list[float]:
+    """Cut points at sketch quantiles. A value that fills a whole bucket gets one to itself."""
+    found = positions.agg(
+        F.percentile_approx(column, [i / n for i in range(1, n)], max(1000, 4 * n))
+    ).first()[0] or []
+    cuts = set(found)
+    cuts |= {math.nextafter(v, math.inf) for v in cuts if found.count(v) > 1}
+    return [-math.inf, *sorted(cuts), math.inf]
+
+
+def _cut(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """Adds ``_bucket`` (follows the order) and ``_part``, which splits buckets of one hot value.
+
+    Where many rows share a value of the first order column, their order is that of the second;
+    the bucket is then cut along it.
+    """
+    first = _position(df, order_by[0])
+    if first is None:
+        return df.withColumns({"_bucket": F.lit(0), "_part": F.lit(0)})
+    second = _position(df, order_by[1]) if len(order_by) > 1 else None
+    placed = df.withColumn("_pos", first).withColumn(
+        "_pos2", second if second is not None else F.lit(0.0)
+    )
     n = min(MAX_BUCKETS, max(1, placed.count() // rows_per_bucket))
     if n == 1:
-        return placed.drop("_pos").withColumn("_bucket", F.lit(0))
-    cuts = placed.agg(
-        F.percentile_approx("_pos", [i / n for i in range(1, n)], max(1000, 4 * n))
-    ).first()[0]
+        return placed.drop("_pos", "_pos2").withColumns({"_bucket": F.lit(0), "_part": F.lit(0)})
+    splits = _splits(placed, "_pos", n)
+    hot = [i for i in range(1, len(splits) - 1) if math.nextafter(splits[i], math.inf) == splits[i + 1]]
     cut = Bucketizer(
-        inputCol="_pos", outputCol="_bucket",
-        splits=[-math.inf, *sorted(set(cuts)), math.inf], handleInvalid="keep",
+        inputCol="_pos", outputCol="_bucket", splits=splits, handleInvalid="keep",
     ).transform(placed)
+    if hot and second is not None:
+        cut = Bucketizer(
+            inputCol="_pos2", outputCol="_part", splits=_splits(placed, "_pos2", n),
+            handleInvalid="keep",
+        ).transform(cut)
+        inner = F.when(F.col("_pos2").isNull(), F.lit(-1.0)).otherwise(F.col("_part"))
+        part = F.when(F.col("_bucket").isin(hot), inner).otherwise(F.lit(0.0))
+    else:
+        part = F.lit(0)
     # rows without a position go first, like nulls in an ascending sort
-    first = F.when(F.col("_pos").isNull(), F.lit(-1.0)).otherwise(F.col("_bucket"))
-    return cut.withColumn("_bucket", first.cast("int")).drop("_pos")
+    bucket = F.when(F.col("_pos").isNull(), F.lit(-1.0)).otherwise(F.col("_bucket"))
+    return cut.withColumns({"_bucket": bucket.cast("int"), "_part": part.cast("int")}).drop(
+        "_pos", "_pos2"
+    )
 
 
 def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     keys = list(partition_by or [])
     types = {f.name: f.dataType for f in df.schema.fields}
-    cut = _cut(df, order_by[0], rows_per_bucket)
+    cut = _cut(df, order_by, rows_per_bucket)
     known = {c: not_nan(F.col(f"`{c}`"), types[c]) for c in columns}
     order = [F.col(f"`{o}`") for o in order_by]
     stamp = F.struct(*order)
     edge = F.min_by if backward else F.max_by
-    carried = cut.groupBy(*keys, "_bucket").agg(
+    carried = cut.groupBy(*keys, "_bucket", "_part").agg(
         *[edge(v, F.when(v.isNotNull(), stamp)).alias(f"_edge_{i}")
           for i, v in enumerate(known.values())]
     )
@@ -67,7 +94,9 @@ def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     # that shrinks would be recomputed for every row.
     turn = (lambda c: c.desc()) if backward else (lambda c: c.asc())
     # one row per key and bucket: what the neighbours hand over
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(turn(F.col("_bucket")))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(
+        turn(F.col("_bucket")), turn(F.col("_part"))
+    )
     w = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.withColumns(
         {f"_carry_{i}": F.last(f"_edge_{i}", True).over(w) for i in range(len(columns))}
@@ -75,14 +104,14 @@ def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     # What is handed over enters each bucket as a row before all others: one window does the
     # rest, without joining anything to the table.
     handed = carried.select(
-        *keys, "_bucket", F.lit(0).alias("_data"),
+        *keys, "_bucket", "_part", F.lit(0).alias("_data"),
         *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(columns)],
     )
     both = cut.withColumn("_data", F.lit(1)).withColumns(known).unionByName(
         handed, allowMissingColumns=True
     )
     span = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_data", *map(turn, order))
+        Window.partitionBy(*keys, "_bucket", "_part").orderBy("_data", *map(turn, order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = both.withColumns({c: F.last(F.col(f"`{c}`"), True).over(span) for c in columns})

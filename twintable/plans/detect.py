@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintable.functions.numbers import not_nan, plain_text
-from twintable.operators.columns import atomic_columns, numeric_columns, rows_from_wide
+from twintable.operators.columns import (
+    atomic_columns, numeric_columns, rows_from_wide, rows_per_column,
+)
 
 # Detector patterns, all anchored.
 PATTERNS = {
@@ -84,10 +86,10 @@ def match_counts(
     """(column, pii_type, match_count, total_count, match_rate) for every detector."""
     columns = list(columns or atomic_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs, structs = [], []
+    per_column = []
     for i, name in enumerate(columns):
         text = plain_text(not_nan(F.col(f"`{name}`"), types[name]), types[name])
-        aggs.append(F.count(text).alias(f"n{i}"))
+        aggs, structs = [F.count(text).alias(f"n{i}")], []
         for kind, hit in detectors(text, whole_words).items():
             aggs.append(F.count_if(hit).alias(f"m{i}_{kind}"))
             structs.append(
@@ -96,7 +98,8 @@ def match_counts(
                     F.col(f"m{i}_{kind}").alias("match_count"), F.col(f"n{i}").alias("total_count"),
                 )
             )
-    return rows_from_wide(df.agg(*aggs), structs).withColumn(
+        per_column.append((aggs, structs))
+    return rows_per_column(df, per_column).withColumn(
         "match_rate",
         F.when(F.col("total_count") > 0, F.col("match_count") / F.col("total_count"))
         .otherwise(F.lit(0.0)),

@@ -111,7 +111,20 @@ def _numeric_exprs(source, kinds, o: Options) -> dict[str, Column]:
     text_numbers = {c: F.col(f"`{c}`").try_cast("double") for c in names
                     if isinstance(source.schema[c].dataType, T.StringType)}
     numbers = source.withColumns(text_numbers) if text_numbers else source
-    fits = {r["column"]: r.asDict() for r in numeric.best_fit(numbers, names).collect()}
+    spread = {r["column"]: r.asDict() for r in numeric.fit_parameters(numbers, names).collect()}
+    whole = {
+        c: infer.should_be_integer(c, source.schema[c].dataType, spread[c]["is_integer"])
+        for c in names
+    }
+    # what counts on or was given a distribution needs no fit
+    open_columns = [
+        c for c in names
+        if spread[c]["n"] and not (whole[c] and has_token(c, "id"))
+        and "distribution" not in o.overrides.get(c, {})
+    ]
+    fits = dict(spread)
+    if open_columns:
+        fits |= {r["column"]: r.asDict() for r in numeric.best_fit(numbers, open_columns).collect()}
     row = F.col("row_id")
     mixed = (
         numeric.correlated_columns(numbers, names, row, o.seed, o.method)
@@ -122,19 +135,18 @@ def _numeric_exprs(source, kinds, o: Options) -> dict[str, Column]:
         p = fits[c] | {k: v for k, v in o.overrides.get(c, {}).items() if k in ("min", "max")}
         if not p["n"]:
             continue
-        whole = infer.should_be_integer(c, source.schema[c].dataType, p["is_integer"])
-        if whole and has_token(c, *COUNTER_WORDS) and p["min"] <= 0:
+        if whole[c] and has_token(c, *COUNTER_WORDS) and p["min"] <= 0:
             # counters start at one
             out[c] = row + F.lit(1)
             continue
         over = o.overrides.get(c, {})
-        if c in mixed and not (whole and has_token(c, "id")):
+        if c in mixed and not (whole[c] and has_token(c, "id")):
             value = clip(mixed[c], float(p["min"]), float(p["max"]))
-            out[c] = F.rint(value).cast("long") if whole else value
+            out[c] = F.rint(value).cast("long") if whole[c] else value
             continue
-        family = over.get("distribution", p["family"])
+        family = over.get("distribution") or p.get("family", "uniform")
         out[c] = numeric.numeric_column(
-            c, family, p, row, o.seed, whole, o.method, over.get("decimals"), o.enforce_range
+            c, family, p, row, o.seed, whole[c], o.method, over.get("decimals"), o.enforce_range
         )
     return out
 

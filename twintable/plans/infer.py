@@ -12,7 +12,7 @@ from twintable.functions import dates
 from twintable.functions.numbers import not_nan, plain_text, to_number
 from twintable.operators import aggregates
 from twintable.operators.columns import (
-    atomic_columns, has_token, is_numeric, rows_from_wide, small_copy,
+    atomic_columns, has_token, is_numeric, rows_from_wide, rows_per_column, small_copy,
 )
 from twintable.operators.frequency import frequency_summary, value_frequencies
 from twintable.plans import detect
@@ -70,7 +70,7 @@ def signals(df: DataFrame, columns: Sequence[str], scores: bool = True) -> DataF
     Routing needs only some of them; ``scores`` adds what the type scores use.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs, structs = [F.count("*").alias("rows")], []
+    per_column = []
     for i, name in enumerate(columns):
         dtype = types[name]
         value = not_nan(F.col(f"`{name}`"), dtype)
@@ -99,18 +99,14 @@ def signals(df: DataFrame, columns: Sequence[str], scores: bool = True) -> DataF
         }
         if not scores:
             parts = {k: parts[k] for k in ROUTING_SIGNALS}
-        aggs += [v.alias(f"c{i}_{k}") for k, v in parts.items()]
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(is_numeric(dtype)).alias("numeric_type"),
-                F.lit(isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)))
-                .alias("date_type"),
-                F.col("rows").alias("total_count"),
-                *[F.col(f"c{i}_{k}").alias(k) for k in parts],
-            )
+        dated = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        row = F.struct(
+            F.lit(name).alias("column"), F.lit(is_numeric(dtype)).alias("numeric_type"),
+            F.lit(dated).alias("date_type"), F.col("rows").alias("total_count"),
+            *[F.col(f"c{i}_{k}").alias(k) for k in parts],
         )
-    return rows_from_wide(df.agg(*aggs), structs)
+        per_column.append(([v.alias(f"c{i}_{k}") for k, v in parts.items()], [row]))
+    return rows_per_column(df, per_column, [F.count("*").alias("rows")])
 
 
 def with_distinct_counts(

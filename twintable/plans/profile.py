@@ -12,7 +12,7 @@ from twintable.functions import dates
 from twintable.functions.text import shape_pattern
 from twintable.operators.aggregates import sample_kurtosis, sample_skewness
 from twintable.operators.columns import (
-    atomic_columns, numeric_columns, rows_from_wide,
+    atomic_columns, numeric_columns, rows_from_wide, rows_per_column,
 )
 from twintable.operators.frequency import (
     LONG_VALUE, frequency_summary, melt, top_values, value_frequencies, value_key,
@@ -34,7 +34,7 @@ def profile_numeric(
     """
     columns = list(columns or numeric_columns(df))
     found = quantile_values(df, columns, list(QUANTILES.values()), distinct_limit)
-    aggs, structs = [], []
+    per_column = []
     for i, name in enumerate(columns):
         c = clean_number(df, name)
         q = dict(zip(QUANTILES, found[name]))
@@ -57,17 +57,15 @@ def profile_numeric(
             "is_positive": F.bool_and(c > 0),
             "outlier_count": outliers,
         }
-        aggs += [v.alias(f"c{i}_{k}") for k, v in parts.items()]
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                *[F.col(f"c{i}_{k}").alias(k) for k in parts],
-                F.lit(q["q50"]).cast("double").alias("median"),
-                *[F.lit(v).cast("double").alias(k) for k, v in q.items()],
-                (F.col(f"c{i}_outlier_count") > 0).alias("has_outliers"),
-            )
+        row = F.struct(
+            F.lit(name).alias("column"),
+            *[F.col(f"c{i}_{k}").alias(k) for k in parts],
+            F.lit(q["q50"]).cast("double").alias("median"),
+            *[F.lit(v).cast("double").alias(k) for k, v in q.items()],
+            (F.col(f"c{i}_outlier_count") > 0).alias("has_outliers"),
         )
-    return rows_from_wide(df.agg(*aggs), structs)
+        per_column.append(([v.alias(f"c{i}_{k}") for k, v in parts.items()], [row]))
+    return rows_per_column(df, per_column)
 
 
 def _count_of(c: Column, runs: str) -> Column:
@@ -77,7 +75,7 @@ def _count_of(c: Column, runs: str) -> Column:
 
 def length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per text column: length statistics and character class shares, in one scan."""
-    aggs, structs = [], []
+    per_column = []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`").cast("string")
         size = F.length(c)
@@ -94,11 +92,9 @@ def length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "digits": F.sum(_count_of(c, r"\d+")),
             "special": F.sum(_count_of(c, r"[^a-zA-Z0-9\s]+")),
         }
-        aggs += [v.alias(f"c{i}_{k}") for k, v in parts.items()]
-        structs.append(
-            F.struct(F.lit(name).alias("column"), *[F.col(f"c{i}_{k}").alias(k) for k in parts])
-        )
-    wide = rows_from_wide(df.agg(*aggs), structs)
+        row = F.struct(F.lit(name).alias("column"), *[F.col(f"c{i}_{k}").alias(k) for k in parts])
+        per_column.append(([v.alias(f"c{i}_{k}") for k, v in parts.items()], [row]))
+    wide = rows_per_column(df, per_column)
 
     def share(k):
         return F.when(F.col("chars") > 0, F.col(k) / F.col("chars"))
