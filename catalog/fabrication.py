@@ -645,6 +645,24 @@ WITH {ROWS} SELECT round(100.0 + {_table_u('o_totalprice')} * 100.0, 1)::DOUBLE
   CASE WHEN floor({_table_u('o_orderstatus')} * 1000000) < 250000 THEN 'A' ELSE 'B' END AS o_orderstatus FROM rows_"""
 
 
+def outlier_handling(spark, d):
+    """Reference outliers are moved to the fences before anything is drawn."""
+    df = load(spark, d, "orders").selectExpr(
+        "o_totalprice * CASE WHEN o_orderkey % 100 = 0 THEN 50 ELSE 1 END AS o_totalprice"
+    )
+    out = fabricate(df, df.count(), Options(
+        seed=TABLE_SEED, outliers="clip", overrides={"o_totalprice": {"distribution": "uniform"}}
+    ))
+    return rounded(out, o_totalprice=3)
+
+
+OUTLIER_SQL = f"""
+WITH {ROWS}, x AS (SELECT o_totalprice * CASE WHEN o_orderkey % 100 = 0 THEN 50 ELSE 1 END AS v FROM orders),
+q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM x),
+c AS (SELECT min(least(greatest(v, a - 1.5 * (b - a)), b + 1.5 * (b - a))) AS lo, max(least(greatest(v, a - 1.5 * (b - a)), b + 1.5 * (b - a))) AS hi FROM x, q)
+SELECT round(lo + {_table_u('o_totalprice')} * (hi - lo), 3) AS o_totalprice FROM rows_, c"""
+
+
 def custom_generators(spark, d):
     """A column and a whole data type made by the caller's own expressions."""
     df = load(spark, d, "orders").select("o_totalprice", "o_orderstatus")
@@ -707,6 +725,7 @@ QUERIES = {
     "fabricate_people": (fabricate_people, PEOPLE_SQL),
     "keep_nulls": (keep_nulls, NULLS_SQL),
     "column_overrides": (column_overrides, OVERRIDE_SQL),
+    "outlier_handling": (outlier_handling, OUTLIER_SQL),
     "custom_generators": (custom_generators, CUSTOM_SQL),
     "blended_rows": (blended_rows, BLEND_SQL),
     "fast_draws": (fast_draws, "SELECT count(*) AS n_ref, count(*) AS n_syn, TRUE AS near FROM orders"),

@@ -47,6 +47,21 @@ def fit_parameters(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).withColumn("gamma_scale", F.col("pos_mean") / F.col("gamma_shape"))
 
 
+def without_outliers(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """``remove`` turns values outside the quartile fences into NULL, ``clip`` moves them there."""
+    if how not in ("remove", "clip"):
+        raise ValueError(f"unknown outlier handling: {how}")
+    quartiles = quantile_values(df, columns, [0.25, 0.75])
+    changed = {}
+    for name, (q1, q3) in quartiles.items():
+        if q1 is None:
+            continue
+        c = clean_number(df, name)
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        changed[name] = F.when(c.between(low, high), c) if how == "remove" else num.clip(c, low, high)
+    return df.withColumns(changed) if changed else df
+
+
 def _cdfs() -> dict[str, Column]:
     """Distribution functions over ``value`` and the parameter columns; NULL where undefined."""
     x = F.col("value")
@@ -74,12 +89,15 @@ def fit_scores(df: DataFrame, columns: Sequence[str], parameters: DataFrame) ->
     )
 
 
-def best_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def best_fit(
+    df: DataFrame, columns: Sequence[str], parameters: DataFrame | None = None
+) -> DataFrame:
     """Parameters plus ``family`` and ``score``: the family nearest to the data per column.
 
     A column no family is defined for (a constant) falls back to the normal one.
     """
-    parameters = small_copy(fit_parameters(df, columns))
+    if parameters is None:
+        parameters = small_copy(fit_parameters(df, columns))
     order = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family"))
     chosen = fit_scores(df, columns, parameters).filter(F.col("score").isNotNull()).groupBy(
         "column"

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from twintable.functions.draw import Draws
 from twintable.functions.dates import parse_date
 from twintable.functions.numbers import clip
-from twintable.operators.columns import atomic_columns, find_column, has_token, restore_order
+from twintable.operators.columns import (
+    atomic_columns, find_column, has_token, restore_order, small_copy,
+)
 from twintable.plans import infer
 from twintable.plans.fabricate import categorical, lookups, numeric, people, temporal, text
 from twintable.plans.repair import COUNTER_WORDS, repair
@@ -38,6 +40,8 @@ class Options:
     business_days: bool = False
     match_lengths: bool = True
     enforce_range: bool = True
+    # outliers of the reference: preserve, remove or clip
+    outliers: str = "preserve"
     repair: bool = True
     locale: str = lookups.DEFAULT_LOCALE
     genders: Mapping[str, float] | None = None
@@ -111,7 +115,10 @@ def _numeric_exprs(source, kinds, o: Options) -> dict[str, Column]:
     text_numbers = {c: F.col(f"`{c}`").try_cast("double") for c in names
                     if isinstance(source.schema[c].dataType, T.StringType)}
     numbers = source.withColumns(text_numbers) if text_numbers else source
-    spread = {r["column"]: r.asDict() for r in numeric.fit_parameters(numbers, names).collect()}
+    if o.outliers != "preserve":
+        numbers = numeric.without_outliers(numbers, names, o.outliers)
+    parameters = small_copy(numeric.fit_parameters(numbers, names))
+    spread = {r["column"]: r.asDict() for r in parameters.collect()}
     whole = {
         c: infer.should_be_integer(c, source.schema[c].dataType, spread[c]["is_integer"])
         for c in names
@@ -124,7 +131,10 @@ def _numeric_exprs(source, kinds, o: Options) -> dict[str, Column]:
     ]
     fits = dict(spread)
     if open_columns:
-        fits |= {r["column"]: r.asDict() for r in numeric.best_fit(numbers, open_columns).collect()}
+        best = numeric.best_fit(
+            numbers, open_columns, parameters.filter(F.col("column").isin(open_columns))
+        )
+        fits |= {r["column"]: r.asDict() for r in best.collect()}
     row = F.col("row_id")
     mixed = (
         numeric.correlated_columns(numbers, names, row, o.seed, o.method)
