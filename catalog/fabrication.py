@@ -309,7 +309,7 @@ def _slot_sql(part: str, draw: int, name: str, seed: int = SEED) -> str:
 def patterned_sql(name: str, seed: int = SEED) -> str:
     return f"""(SELECT row_id, lo + (coalesce(e.offs, f.offs))[1 + CAST(floor({u_sql(seed, name, 'row_id', 2)} * len(coalesce(e.offs, f.offs))) AS INT)] * INTERVAL 1 DAY AS {name}
 FROM {_slot_sql('isodow(o_orderdate) - 1', 0, name, seed)} w JOIN {_slot_sql('month(o_orderdate)', 1, name, seed)} m USING (row_id)
-CROSS JOIN {_SPAN} sp
+JOIN {_SPAN} sp ON TRUE
 LEFT JOIN (SELECT w, m, list(o ORDER BY o) AS offs FROM days_ GROUP BY 1, 2) e ON e.w = w.s AND e.m = m.s
 LEFT JOIN (SELECT w, list(o ORDER BY o) AS offs FROM days_ GROUP BY 1) f ON f.w = w.s)"""
 
