@@ -167,6 +167,13 @@ def test_long_values_are_counted_exactly(spark):
     assert sorted(r["n"] for r in freq.collect()) == [1, 1, 2]
 
 
+def test_numbers_as_text(spark):
+    rows = [(0.0,), (-0.0,), (12345678.25,), (1e9,), (0.5,), (None,)]
+    freq = frequency.value_frequencies(spark.createDataFrame(rows, "x double"), ["x"])
+    assert {r["value"]: r["n"] for r in freq.collect()} == {
+        "0.0": 2, "12345678.25": 1, "1000000000.0": 1, "0.5": 1}
+
+
 def test_name_tokens_keep_word_boundaries():
     assert columns.has_token("record_id", "id") and columns.has_token("Respondent_ID", "id")
     assert columns.has_token("userID", "id") and columns.has_token("Sl No", "sl no")

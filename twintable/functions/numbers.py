@@ -55,6 +55,7 @@ def not_nan(c: Column, dtype: T.DataType) -> Column:
 def plain_text(c: Column, dtype: T.DataType) -> Column:
     """Text of a value without exponents, so that patterns see ``12345678.5``."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # minus zero equals zero
         wide = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
         return F.when(F.abs(c).between(1e7, 1e26), wide).otherwise(c.cast("string"))
     return c.cast("string")
