@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintable.llm import language, packing, simhash
+from twintable.llm import language, packing, simhash, suffixes, trees
 from twintable.llm.base import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes under 200-byte strings that start anywhere else too are removed from whole texts."""
+    found = suffixes.remove_repeats(read(spark, folder, "documents"), window=200)
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash classes of whole texts: 3-word shingles, links at two differing bits or fewer."""
     found = simhash.classes(read(spark, folder, "documents"), words=3, seeds=(42,), radius=2)
@@ -30,9 +36,17 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model, keep={"doc_id": "doc_id", "held_out": "held_out"})
 
 
+def op9_suffix_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words under windows of 20 words that also start earlier are removed from whole texts."""
+    found = trees.remove_repeats(read(spark, folder, "documents"), window=20)
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 #: name: (query, SQL for the same rows or None)
 QUERIES = {
+    "op1_suffix_array_dedup": (op1_suffix_array_dedup, None),
     "op2_simhash_near_duplicates": (op2_simhash_near_duplicates, None),
     "op3_packing": (op3_packing, None),
     "op8_language": (op8_language, None),
+    "op9_suffix_tree_dedup": (op9_suffix_tree_dedup, None),
 }
