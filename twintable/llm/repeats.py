@@ -183,6 +183,40 @@ class Shard:
         return cls(list(texts), np.array(number, np.int64), np.array(batch, np.int64), places)
 
 
+@dataclass
+class Ages:
+    """For each distinct passage its windows' first occurrence: ages are ranks of (key is null, key, rid, window)."""
+
+    first: np.ndarray  # rid, key, key is null, first window; by passage
+    age: np.ndarray  # of the windows of all passages, one after the other
+
+    @classmethod
+    def of(cls, shard: Shard, windows: np.ndarray) -> Ages:
+        places = np.concatenate(shard.places)
+        number = np.repeat(shard.number, [len(p) for p in shard.places])
+        order = np.lexsort((places[:, 3], places[:, 0], places[:, 1], places[:, 2], number))
+        head = order[np.concatenate(([True], number[order][1:] != number[order][:-1]))]
+        first = places[head]
+        which = np.repeat(np.arange(len(windows)), windows)
+        at = first[which, 3] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+        rid, key, null = first[which, 0], first[which, 1], first[which, 2]
+        by = np.lexsort((at, rid, key, null))
+        new = np.ones(len(by), bool)  # a window may be in two passages that overlap
+        new[1:] = (at[by][1:] != at[by][:-1]) | (rid[by][1:] != rid[by][:-1])
+        age = np.empty(len(by), np.int64)
+        age[by] = np.cumsum(new)
+        return cls(first, age)
+
+    def flags(self, shard: Shard, younger: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What ``removed_units`` wants: younger windows of a passage's first occurrence, all windows of the others."""
+        for k, batch, where in zip(shard.number.tolist(), shard.batch.tolist(), shard.places, strict=True):
+            first = (where[:, 0] == self.first[k, 0]) & (where[:, 3] == self.first[k, 3])
+            if first.any():
+                yield batch, where[first], younger[k]
+            if not first.all():
+                yield batch, where[~first], np.ones(len(younger[k]), bool)
+
+
 def covered(flags: np.ndarray, window: int) -> np.ndarray:
     """[first unit, unit behind] of the stretches that flagged windows cover, in order."""
     at = np.flatnonzero(flags)
@@ -234,7 +268,7 @@ def apply_spans(batches: DataFrame, spans: DataFrame, finish: Callable[[pd.Serie
         out = pd.DataFrame([finish(text, every[i:j, 1:]) for text, i, j in zip(rows["text"], low, high, strict=True)],
                            columns=names)
         out.insert(0, "rid", rid)
-        out.insert(1, "key", rows["key"].astype("Int64").to_numpy())
+        out.insert(1, "key", rows["key"].astype("Int64").reset_index(drop=True))
         return out
 
     return batches.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(work, f"rid long, key long, {schema}")

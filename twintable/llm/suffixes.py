@@ -275,8 +275,9 @@ def common_windows(text: np.ndarray, order: np.ndarray, window: int, room: np.nd
     return out
 
 
-def repeated_windows(passages: list[bytes], twice: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each passage, whether the window from each place on is also elsewhere (or the passage is, twice)."""
+def repeated_windows(passages: list[bytes], window: int, ages: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each passage, which of its windows are also elsewhere in the passages; with ages (of all windows, one
+    passage after the other), which of them an older one equals."""
     n = np.array([len(p) for p in passages], np.int64)
     start = np.concatenate(([0], np.cumsum(n + 1)))
     text = np.zeros(start[-1] + 1, np.int16)
@@ -290,9 +291,17 @@ def repeated_windows(passages: list[bytes], twice: np.ndarray, window: int) -> l
     order = sort_suffixes(parted)
     same = common_windows(text, order, window, room)
     flags = np.zeros(len(text), bool)
-    flags[order[same]] = True
-    flags[order[np.flatnonzero(same) - 1]] = True
-    return [flags[a:a + len(p) - window + 1] | t for p, a, t in zip(passages, start[:-1].tolist(), twice.tolist(), strict=True)]
+    if ages is None:
+        flags[order[same]] = True
+        flags[order[np.flatnonzero(same) - 1]] = True
+    else:
+        rank = np.zeros(len(text), np.int64)
+        rank[room >= window] = ages
+        ranked = rank[order]
+        first = np.flatnonzero(~same)
+        oldest = np.repeat(np.minimum.reduceat(ranked, first), np.diff(np.append(first, len(order))))
+        flags[order] = ranked > oldest
+    return [flags[a:a + len(p) - window + 1] for p, a in zip(passages, start[:-1].tolist(), strict=True)]
 
 
 def kind_of(window: int) -> repeats.Kind:
@@ -300,8 +309,10 @@ def kind_of(window: int) -> repeats.Kind:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 200,
-                   with_text: bool = False) -> DataFrame:
-    """Removes each byte that is covered by a string of ``window`` bytes which starts anywhere else too.
+                   keep_first: bool = False, with_text: bool = False) -> DataFrame:
+    """Removes each byte that is covered by a string of ``window`` bytes which starts anywhere else too, or, with
+    ``keep_first``, which also starts earlier: in a row with a smaller key (rows with equal keys in input order, null
+    keys last) or before it in the same document.
 
     One row per input row: rid, key, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256,
     and with ``with_text`` the text that is left (bytes of a cut character are dropped from it). Null and empty texts have
@@ -316,8 +327,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if not shard.texts:
             return
+        if keep_first:
+            windows = np.array([len(t) for t in shard.texts]) - window + 1
+            ages = repeats.Ages.of(shard, windows)
+            yield from ages.flags(shard, repeated_windows(shard.texts, window, ages.age))
+            return
         seen = np.bincount(shard.number, [len(p) for p in shard.places], minlength=len(shard.texts))
-        flags = repeated_windows(shard.texts, seen > 1, window)
+        flags = [f | twice for f, twice in zip(repeated_windows(shard.texts, window), (seen > 1).tolist(), strict=True)]
         for number, batch, places in zip(shard.number.tolist(), shard.batch.tolist(), shard.places, strict=True):
             yield batch, places, flags[number]
 

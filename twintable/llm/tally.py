@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 
+#: The largest hash stands for a sum over all batches.
+TOTAL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 ASKED = "batch long, bucket int, hashes binary, counts binary"
 ANSWERED = "batch long, bucket int, counts binary"
 
@@ -33,47 +36,65 @@ def buckets_for(total: int) -> int:
     return max(16, -(-total // BUCKET_BYTES))
 
 
-def question(batch: int, hashes: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row for each bucket."""
+def packed(values: np.ndarray) -> bytes:
+    """Rising 64-bit numbers, as steps, all first bytes first: high bytes are mostly zero and compress well."""
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def plain(values: np.ndarray) -> bytes:
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplain(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def question(batch: int, hashes: np.ndarray, buckets: int, total: int | None = None) -> pd.DataFrame:
+    """One row for each bucket. total: what the batch adds to the count of ``TOTAL``."""
     found, counts = np.unique(hashes, return_counts=True)
+    if total is not None:
+        found, counts = np.append(found, TOTAL), np.append(counts, total)
     bucket = (found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(found) else np.zeros(0, int)
     stop = np.append(start[1:], len(found))
-    counts = counts.astype(np.uint32)
     return pd.DataFrame({
         "batch": np.full(len(start), batch, np.int64), "bucket": bucket[start].astype(np.int32),
-        "hashes": [found[i:j].tobytes() for i, j in zip(start, stop, strict=True)],
-        "counts": [counts[i:j].tobytes() for i, j in zip(start, stop, strict=True)]})
+        "hashes": [packed(found[i:j]) for i, j in zip(start, stop, strict=True)],
+        "counts": [plain(counts[i:j]) for i, j in zip(start, stop, strict=True)]})
 
 
 def totals(asked: DataFrame) -> DataFrame:
     """For each row that asks the sums over all batches."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        parts = [unpacked(h) for h in rows["hashes"]]
         every = np.concatenate(parts)
-        n = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]])
+        n = np.concatenate([unplain(c) for c in rows["counts"]])
         order = np.argsort(every, kind="stable")
         ordered = every[order]
         first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        sums = np.add.reduceat(n[order].astype(np.uint64), np.flatnonzero(first))
-        back = np.empty(len(every), np.uint32)
-        back[order] = np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)[np.cumsum(first) - 1]
+        sums = np.add.reduceat(n[order], np.flatnonzero(first))
+        back = np.empty(len(every), np.uint64)
+        back[order] = sums[np.cumsum(first) - 1]
         ends = np.cumsum([len(p) for p in parts])[:-1]
         return pd.DataFrame({"batch": rows["batch"].to_numpy(), "bucket": rows["bucket"].to_numpy(),
-                             "counts": [x.tobytes() for x in np.split(back, ends)]})
+                             "counts": [plain(x) for x in np.split(back, ends)]})
 
     return asked.groupBy("bucket").applyInPandas(add, ANSWERED)
 
 
-def answer(hashes: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
-    """Total count of each hash, from the answers to its batch."""
+def answer(hashes: np.ndarray, rows: pd.DataFrame, total: bool = False) -> np.ndarray:
+    """Total count of each hash, from the answers to its batch; with ``total`` that of ``TOTAL`` at the end."""
     found, back = np.unique(hashes, return_inverse=True)
-    parts = [np.frombuffer(c, np.uint32) for c in rows.sort_values("bucket")["counts"]]
-    counts = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    if len(counts) != len(found):
+    parts = [unplain(c) for c in rows.sort_values("bucket")["counts"]]
+    counts = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if len(counts) != len(found) + total:
         raise RuntimeError("answers do not fit the batch: its rows changed between two reads")
-    return counts[back]
+    return np.append(counts[back], counts[len(found):])
 
 
 def ask(docs: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]], buckets: int) -> DataFrame:

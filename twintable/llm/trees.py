@@ -82,34 +82,14 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if not shard.texts:
             return
-        # the first occurrence of each distinct passage
-        places = np.concatenate(shard.places)
-        number = np.repeat(shard.number, [len(p) for p in shard.places])
-        order = np.lexsort((places[:, 3], places[:, 0], places[:, 1], places[:, 2], number))
-        head = order[np.concatenate(([True], number[order][1:] != number[order][:-1]))]
-        oldest = places[head]
         n = np.array([len(t) // 8 for t in shard.texts])
         start = np.concatenate(([0], np.cumsum(n)))
         words = np.frombuffer(b"".join(shard.texts), np.uint64)
         windows = n - window + 1
-        which = np.repeat(np.arange(len(n)), windows)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        suffixes = start[which] + within
-        # age of each window at its passage's first occurrence; places of one window may be listed twice
-        when = oldest[which]
-        at = when[:, 3] + within
-        by = np.lexsort((at, when[:, 0], when[:, 1], when[:, 2]))
-        new = np.ones(len(by), bool)
-        new[1:] = (at[by][1:] != at[by][:-1]) | (when[by][1:, 0] != when[by][:-1, 0])
-        age = np.empty(len(by), np.int64)
-        age[by] = np.cumsum(new)
-        flags = repeated_windows(words, suffixes, age, window)
-        for k, batch, where in zip(shard.number.tolist(), shard.batch.tolist(), shard.places, strict=True):
-            first = (where[:, 0] == oldest[k, 0]) & (where[:, 3] == oldest[k, 3])
-            if first.any():
-                yield batch, where[first], flags[start[k]:start[k] + windows[k]]
-            if not first.all():
-                yield batch, where[~first], np.ones(windows[k], bool)
+        ages = repeats.Ages.of(shard, windows)
+        suffixes = np.repeat(start[:-1] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        younger = repeated_windows(words, suffixes, ages.age, window)
+        yield from ages.flags(shard, [younger[a:a + m] for a, m in zip(start.tolist(), windows.tolist(), strict=False)])
 
     def finish(value: str | None, spans: np.ndarray) -> tuple:
         raw = (value or "").encode()
