@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintable.llm import language, packing, simhash, suffixes, trees
+from twintable.llm import decontaminate, language, licenses, neighbours, ngrams, packing, simhash, suffixes, trees, warc
 from twintable.llm.base import read
 
 
@@ -27,6 +27,28 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents")).drop("ids")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a window that resembles a benchmark item, and which items."""
+    found = decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "similarity")
+
+
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every whole text from trigram counts over all of them."""
+    found = ngrams.score(read(spark, folder, "documents"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest other vectors by cosine for every fiftieth vector."""
+    return neighbours.search(read(spark, folder, "embeddings"), every=50, k=5)
+
+
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence notice that a line or paragraph of each text resembles most."""
+    return licenses.scan(read(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every whole text, learned from documents outside the held-out fold only."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -42,11 +64,38 @@ def op9_suffix_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, written and read back; repeated payloads are revisits."""
+    found = warc.archived(read(spark, folder, "pages"))
+    own = F.col("type") == "response"
+    return found.select(
+        F.col("key").alias("page_id"),
+        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(own, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
+
+
+#: How the same records come about without archives.
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS holder FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM m"""
+
+
 #: name: (query, SQL for the same rows or None)
 QUERIES = {
     "op1_suffix_array_dedup": (op1_suffix_array_dedup, None),
     "op2_simhash_near_duplicates": (op2_simhash_near_duplicates, None),
     "op3_packing": (op3_packing, None),
+    "op4_decontamination": (op4_decontamination, None),
+    "op5_lm_scoring": (op5_lm_scoring, None),
+    "op6_neighbours": (op6_neighbours, None),
+    "op7_licenses": (op7_licenses, licenses.scan_sql()),
     "op8_language": (op8_language, None),
     "op9_suffix_tree_dedup": (op9_suffix_tree_dedup, None),
+    "op10_warc": (op10_warc, WARC_SQL),
 }
