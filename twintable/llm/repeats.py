@@ -256,9 +256,13 @@ def keep_mask(n: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def apply_spans(batches: DataFrame, spans: DataFrame, finish: Callable[[pd.Series, np.ndarray], tuple], schema: str) -> DataFrame:
-    """``finish(row, spans)`` of every document; the columns named by the schema follow."""
+def apply_spans(batches: DataFrame, spans: DataFrame, finish: Callable[[pd.Series, np.ndarray], tuple], schema: str,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """``finish(text, spans)`` of every document; the columns named by the schema follow, then those of ``keep``."""
     names = [c.split()[0] for c in schema.split(", ")]
+    held = {f"kept_{i}": c for i, c in enumerate(keep) if f"kept_{i}" in batches.columns}
+    types = dict(batches.dtypes)
+    full = f"rid long, key long, {schema}" + "".join(f", {c} {types[c]}" for c in held)
 
     def work(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         every = np.concatenate([np.frombuffer(s, np.int64) for s in found["spans"]]).reshape(-1, 3) if len(found) else np.zeros((0, 3), np.int64)
@@ -269,14 +273,22 @@ def apply_spans(batches: DataFrame, spans: DataFrame, finish: Callable[[pd.Serie
                            columns=names)
         out.insert(0, "rid", rid)
         out.insert(1, "key", rows["key"].astype("Int64").reset_index(drop=True))
+        for c in held:
+            values = rows[c].reset_index(drop=True)
+            out[c] = values.astype("Int64") if types[c] in ("bigint", "int") else values
         return out
 
-    return batches.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(work, f"rid long, key long, {schema}")
+    done = batches.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(work, full)
+    shown = [c for c in ("rid", "key", *names) if c not in held.values()]
+    return done.select(*shown, *[F.col(old).alias(new) for old, new in held.items()],
+                       *[F.col("key").alias(c) for i, c in enumerate(keep) if c not in held.values() and c not in shown and c != "text"])
 
 
-def prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """The table in batches, and its bytes of text."""
-    own = numbered(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
+def prepared(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """The table in batches, and its bytes of text. Columns that are kept become one struct, ``kept_columns``."""
+    own = numbered(docs, key=key, text=text, **{f"kept_{i}": c for i, c in enumerate(keep)})
+    own = own.select("rid", F.col("key").cast("long").alias("key"), "text",
+                     *[F.col(f"kept_{i}") for i, c in enumerate(keep) if c not in (key, text)])
     total = tally_bytes(own)
     return tally.batched(own, total), total
 

@@ -211,7 +211,8 @@ def links(nodes: DataFrame, columns: Sequence[str], radius: int, fuzzy: bool) ->
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3,
             seeds: Sequence[int] = (42,), radius: int = 2, fuzzy: bool | None = None) -> DataFrame:
-    """``rid``, ``key``, fingerprint words f0... and ``component`` (smallest key of the class) of each row.
+    """``rid``, ``key``, fingerprint words f0... ``root`` (the class, by one of its row numbers)
+    and ``component`` (smallest key of the class) of each row.
 
     Words are parted by ASCII white space after lower-casing A-Z; a text with fewer words than a shingle
     is one shingle, and a null, empty or blank text has fingerprint zero and is linked like any other.
@@ -226,6 +227,6 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     member = components(links(nodes, columns, radius, fuzzy))
     placed = nodes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    placed = placed.join(least, "root").select(*[F.col(c).alias(f"_{c}") for c in columns], "component")
+    placed = placed.join(least, "root").select(*[F.col(c).alias(f"_{c}") for c in columns], "root", "component")
     return prints.join(placed, [F.col(c) == F.col(f"_{c}") for c in columns]).select(
-        "rid", "key", *columns, "component")
+        "rid", "key", *columns, "root", "component")

@@ -309,20 +309,22 @@ def kind_of(window: int) -> repeats.Kind:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 200,
-                   keep_first: bool = False, with_text: bool = False) -> DataFrame:
+                   keep_first: bool = False, with_text: bool = False,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte that is covered by a string of ``window`` bytes which starts anywhere else too, or, with
     ``keep_first``, which also starts earlier: in a row with a smaller key (rows with equal keys in input order, null
     keys last) or before it in the same document.
 
     One row per input row: rid, key, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256,
-    and with ``with_text`` the text that is left (bytes of a cut character are dropped from it). Null and empty texts have
+    and with ``with_text`` the text that is left (bytes of a cut
+    character are dropped from it); the columns of ``keep`` follow unchanged. Null and empty texts have
     no bytes and nothing to remove. Matches overlap freely, never cross documents, and are judged on the
     input. Repeated rows and null keys are documents of their own.
     """
     import hashlib
 
     kind = kind_of(window)
-    batches, total = repeats.prepared(docs, key, text)
+    batches, total = repeats.prepared(docs, key, text, keep)
 
     def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if not shard.texts:
@@ -347,4 +349,4 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     spans = repeats.removed_units(batches, flagged, kind, total)
     return repeats.apply_spans(batches, spans, finish,
-                               "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                               "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", keep)
