@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -131,6 +132,12 @@ class Chunks:
         return np.split(ids, ends[:-1]) if len(ends) else []
 
 
+@lru_cache(1)
+def chunks_of(path: str) -> Chunks:
+    """The store of this Python worker, which its later tasks find filled."""
+    return Chunks(path)
+
+
 def cuts(ends: list[int], ids: np.ndarray, enders: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, in order, and what each costs. 0 is not among them."""
     total = len(ids)
@@ -256,7 +263,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
             yield frame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(Chunks(path), size, TaskContext.get().partitionId() << 32, with_ids)
+        packer = Packer(chunks_of(path), size, TaskContext.get().partitionId() << 32, with_ids)
         schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
