@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,9 @@ CHUNK = 1 << 19
 #: From so many runs on, a minimizer's windows are counted one by one.
 HOT = 32
 
+#: Bytes of distinct passages that are sorted at once, but for a minimizer that has more.
+SHARD_BYTES = 4 << 20
+
 PASSAGES = "minimizer long, passage binary, windows int, batch long, places binary"
 
 
@@ -172,15 +176,23 @@ class Shard:
     places: list[np.ndarray]
 
     @classmethod
-    def read(cls, batches: Iterator[pd.DataFrame]) -> Shard:
+    def parts(cls, batches: Iterator[pd.DataFrame]) -> Iterator[Shard]:
+        """Rows sorted by minimizer, cut between minimizers when their texts take ``SHARD_BYTES``."""
         texts: dict[bytes, int] = {}
-        number, batch, places = [], [], []
+        number, batch, places, size, last = [], [], [], 0, None
         for rows in batches:
-            for p, b, x in zip(rows["passage"], rows["batch"], rows["places"], strict=True):
-                number.append(texts.setdefault(p, len(texts)))
+            for m, p, b, x in zip(rows["minimizer"], rows["passage"], rows["batch"], rows["places"], strict=True):
+                if size >= SHARD_BYTES and m != last:
+                    yield cls(list(texts), np.array(number, np.int64), np.array(batch, np.int64), places)
+                    texts, number, batch, places, size = {}, [], [], [], 0
+                last = m
+                known = len(texts)
+                number.append(texts.setdefault(p, known))
+                size += len(p) * (len(texts) - known)
                 batch.append(b)
                 places.append(np.frombuffer(x, np.int64).reshape(-1, 4))  # rid, key, key is null, first window
-        return cls(list(texts), np.array(number, np.int64), np.array(batch, np.int64), places)
+        if texts:
+            yield cls(list(texts), np.array(number, np.int64), np.array(batch, np.int64), places)
 
 
 @dataclass
@@ -235,7 +247,7 @@ def removed_units(batches: DataFrame, window_flags: Callable[[Shard], Iterator[t
 
     def work(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, list[np.ndarray]] = {}
-        for batch, places, flags in window_flags(Shard.read(rows)):
+        for batch, places, flags in chain.from_iterable(map(window_flags, Shard.parts(rows))):
             stretch = covered(flags, kind.window)
             if len(stretch):
                 out = np.empty((len(places), len(stretch), 3), np.int64)
@@ -245,7 +257,8 @@ def removed_units(batches: DataFrame, window_flags: Callable[[Shard], Iterator[t
         yield pd.DataFrame({"batch": np.array(list(found), np.int64),
                             "spans": [np.concatenate(x).tobytes() for x in found.values()]})
 
-    return passages(batches, kind, total).repartition("minimizer").mapInPandas(work, "batch long, spans binary")
+    sorted_rows = passages(batches, kind, total).repartition("minimizer").sortWithinPartitions("minimizer")
+    return sorted_rows.mapInPandas(work, "batch long, spans binary")
 
 
 def keep_mask(n: int, spans: np.ndarray) -> np.ndarray:

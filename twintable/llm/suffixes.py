@@ -305,7 +305,8 @@ def repeated_windows(passages: list[bytes], window: int, ages: np.ndarray | None
 
 
 def kind_of(window: int) -> repeats.Kind:
-    return repeats.Kind(lambda t: np.frombuffer((t or "").encode(), np.uint8), np.uint8, window, min(24, max(1, window // 2)))
+    return repeats.Kind(lambda t: np.frombuffer((t or "").encode(), np.uint8), np.uint8, window,
+                        max(1, window // 3))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 200,
@@ -327,8 +328,6 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     batches, total = repeats.prepared(docs, key, text, keep)
 
     def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if not shard.texts:
-            return
         if keep_first:
             windows = np.array([len(t) for t in shard.texts]) - window + 1
             ages = repeats.Ages.of(shard, windows)

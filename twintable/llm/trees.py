@@ -76,12 +76,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ``with_text`` those words. Null, empty and blank texts have no words. Rows with equal keys are in input
     order; rows with a null key come last. Words are unchanged and compared by 64-bit hash.
     """
-    kind = repeats.Kind(lambda t: word_hashes((t or "").encode())[0], np.uint64, window, max(1, min(6, window // 2)))
+    kind = repeats.Kind(lambda t: word_hashes((t or "").encode())[0], np.uint64, window, max(1, window // 2))
     batches, total = repeats.prepared(docs, key, text)
 
     def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if not shard.texts:
-            return
         n = np.array([len(t) // 8 for t in shard.texts])
         start = np.concatenate(([0], np.cumsum(n)))
         words = np.frombuffer(b"".join(shard.texts), np.uint64)
