@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Date layouts tried in this order. The lenient d/M forms also accept
@@ -57,9 +58,14 @@ OUTPUT_PATTERNS = {
 # A cheap pre-filter: text without this outline cannot match any layout above, so the
 # parsers (which build an exception per miss) never run on ordinary prose.
 _OUTLINE = (
-    r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?|\d{8}"
-    r"|\p{L}{3,9} \d{1,2}, \d{4})$"
+    r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?[AaPp][Mm]| ?Z| ?[+-]\d{2}:?\d{2})?)?|\d{8}"
+    r"|\p{L}{3,9} \d{1,2},? \d{4}|\d{1,2} \p{L}{3,9},? \d{4})$"
 )
+# Layouts that are read, but have no name of their own.
+OTHER_FORMATS = [
+    "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy h:m:s a", "M/d/yyyy h:m a",
+    "yyyy-M-d h:m:s a", "yyyy-M-d h:m a",
+]
 
 
 def date_like(c: Column) -> Column:
@@ -67,13 +73,43 @@ def date_like(c: Column) -> Column:
     return c.rlike(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}")
 
 
-def parse_date(c: Column) -> Column:
-    """First layout that parses, as a timestamp; NULL when none does."""
-    attempts = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS]
+def _attempt(c: Column, layout: str) -> Column:
+    # the parser knows AM and PM in capitals only
+    text = F.upper(c) if layout.endswith(" a") else c
+    return F.try_to_timestamp(text, F.lit(layout))
+
+
+def parse_date(c: Column, layout: str | None = None) -> Column:
+    """A text as a timestamp; NULL when no layout parses it.
+
+    A column should be read in one ``layout`` (see ``column_layouts``), which is tried before ISO
+    8601; without one each value takes the first layout that parses it.
+    """
+    attempts = [_attempt(c, fmt) for fmt in ([layout] if layout else DATE_FORMATS + OTHER_FORMATS)]
     iso = F.try_to_timestamp(c)
     return F.when(c.rlike(_OUTLINE), F.coalesce(*attempts, iso))
 
 
+def column_layouts(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The layout that parses most values of each text column, in one pass; ties go by list order."""
+    layouts = DATE_FORMATS + OTHER_FORMATS
+    if not columns:
+        return {}
+    found = df.agg(*[
+        F.count(F.when(F.col(f"`{c}`").rlike(_OUTLINE), _attempt(F.col(f"`{c}`"), fmt))).alias(f"n_{i}_{j}")
+        for i, c in enumerate(columns) for j, fmt in enumerate(layouts)
+    ]).first()
+    return {
+        c: layouts[max(range(len(layouts)), key=lambda j: (found[f"n_{i}_{j}"], -j))]
+        for i, c in enumerate(columns)
+    }
+
+
+def layout_name(layout: str) -> str:
+    """Name of a layout, or the default one."""
+    return dict(zip(DATE_FORMATS, FORMAT_NAMES)).get(layout, DEFAULT_FORMAT)
+
+
 def date_format_name(c: Column, formats: int = len(DATE_FORMATS)) -> Column:
     """Name of the first layout that parses a value, else the default one."""
     out = F.lit(DEFAULT_FORMAT)

@@ -104,12 +104,15 @@ def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
         z = np.maximum(values.to_numpy(dtype=float), 0.0) / scales.to_numpy(dtype=float)
         out = np.full(len(z), np.nan)
         known = ~(np.isnan(a) | np.isnan(z))
-        logs = {s: math.lgamma(s) for s in np.unique(a[known])}
-        log_gamma = np.array([logs.get(s, np.nan) for s in a])
+        distinct, back = np.unique(np.where(known, a, 1.0), return_inverse=True)
+        log_gamma = np.array([math.lgamma(s) for s in distinct])[back]
         out[known & (z == 0)] = 0.0
-        low = known & (z > 0) & (z < a + 1.0)
-        high = known & (z >= a + 1.0)
+        large = known & (z > 0) & (a > LARGE_SHAPE)
+        low = known & (z > 0) & ~large & (z < a + 1.0)
+        high = known & ~large & (z >= a + 1.0)
         with np.errstate(all="ignore"):
+            if large.any():
+                out[large] = _gamma_uniform(z[large], a[large])
             if low.any():
                 out[low] = _gamma_series(z[low], a[low], log_gamma[low])
             if high.any():
@@ -119,15 +122,45 @@ def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
     return evaluate(x, shape, scale)
 
 
+#: Above this shape the uniform expansion is exact to double precision; below it the series
+#: and the fraction settle within LAST_TERM terms.
+LARGE_SHAPE, LAST_TERM = 1e4, 20_000
+
+# Coefficients of the first two terms of Temme's uniform expansion around eta = 0.
+_TEMME_0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515)
+_TEMME_1 = (-1 / 540, -1 / 288, 25 / 12096 + 1 / 1728, -0.00099022633744855967, 0.00020576131687242798)
+
+
+def _gamma_uniform(z: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Temme's expansion for large shapes: a normal distribution with a small correction."""
+    mu = (z - a) / a
+    near = np.abs(mu) < 1e-2
+    # mu - log(1 + mu), by its series where the difference would cancel
+    series = np.zeros_like(mu)
+    for k in range(12, 1, -1):
+        series = (1.0 / k if k % 2 == 0 else -1.0 / k) + mu * series
+    half = np.where(near, mu * mu * series, mu - np.log1p(mu))
+    eta = np.sign(mu) * np.sqrt(2.0 * np.maximum(half, 0.0))
+    safe_eta, safe_mu = np.where(near, 1.0, eta), np.where(near, 1.0, mu)
+    c0 = np.where(near, np.polyval(_TEMME_0[::-1], eta), 1 / safe_mu - 1 / safe_eta)
+    c1 = np.where(near, np.polyval(_TEMME_1[::-1], eta),
+                  1 / safe_eta**3 - 1 / safe_mu**3 - 1 / safe_mu**2 - 1 / (12 * safe_mu))
+    x = -eta * np.sqrt(a / 2.0)
+    middle = 0.5 * np.array([math.erfc(v) for v in x])
+    return middle - np.exp(-a * np.maximum(half, 0.0)) / np.sqrt(2 * np.pi * a) * (c0 + c1 / a)
+
+
 def _gamma_series(z: np.ndarray, a: np.ndarray, log_gamma: np.ndarray) -> np.ndarray:
     """Power series, quick below the mode."""
     term = 1.0 / a
     total = term.copy()
-    for n in range(1, 5000):
+    for n in range(1, LAST_TERM):
         term = term * z / (a + n)
         total = total + term
         if (term < total * 1e-16).all():
             break
+    else:
+        raise ArithmeticError("the series of the gamma distribution did not settle")
     return total * np.exp(-z + a * np.log(z) - log_gamma)
 
 
@@ -138,7 +171,7 @@ def _gamma_fraction(z: np.ndarray, a: np.ndarray, log_gamma: np.ndarray) -> np.n
     c = np.full_like(z, 1.0 / tiny)
     d = 1.0 / b
     h = d.copy()
-    for n in range(1, 5000):
+    for n in range(1, LAST_TERM):
         an = -n * (n - a)
         b = b + 2.0
         d = an * d + b
@@ -146,6 +179,8 @@ def _gamma_fraction(z: np.ndarray, a: np.ndarray, log_gamma: np.ndarray) -> np.n
         c = b + an / c
         c = np.where(np.abs(c) < tiny, tiny, c)
         h = h * d * c
-        if (np.abs(d * c - 1.0) < 1e-15).all():
+        if (np.abs(d * c - 1.0) < 1e-14).all():
             break
+    else:
+        raise ArithmeticError("the fraction of the gamma distribution did not settle")
     return h * np.exp(-z + a * np.log(z) - log_gamma)

@@ -35,7 +35,8 @@ def _cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
     found = df.agg(
         *[F.percentile_approx(c, probs, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
     ).first()
-    return {c: sorted(set(found[i] or [0.0])) for i, c in enumerate(columns)}
+    # infinite values lie in the outer buckets anyway
+    return {c: sorted({x for x in found[i] or [] if math.isfinite(x)} or {0.0}) for i, c in enumerate(columns)}
 
 
 def _bucketed(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:

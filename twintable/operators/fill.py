@@ -36,6 +36,7 @@ def _splits(positions: DataFrame, column: str, n: int) -> list[float]:
     found = positions.agg(
         F.percentile_approx(column, [i / n for i in range(1, n)], max(1000, 4 * n))
     ).first()[0] or []
+    found = [x for x in found if math.isfinite(x)]
     cuts = set(found)
     cuts |= {math.nextafter(v, math.inf) for v in cuts if found.count(v) > 1}
     return [-math.inf, *sorted(cuts), math.inf]

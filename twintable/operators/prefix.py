@@ -46,7 +46,7 @@ def pick_by_span(
     weight lists a third of the cells, and the drawn rows spread over all cells evenly.
     """
     size = values.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
-    cells = max(1, min(size["n"], 10_000_000))
+    cells = max(1, size["n"])
     width = max(1, -(-size["w"] // cells))
     spans = running_span(values, weight, value).select(
         F.col(value).alias(name), "span_lo", "span_hi",

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twintable.functions.draw import Draws
-from twintable.functions.dates import parse_date
+from twintable.functions.dates import column_layouts, parse_date
+from twintable.functions.draw import Draws, uniform
 from twintable.functions.numbers import clip
 from twintable.operators.columns import (
     atomic_columns, find_column, has_token, restore_order, small_copy,
@@ -210,7 +210,8 @@ def _add_dates(rows, source, kinds, meta, o: Options) -> DataFrame:
         if o.keep_calendar and meta[c]["min_ts"] is not None and days > 0:
             dated = source
             if is_text:
-                dated = source.select(parse_date(F.col(f"`{c}`")).alias(c))
+                chosen = column_layouts(source, [c])[c]
+                dated = source.select(parse_date(F.col(f"`{c}`"), chosen).alias(c))
             weekdays, months = temporal.calendar_counts(dated, c)
             rows = temporal.add_patterned_dates(
                 rows, c, low, days, weekdays, months, o.seed, o.method
@@ -267,8 +268,18 @@ def blend(
     real: DataFrame, fabricated: DataFrame, label: str | None = None,
     fractions: Mapping | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Real and fabricated rows with an ``origin`` column; optional class balance of the latter."""
-    extra = fabricated.sampleBy(label, dict(fractions), seed) if label and fractions else fabricated
+    """Real and fabricated rows with an ``origin`` column; optional class balance of the latter.
+
+    ``fractions`` keeps a share of each label's rows, by a seeded hash of the row (of ``row_id`` where
+    there is one), so the same rows stay with any partition layout. Labels that are not named go.
+    """
+    extra = fabricated
+    if label and fractions:
+        own = F.col("row_id") if "row_id" in fabricated.columns else F.sha2(F.to_json(F.struct("*")), 256)
+        share = F.lit(0.0)
+        for value, fraction in fractions.items():
+            share = F.when(F.col(f"`{label}`") == F.lit(value), F.lit(float(fraction))).otherwise(share)
+        extra = fabricated.filter(uniform(seed, "blend", own) < share)
     return real.withColumn("origin", F.lit("real")).unionByName(
         extra.withColumn("origin", F.lit("fabricated")), allowMissingColumns=True
     )

@@ -109,6 +109,14 @@ def regular_series(
 ) -> DataFrame:
     """(step, ts): every point from start to end in equal intervals, spread over partitions."""
     lo, hi = dates.moment(start), dates.moment(end)
+    count, unit = int(interval.split()[0]), interval.split()[1].lower().rstrip("s")
+    months = count * {"month": 1, "quarter": 3, "year": 12}.get(unit, 0)
+    if months:  # calendar steps from the start, so that the 31st does not wander
+        last = spark.range(1).select(F.floor(F.months_between(hi, lo) / months).alias("n")).first()["n"]
+        step = F.make_ym_interval(F.lit(0), (F.col("id") * months).cast("int"))
+        return spark.range(0, last + 2, 1, partitions).select(
+            F.col("id").alias("step"), (lo + step).alias("ts")
+        ).filter(F.col("ts") <= hi)
     one = spark.range(1).select(
         F.unix_micros(lo).alias("a"), F.unix_micros(hi).alias("b"),
         F.unix_micros(lo + F.expr(f"INTERVAL '{interval.split()[0]}' {interval.split()[1]}")).alias("c"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,22 +35,18 @@ def reference_length(df: DataFrame, column: str) -> float | None:
     return df.agg(F.avg(F.length(F.col(f"`{column}`").cast("string")))).first()[0]
 
 
-FILLER_CYCLE = 8
-
-
 def lengthen(c: Column, target: Column, row_id: Column, seed: int, name: str,
              method: str = "md5") -> Column:
     """Repeat the first sentence behind filler phrases until the target length, then cut.
 
-    Eight fillers are drawn per row and used in turn, so that the work does not grow with the
-    target and stays in generated code.
+    Each round draws its own filler; the rounds are as many as the shortest filler may need.
     """
     d = Draws(seed, f"{name}|filler", row_id, method)
     lead = F.concat(F.lit(" "), F.substring_index(c, ".", 1), F.lit("."))
-    drawn = [pick(lookups.FILLERS, d(i)) for i in range(FILLER_CYCLE)]
-    cycle = F.concat(*[x for f in drawn for x in (f, lead)])
-    rounds = F.ceil(target / F.length(cycle)).cast("int")
-    return F.substr(F.concat(c, F.repeat(cycle, rounds)), F.lit(1), target)
+    step = F.length(lead) + min(map(len, lookups.FILLERS))
+    rounds = F.greatest(F.ceil((target - F.length(c)) / step).cast("int"), F.lit(1))
+    added = F.transform(F.sequence(F.lit(0), rounds - 1), lambda i: F.concat(pick(lookups.FILLERS, d(i)), lead))
+    return F.substr(F.concat(c, F.array_join(added, "")), F.lit(1), target)
 
 
 def match_length(
@@ -96,24 +92,20 @@ def with_text_source(
     """Adds texts from the user's callable, asked for ``batch`` texts at a time inside the tasks.
 
     ``source(first_row_id, how_many)`` may return numbered lines or too few; numbers are
-    stripped, and template texts fill what is missing.
+    stripped, and template texts fill what is missing. Rows are grouped by their id, so the
+    partition layout changes nothing; a source should answer the same question alike.
     """
-    fallback = template_text(F.col("row_id"), seed, name)
-    prepared = rows.withColumn("_fallback", fallback)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{name}` string"
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: list = []
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                given = list(source(int(part["row_id"].iloc[0]), len(part)) or [])
-                given = [t.strip() for t in given if t and t.strip()][: len(part)]
-                found += given + [None] * (len(part) - len(given))
-            texts = pd.Series(found, index=frame.index, dtype="object")
-            stripped = texts.str.replace(r"^\d+[.)]\s*", "", regex=True)
-            out = frame.drop(columns="_fallback")
-            out[name] = stripped.where(stripped.notna(), frame["_fallback"])
-            yield out
-
-    return prepared.mapInPandas(fill, schema)
+
+    @F.pandas_udf("string")
+    def fill(row_ids: pd.Series, fallback: pd.Series) -> pd.Series:
+        out = fallback.astype("object").copy()
+        group = row_ids // batch
+        for g in group.unique():
+            # a group that two Arrow batches share is asked for twice, with the same answer
+            given = [t.strip() for t in (source(int(g) * batch, batch) or []) if t and t.strip()][:batch]
+            at = (row_ids - g * batch)[group == g]
+            known = at[at < len(given)]
+            out[known.index] = [given[i] for i in known]
+        return out.str.replace(r"^\d+[.)]\s*", "", regex=True)
+
+    return rows.withColumn(name, fill(F.col("row_id"), template_text(F.col("row_id"), seed, name)))

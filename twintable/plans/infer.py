@@ -321,13 +321,14 @@ def analyze_schema(
 def _date_spans(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     """First and last moment plus layout of date-typed and textual columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    texts = [c for c in columns if isinstance(types[c], T.StringType)]
+    chosen = dates.column_layouts(df, texts)
     aggs, structs = [], []
     for i, c in enumerate(columns):
         if isinstance(types[c], T.StringType):
-            moment = dates.parse_date(F.col(f"`{c}`"))
-            layout = dates.date_format_name(
-                F.min(F.when(moment.isNotNull(), F.col(f"`{c}`"))), dates.ROUTER_FORMATS
-            )
+            moment = dates.parse_date(F.col(f"`{c}`"), chosen[c])
+            known = chosen[c] in dates.DATE_FORMATS[: dates.ROUTER_FORMATS]
+            layout = F.lit(dates.layout_name(chosen[c]) if known else dates.DEFAULT_FORMAT)
         elif is_numeric(types[c]):
             continue
         else:

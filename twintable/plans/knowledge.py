@@ -109,11 +109,11 @@ def constrain(value: Column, c: Constraint, row_id: Column, seed: int = 42) -> C
         return out
     if c.kind == "formula":
         return F.coalesce(F.expr(p["formula"]), value)
-    return value
+    raise ValueError(f"unknown kind of constraint: {c.kind}")
 
 
 def _anchored(pattern: str) -> str:
-    return pattern if pattern.startswith("^") else f"^(?:{pattern})"
+    return f"^(?:{pattern})"
 
 
 def enforce_constraints(
@@ -294,10 +294,12 @@ def anonymize(
     zip_columns: Sequence[str] = (),
     places: Mapping[str, DataFrame] | None = None,
     oldest: int = 90,
+    unlisted: str = "null",
 ) -> DataFrame:
     """Ages from 90 on become 90, dates their year, zip codes three digits, places their region.
 
-    ``places`` maps a column to a (place, region) table.
+    ``places`` maps a column to a (place, region) table; of a place listed twice the smallest region
+    counts. A place that is not listed becomes NULL, or stays as it is with ``unlisted="keep"``.
     """
     changed: dict[str, Column] = {}
     for c in age_columns:
@@ -308,8 +310,9 @@ def anonymize(
         changed[c] = F.substring(F.col(f"`{c}`").cast("string"), 1, 3)
     out = df.withColumns(changed) if changed else df
     for c, table in (places or {}).items():
-        regions = table.select(F.col("place").alias(c), F.col("region").alias("_region"))
-        out = out.join(regions, c, "left").withColumn(c, F.col("_region")).drop("_region")
+        regions = table.groupBy(F.col("place").alias(c)).agg(F.min("region").alias("_region"))
+        region = F.coalesce("_region", F.col(f"`{c}`")) if unlisted == "keep" else F.col("_region")
+        out = out.join(regions, c, "left").withColumn(c, region).drop("_region")
     return out.select(*df.columns)
 
 

@@ -168,12 +168,14 @@ def profile_temporal(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     kinds = (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in (columns or df.columns) if isinstance(types[c], kinds)]
+    texts = [c for c in columns if isinstance(types[c], T.StringType)]
+    chosen = dates.column_layouts(df, texts)
     aggs, structs = [], []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
         if isinstance(types[name], T.StringType):
-            moment = dates.parse_date(c)
-            layout = dates.date_format_name(F.min(c))
+            moment = dates.parse_date(c, chosen[name])
+            layout = F.lit(dates.layout_name(chosen[name]))
         else:
             moment = c.cast("timestamp")
             text = F.min(c).cast("string")

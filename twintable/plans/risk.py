@@ -159,13 +159,24 @@ def column_uniqueness(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 find_unique_records = unique_rows
 
 
+def _exact_text(c: Column, kind: T.DataType, numeric: bool) -> Column:
+    """A cell as text that tells all values apart, timestamps to the microsecond."""
+    if numeric or isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (c.cast("double") + F.lit(0.0)).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.struct(c.alias("v")))
+    return c.cast("string")
+
+
 def _digest(df: DataFrame, columns: Sequence[str], numeric: set[str]) -> Column:
     """SHA-256 of a row as 32 bytes: rows are compared without shuffling their content."""
-    parts = [
-        (F.col(f"`{c}`").cast("double") if c in numeric else F.col(f"`{c}`")).alias(f"f{i}")
-        for i, c in enumerate(columns)
-    ]
-    return F.unhex(F.sha2(F.to_json(F.struct(*parts)), 256))
+    cells = [_exact_text(F.col(f"`{c}`"), df.schema[c].dataType, c in numeric) for c in columns]
+    parts = [x for t in cells for x in (F.length(t).cast("string"), F.lit(":"), t)]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def leaked_rows(reference: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -343,13 +354,18 @@ def add_noise(df: DataFrame, column: str, scale: float, key: str, seed: int = 42
 
 
 def suppress_small_groups(df: DataFrame, keys: Sequence[str], k: int = DEFAULT_K) -> DataFrame:
-    """Keep rows whose group has at least k members.
+    """Keep rows whose group has at least k members; a missing key is a value of its own.
 
     The key list of the large groups is far shorter than the table; it is joined back, so no
     group is gathered in one task.
     """
-    large = group_sizes(df, keys).filter(F.col("group_size") >= k).drop("group_size")
-    return df.join(large, on=list(keys), how="left_semi").select(*df.columns)
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    large = (
+        df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in names.items()]).agg(F.count("*").alias("_size"))
+        .filter(F.col("_size") >= k)
+    )
+    same = [F.col(f"`{key}`").eqNullSafe(F.col(n)) for key, n in names.items()]
+    return df.join(large, on=same, how="left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def enforce_k_anonymity(

@@ -15,9 +15,15 @@ FORMATS = {
 }
 
 
+COMPRESSED = (".gz", ".bz2", ".zst")
+
+
 def format_of(path: str) -> str:
     """Format by the extension of the path, also for folders like ``out/x.parquet``."""
-    ext = os.path.splitext(urlparse(path).path.rstrip("/"))[1].lower()
+    name = urlparse(path).path.rstrip("/")
+    for packed in COMPRESSED:
+        name = name[: -len(packed)] if name.lower().endswith(packed) else name
+    ext = os.path.splitext(name)[1].lower()
     if ext not in FORMATS:
         raise ValueError(f"unsupported file type: {ext or path}")
     return FORMATS[ext]
@@ -28,12 +34,15 @@ def read_table(
     path: str,
     schema: T.StructType | str | None = None,
     record_array: bool | None = None,
+    line_breaks: bool = True,
     **options,
 ) -> DataFrame:
     """Read CSV, JSON or Parquet.
 
     With a schema a CSV keeps leading zeros and no inference pass is needed. JSON is read as
     lines unless ``record_array`` says that each file is one array, which cannot be split.
+    A CSV field may hold line breaks, so each file is read by one task; ``line_breaks=False`` says that
+    none does and lets large files be split.
     """
     kind = format_of(path)
     reader = spark.read
@@ -41,7 +50,7 @@ def read_table(
         reader = reader.schema(schema)
     if kind == "csv":
         defaults = {"header": True, "inferSchema": schema is None, "escape": '"',
-                    "multiLine": False}
+                    "multiLine": line_breaks}
         if path.rstrip("/").lower().endswith(".tsv"):
             defaults["sep"] = "\t"
         return reader.options(**(defaults | options)).csv(path)
