@@ -165,7 +165,8 @@ def test_archives_round_trip(spark):
                (6 * 10**6, "v", "y" * 2000), (6 * 10**6, "v", "y" * 2000), (7, "w", "long " * 60_000)]
         table = table.union(spark.createDataFrame(odd, "page_id long, url string, html string")).selectExpr("*", "1 AS rid", "2 AS digest", "3 AS key")
         rows = table.collect()
-        found = warc.archived(table).collect()
+        folder = warc.archive(table)
+        found, digests = warc.read(spark, folder).collect(), warc.read_digests(spark, folder).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     groups, expected = defaultdict(list), []
@@ -181,4 +182,20 @@ def test_archives_round_trip(spark):
     assert sorted(map(str, expected)) == sorted(str((r.key, r.length, r.digest, r.type, r.refers_to)) for r in found)
     for r in found:
         assert r.type == "revisit" or hashlib.sha1(r.payload).hexdigest() == r.digest
-    assert warc.archived(table.limit(0)).count() == 0
+    assert sorted((str(r.key), r.own_bytes, r.own_sha1, r.type) for r in digests) == sorted(
+        (str(r.key), len(r.payload), hashlib.sha1(r.payload).hexdigest(), r.type) for r in found)
+    nothing = warc.archive(table.limit(0))
+    assert warc.read(spark, nothing).count() == warc.read_digests(spark, nothing).count() == 0
+
+
+@pytest.mark.parametrize("chain", [[(0, 10), (10, 30), (15, 17), (17, 30), (20, 99), (30, 40), (40, 50)],
+                                   [(0, 50), (10, 20), (20, 30), (30, 50), (50, 60), (55, 60), (60, 61)],
+                                   [(0, 7)], [(5, 9), (9, 12)], [(i, i + 2) for i in range(40)]])
+def test_chains_from_the_start(spark, chain):
+    jump, at, expected = dict(chain), 0, set()
+    while at in jump:
+        expected.add(at)
+        at = jump[at]
+    rows = [("a", o, n) for o, n in chain] + [("b", 0, 4), ("b", 4, 9), ("b", 5, 6)]
+    found = warc.reached(spark.createDataFrame(rows, "file string, offset long, next long")).collect()
+    assert {r.offset for r in found if r.file == "a"} == expected and len(found) == len(expected) + 2

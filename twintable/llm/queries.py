@@ -66,12 +66,11 @@ def op9_suffix_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a WARC record, written and read back; repeated payloads are revisits."""
-    found = warc.archived(read(spark, folder, "pages"))
+    found = warc.read_digests(spark, warc.archive(read(spark, folder, "pages")))
     own = F.col("type") == "response"
     return found.select(
-        F.col("key").alias("page_id"),
-        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("length")).alias("payload_bytes"),
-        F.when(own, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("key").alias("page_id"), F.when(own, F.col("own_bytes")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(own, F.col("own_sha1")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"), "refers_to")
 
 

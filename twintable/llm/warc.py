@@ -24,6 +24,8 @@ END = "\r\n\r\n"
 LEAST = 1000
 #: Records in a file at most, so that a file is read as a few splits.
 RECORDS_PER_FILE = 20_000
+#: Narrow rows (a few numbers each) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: Bytes in which a header must end.
 HEADER = 1 << 16
 
@@ -42,11 +44,17 @@ def with_revisits(pages: DataFrame, *, key: str, url: str, payload: str, least:
     holders = (own.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b"))
                .agg(F.max(rank).alias("m"), F.count("*").alias("n")).filter("n > 1")
                .select("d", "b", F.col("m.key").alias("origin"), (-F.col("m.col3")).alias("holder")))
-    joined = own.join(holders, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
-    other = F.col("holder").isNotNull() & (F.col("holder") != F.col("rid"))
-    return joined.select("rid", "key", "url", "payload", "bytes", "digest", F.coalesce(other, F.lit(False)).alias("revisit"),
-                         F.when(other, F.col("origin")).alias("origin"),
-                         F.when(other, F.col("holder")).alias("holder"))
+    # only the rows that revisit another are joined back, so payloads stay where they are read
+    others = (own.select("rid", "digest", "bytes").join(holders, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")))
+              .filter("rid <> holder").select(F.col("rid").alias("r"), "origin", "holder"))
+    others = small_side(durable(others))
+    return own.join(others, F.col("rid") == F.col("r"), "left").select(
+        "rid", "key", "url", "payload", "bytes", "digest", F.col("holder").isNotNull().alias("revisit"), "origin", "holder")
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """Marks a materialised narrow table for broadcast if it is short; a longer one is joined by its key."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _record_id(rid: Column) -> Column:
@@ -93,13 +101,30 @@ def _field(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?im)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
+def _fields(head: Column) -> list[Column]:
+    """type, key, refers_to, digest and length, as the header tells them."""
+    return [
+        _field(head, "WARC-Type").alias("type"), _field(head, "X-Key").try_cast("long").alias("key"),
+        _field(head, "X-Refers-To-Key").try_cast("long").alias("refers_to"),
+        F.substring(_field(head, "WARC-Payload-Digest"), 6, 40).alias("digest"),
+        _field(head, "X-Payload-Length").try_cast("long").alias("length"),
+    ]
+
+
+def _payload(data: Column, head: Column) -> Column:
+    return F.substring(data, F.length(head) + len(END) + 1, _field(head, "Content-Length").try_cast("int"))
+
+
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """at, file, offset and next of what starts at each magic text; next is null where no length is told."""
+    """at, file, offset and next of what starts at each magic text (next is null where no length is told), with the
+    header's fields, and size and SHA-1 of the payload as far as the piece goes. Payloads are not among them."""
     magic = len(MAGIC)
-    raw = _raw(spark, folder)
-    head = _head(F.col("data"))
-    narrow = raw.select("at", "file", "block", (F.octet_length("data") + magic).cast("long").alias("size"),
-                        (F.length(head) + len(END) + magic + _field(head, "Content-Length").try_cast("long") + len(END)).alias("jump"))
+    head = F.col("head")
+    narrow = _raw(spark, folder).withColumn("head", _head(F.col("data"))).select(
+        "at", "file", "block", (F.octet_length("data") + magic).cast("long").alias("size"),
+        (F.length(head) + len(END) + magic + _field(head, "Content-Length").try_cast("long") + len(END)).alias("jump"),
+        *_fields(head), F.octet_length(_payload(F.col("data"), head)).cast("long").alias("own_bytes"),
+        F.sha1(_payload(F.col("data"), head)).alias("own_sha1"))
     # offsets: sizes of the blocks before, then of the pieces before in the same block; the separator of a
     # piece stands before it
     blocks = narrow.groupBy("file", "block").agg(F.sum("size").alias("length"))
@@ -108,64 +133,91 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     offset = F.col("base") + F.col("inner") - magic
-    return placed.join(blocks, ["file", "block"]).select("at", "file", offset.alias("offset"), (offset + F.col("jump")).alias("next"))
+    return placed.join(blocks.withColumnRenamed("length", "block_length"), ["file", "block"]).select(
+        "at", "file", offset.alias("offset"), (offset + F.col("jump")).alias("next"),
+        *[c for c in placed.columns if c not in ("at", "file", "block", "size", "jump", "inner")])
 
 
 def reached(candidates: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates that a chain of (offset, next) from offset 0 comes to.
+    """(file, offset) of the candidates that the chain of (offset, next) from offset 0 of each file comes to.
 
-    Round k knows all that are fewer than 2**k steps away and jumps of 2**k steps.
+    Candidates whose next is the candidate behind them form stretches, which a chain leaves by one exit. Pointer
+    jumping runs over stretches: round k knows those fewer than 2**k stretches away and jumps of 2**k.
     """
-    jumps = candidates.select("file", "offset", "next")
-    known = jumps.filter("offset = 0").select("file", "offset")
+    by_place = Window.partitionBy("file").orderBy("offset")
+    new = F.coalesce(F.lag("next").over(by_place) != F.col("offset"), F.lit(True))
+    whole = candidates.withColumn("first", F.when(new, F.col("offset")))
+    whole = durable(whole.withColumn("stretch", F.last("first", ignorenulls=True).over(by_place)).drop("first"))
+    exits = whole.groupBy("file", "stretch").agg(F.max_by("next", "offset").alias("entry"))
+    links = durable(exits.join(whole.select("file", F.col("offset").alias("entry"), F.col("stretch").alias("to")), ["file", "entry"]))
+    jumps = links.select("file", "stretch", "to")
+    known = whole.filter("offset = 0").select("file", "stretch")
     count = known.count()
-    while True:
-        step = known.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        more = step.join(candidates.select("file", "offset"), ["file", "offset"], "left_semi")
-        known = durable(known.union(more).distinct())
+    while not jumps.isEmpty():
+        step = known.join(jumps, ["file", "stretch"]).select("file", F.col("to").alias("stretch"))
+        known = durable(known.union(step).distinct())
         now = known.count()
         if now == count:
-            return known
+            break
         count = now
-        far = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("far"))
-        jumps = durable(jumps.join(far, ["file", "next"]).select("file", "offset", F.col("far").alias("next")))
-
-
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: type, key, refers_to, digest, length, payload (binary)."""
-    found = durable(pieces(spark, folder))
+        far = jumps.select("file", F.col("stretch").alias("to"), F.col("to").alias("far"))
+        jumps = durable(jumps.join(far, ["file", "to"]).select("file", "stretch", F.col("far").alias("to")))
+    # where the chain enters each stretch it comes to
+    entries = (links.join(known, ["file", "stretch"]).groupBy("file", F.col("to").alias("stretch")).agg(F.min("entry").alias("entry"))
+               .union(known.filter("stretch = 0").select("file", "stretch", F.lit(0).cast("long"))))
+    entries = entries.groupBy("file", "stretch").agg(F.min("entry").alias("entry"))
+    return whole.join(entries, ["file", "stretch"]).filter("offset >= entry").select("file", "offset")
+
+
+def owned(found: DataFrame) -> DataFrame:
+    """``found`` with ``start``, the offset of the record that a piece belongs to (a record is its own piece and
+    those after it that no chain comes to), and ``cut``, whether the record has several pieces."""
     true = reached(found.filter("next IS NOT NULL").select("file", "offset", "next"))
-    # a record is its own piece and those after it that no chain comes to
-    marked = found.select("at", "file", "offset").join(true.withColumn("start", F.col("offset")), ["file", "offset"], "left")
+    marked = found.join(true.withColumn("start", F.col("offset")), ["file", "offset"], "left")
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("file").orderBy("offset")
-    owner = durable(marked.withColumn("cut", F.col("start").isNull() | F.lead("start").over(after).isNull())
-                    .withColumn("start", F.last("start", ignorenulls=True).over(upto))
-                    .filter("start IS NOT NULL").withColumnRenamed("file", "f"))
-    data = _raw(spark, folder).select("at", "data").join(owner, "at")
-    whole = data.filter(~F.col("cut")).select("data")
+    follows = F.lead(F.col("start").isNull(), 1, False).over(after)
+    return (marked.withColumn("cut", F.col("start").isNull() | follows)
+            .withColumn("start", F.last("start", ignorenulls=True).over(upto)).filter("start IS NOT NULL"))
+
+
+def _assembled(data: DataFrame) -> DataFrame:
+    """head and data of records from their pieces (f, start, offset, data)."""
     magic = F.encode(F.lit(MAGIC), "utf-8")
-    parted = (data.filter("cut").groupBy("f", "start")
-              .agg(F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("parts"))
+    joined = (data.groupBy("f", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("parts"))
               .select(F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["data"],
                                   lambda a, p: F.concat(a, magic, p["data"])).alias("data")))
-    rows = whole.union(parted).select("data", _head(F.col("data")).alias("head"))
+    return joined.withColumn("head", _head(F.col("data")))
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record: type, key, refers_to, digest, length, payload (binary)."""
+    owner = durable(owned(durable(pieces(spark, folder))).select("at", F.col("file").alias("f"), "offset", "start", "cut"))
+    data = _raw(spark, folder).select("at", "data").join(owner, "at")
+    whole = data.filter(~F.col("cut")).select("data", _head(F.col("data")).alias("head"))
+    rows = whole.unionByName(_assembled(data.filter("cut")))
+    return rows.select(*_fields(F.col("head")), _payload(F.col("data"), F.col("head")).alias("payload"))
+
+
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record: type, key, refers_to, digest and length from the header, and ``own_bytes`` and ``own_sha1`` of
+    the payload in the record. Only records that the magic text cuts into pieces are put together; no other
+    payload is moved."""
+    names = ["type", "key", "refers_to", "digest", "length", "own_bytes", "own_sha1"]
+    found = durable(owned(durable(pieces(spark, folder))))
+    parts = found.filter("cut").select("at", F.col("file").alias("f"), "offset", "start")
+    data = _raw(spark, folder).select("at", "data").join(small_side(parts), "at")
     head = F.col("head")
-    return rows.select(
-        _field(head, "WARC-Type").alias("type"), _field(head, "X-Key").cast("long").alias("key"),
-        _field(head, "X-Refers-To-Key").cast("long").alias("refers_to"),
-        F.substring(_field(head, "WARC-Payload-Digest"), 6, 40).alias("digest"),
-        _field(head, "X-Payload-Length").cast("long").alias("length"),
-        F.substring(F.col("data"), F.length(head) + len(END) + 1, _field(head, "Content-Length").cast("int")).alias("payload"))
+    payload = _payload(F.col("data"), head)
+    whole = _assembled(data).select(*_fields(head), F.octet_length(payload).cast("long").alias("own_bytes"), F.sha1(payload).alias("own_sha1"))
+    return found.filter(~F.col("cut")).select(*names).unionByName(whole)
 
 
-def archived(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None) -> DataFrame:
-    """Writes a WARC record for each row, reads the archives back and gives one row per record read.
+def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None) -> str:
+    """Writes a WARC record for each row and returns the folder.
 
-    Null payloads are empty; null or odd urls and null keys leave their header out. An empty table gives no rows.
+    Null payloads are empty; null urls and null keys leave their header out. An empty table leaves no record.
     """
-    spark = pages.sparkSession
-    folder = folder or f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    records = with_revisits(pages, key=key, url=url, payload=payload)
-    write(records, folder)
-    return read(spark, folder)
+    folder = folder or f"{scratch_folder(pages.sparkSession)}/{uuid.uuid4().hex}"
+    write(with_revisits(pages, key=key, url=url, payload=payload), folder)
+    return folder
