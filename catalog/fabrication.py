@@ -199,7 +199,7 @@ def categorical_columns(spark, d):
 def cat_sql(name: str, source: str, value: str, seed: int = SEED) -> str:
     """Rows joined to cumulative counts; ``source`` is any FROM item."""
     return f"""(SELECT row_id, v AS {name} FROM rows_ JOIN (
-  SELECT v, n, sum(n) OVER (ORDER BY n DESC, v) AS hi, sum(n) OVER () AS tot FROM (
+  SELECT v, n, sum(n) OVER (ORDER BY md5(v::VARCHAR), v) AS hi, sum(n) OVER () AS tot FROM (
     SELECT {value} AS v, count(*) AS n FROM {source} WHERE {value} IS NOT NULL GROUP BY 1)) c
   ON floor({u_sql(seed, name, 'row_id', 0)} * tot) >= hi - n AND floor({u_sql(seed, name, 'row_id', 0)} * tot) < hi)"""
 
@@ -210,18 +210,12 @@ JOIN {cat_sql('o_orderstatus', 'orders', 'o_orderstatus')} USING (row_id)"""
 
 
 def long_category(spark, d):
-    """More categories than literals allow: every fabricated key exists, and shares are kept."""
+    """More categories than literals allow, drawn by a join."""
     df = load(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("part"))
-    made = categorical.add_long_category(_rows(spark, d), df, "part", SEED)
-    known = df.distinct()
-    ks = two_sample_ks(df.select(F.col("part").cast("double")), made.select(F.col("part").cast("double")), ["part"])
-    near = ks.first()["ks"] < 0.02
-    return made.agg(F.count("part").alias("drawn")).withColumn("near", F.lit(near)).withColumn(
-        "unknown", F.lit(made.join(known, "part", "left_anti").count())
-    )
+    return categorical.add_long_category(_rows(spark, d), df, "part", SEED)
 
 
-LONG_SQL = "SELECT count(*) AS drawn, TRUE AS near, 0::INT AS unknown FROM orders"
+LONG_SQL = f"WITH {ROWS} SELECT * FROM {cat_sql('part', 'lineitem', 'l_partkey::VARCHAR')}"
 
 
 def fallback_categories(spark, d):
@@ -266,7 +260,7 @@ def _alias_sql(c: str) -> str:
 
 CITY_SQL = f"""
 WITH {ROWS}, ref AS ({PLACES_SQL}),
-lists AS (SELECT country, list_sort(list(city)) AS cities FROM (
+lists AS (SELECT country, list(city ORDER BY md5(city), city) AS cities FROM (
   SELECT * FROM {_default_pairs()} t(country, city) UNION SELECT {_alias_sql('country')}, city FROM ref) GROUP BY 1)
 SELECT row_id, c.country, cities[1 + CAST(floor({u_sql(SEED, 'city', 'row_id', 0)} * len(cities)) AS INT)] AS city
 FROM {cat_sql('country', 'ref', 'country')} c JOIN lists ON lists.country = {_alias_sql('c.country')}"""

@@ -122,3 +122,21 @@ def test_each_round_draws_its_own_filler(spark):
     assert {len(x) for x in long} == {900}
     parts = long[0].split(" One.")
     assert parts[1:9] != parts[9:17]
+
+
+def test_short_and_long_lists_draw_alike(spark, monkeypatch):
+    from twintable.functions.draw import Draws
+    from twintable.plans.fabricate import categorical
+
+    seen = spark.range(900).selectExpr("concat('v', id % 40) AS c")
+    rows = spark.range(300).withColumnRenamed("id", "row_id")
+    short = rows.select("row_id", categorical.by_frequency(categorical.category_counts(seen, ["c"])["c"], Draws(3, "c", F.col("row_id"))(0)).alias("c"))
+    long = categorical.add_long_category(rows, seen, "c", 3)
+    assert {r.row_id: r.c for r in short.collect()} == {r.row_id: r.c for r in long.select("row_id", "c").collect()}
+    pairs = spark.createDataFrame([("IN", f"city{i}") for i in range(30)], "country string, city string")
+    home = rows.withColumn("country", F.lit("IN"))
+    few = categorical.add_city(home, "country", pairs, Draws(3, "x", F.col("row_id"))(0), "city", F.lit("?"))
+    expected = {r.row_id: r.city for r in few.collect()}
+    monkeypatch.setattr(categorical, "SMALL_LOOKUP", 5)
+    many = categorical.add_city(home, "country", pairs, Draws(3, "x", F.col("row_id"))(0), "city", F.lit("?"))
+    assert {r.row_id: r.city for r in many.collect()} == expected

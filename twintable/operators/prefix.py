@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKETS = 1024
+# Buckets are the first so many hex digits of the order's MD5.
+BUCKET_DIGITS = 3
 
 
 def running_span(
-    df: DataFrame, weight: str, order: str, by: Sequence[str] = (), buckets: int = HASH_BUCKETS
+    df: DataFrame, weight: str, order: str, by: Sequence[str] = (), digits: int = BUCKET_DIGITS
 ) -> DataFrame:
     """Adds ``span_lo`` and ``span_hi``: the half-open stretch of each row in the running weight.
 
-    Rows are ordered by (hash bucket of ``order``, ``order``): any fixed order will do for a
-    draw. Sums run inside (group, bucket); the bucket offsets are a short table.
+    Rows are ordered by the MD5 of ``order``, as ``draw_order`` does for short lists: any fixed
+    order will do for a draw. Sums run inside (group, bucket), where a bucket is a prefix of the
+    MD5, so the number of buckets changes nothing; the bucket offsets are a short table.
     """
     keys = list(by)
-    placed = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
+    placed = df.withColumn("_h", F.md5(F.col(order).cast("string"))).withColumn("_b", F.substring("_h", 1, digits))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = placed.groupBy(*keys, "_b").agg(F.sum(weight).alias("_w")).select(
         *keys, "_b", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset")
     )
-    within = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(
+    within = Window.partitionBy(*keys, "_b").orderBy("_h", order).rowsBetween(
         Window.unboundedPreceding, 0
     )
     upto = F.col("_offset") + F.sum(weight).over(within)
     joined = placed.join(offsets, [*keys, "_b"])
     return joined.withColumn("span_hi", upto).withColumn(
         "span_lo", F.col("span_hi") - F.col(weight)
-    ).drop("_b", "_offset")
+    ).drop("_b", "_h", "_offset")
+
+
+def draw_order(value: str) -> tuple[str, str]:
+    """Sort key of a short list in memory that gives the order of ``running_span``."""
+    return hashlib.md5(value.encode()).hexdigest(), value
 
 
 def pick_by_span(

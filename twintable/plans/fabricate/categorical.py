@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twintable.functions.draw import Draws, pick, pick_from, pick_weighted
 from twintable.operators.columns import has_token
 from twintable.operators.frequency import value_frequencies
-from twintable.operators.prefix import pick_by_span, running_span
+from twintable.operators.prefix import draw_order, pick_by_span, running_span
 from twintable.operators.sets import SMALL_LOOKUP
 from twintable.plans.fabricate import lookups
 
@@ -21,7 +21,7 @@ LITERAL_CATEGORIES = 256
 def category_counts(
     df: DataFrame, columns: Sequence[str], sizes: Mapping[str, int] | None = None
 ) -> dict[str, list[tuple[str, int]] | None]:
-    """Counts per column, most frequent first; None for columns with too many values.
+    """Counts per column, in draw order; None for columns with too many values.
 
     Distinct counts that are known already save a pass; else a sketch rules out the long columns
     before anything is counted. What reaches the driver is a few hundred values per column.
@@ -39,7 +39,7 @@ def category_counts(
     for c in short:
         found = [(r["value"], r["n"]) for r in rows if r["column"] == c]
         if len(found) <= LITERAL_CATEGORIES:
-            out[c] = sorted(found, key=lambda vn: (-vn[1], vn[0]))
+            out[c] = sorted(found, key=lambda vn: draw_order(vn[0]))
     return out
 
 
@@ -85,7 +85,9 @@ def add_city(
     keyed = rows.withColumn("_country", lookups.normalize_country(F.col(f"`{country}`")))
     if pairs.limit(SMALL_LOOKUP + 1).count() <= SMALL_LOOKUP:
         # size just checked: one array per country
-        arrays = pairs.groupBy(F.col("country").alias("_country")).agg(F.array_sort(F.collect_list("city")).alias("_cities"))
+        arrays = pairs.groupBy(F.col("country").alias("_country")).agg(
+            F.array_sort(F.collect_list(F.struct(F.md5("city"), "city")))["city"].alias("_cities")
+        )
         joined = keyed.join(F.broadcast(arrays), "_country", "left")
         chosen = F.coalesce(pick_from(F.col("_cities"), u), fallback)
         return joined.select(
