@@ -85,6 +85,7 @@ def test_large_groups_share_prefixes(monkeypatch):
     at = np.arange(400 - 5)
     flags = trees.repeated_windows(words, at, at, 6)
     seen = set()
+    assert len(flags) == len(at)
     for i in at:
         w = words[i:i + 6].tobytes()
         assert flags[i] == (w in seen)

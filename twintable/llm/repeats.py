@@ -10,9 +10,9 @@ text, to the task of its minimizer, one row for each batch and distinct text.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -114,30 +114,32 @@ def passages(batches: DataFrame, kind: Kind, total: int) -> DataFrame:
             return pd.DataFrame(columns=names)
         first, second = answers[answers["kind"] == 1], answers[answers["kind"] == 2]
         counts = None
-        known: dict[tuple[int, bytes], list] = {}
+        known: dict[tuple[int, bytes], bytes] = {}
+        width, more, pack = np.dtype(kind.dtype).itemsize, kind.window - 1, struct.Struct("<4q").pack
         if len(second):
             parts = list(hot_windows(rows, first))
             counts = tally.answer(np.concatenate(parts), second)
         used = 0
         for (units, start, size, low, hot), rid, key in zip(
                 candidates(rows, first), rows["rid"], rows["key"], strict=True):
-            place = (rid, 0 if pd.isna(key) else int(key), int(pd.isna(key)))
+            place = (rid, 0, 1) if pd.isna(key) else (rid, int(key), 0)
             if hot.any():
                 n = int(size[hot].sum())
                 good = counts[used:used + n] >= 2
                 used += n
                 start, size, low = split_runs(start, size, low, hot, good)
+            raw = units.tobytes()
             for a, n, m in zip(start.tolist(), size.tolist(), low.tolist(), strict=True):
-                passage = units[a:a + n + kind.window - 1].tobytes()
-                known.setdefault((m, passage), []).append((*place, a))
+                passage = m, raw[a * width:(a + n + more) * width]
+                packed = pack(*place, a)
+                known[passage] = known[passage] + packed if passage in known else packed
         batch = rows["batch"].iloc[0]
-        width = np.dtype(kind.dtype).itemsize
         return pd.DataFrame({
             "minimizer": np.array([m for m, _ in known], np.uint64).view(np.int64),
             "passage": [p for _, p in known],
             "windows": np.array([len(p) // width - kind.window + 1 for _, p in known], np.int32),
             "batch": np.full(len(known), batch, np.int64),
-            "places": [np.array(x, np.int64).tobytes() for x in known.values()]}, columns=names)
+            "places": list(known.values())}, columns=names)
 
     first = tally.totals(tally.ask(batches, minimizers, buckets))
     again = batches.groupBy("batch").cogroup(first.groupBy("batch")).applyInPandas(ask_again, tally.ASKED)
@@ -168,94 +170,111 @@ def split_runs(start: np.ndarray, size: np.ndarray, low: np.ndarray, hot: np.nda
 
 @dataclass
 class Shard:
-    """Passages that share minimizers: distinct ones, and for each row its passage, batch and places."""
+    """Passages that share minimizers: the distinct ones, with the number of windows of each, and all their places."""
 
     texts: list[bytes]
-    number: np.ndarray
+    windows: np.ndarray  # by passage
+    passage: np.ndarray  # by place
     batch: np.ndarray
-    places: list[np.ndarray]
+    places: np.ndarray  # rid, key, key is null, first window
 
     @classmethod
     def parts(cls, batches: Iterator[pd.DataFrame]) -> Iterator[Shard]:
         """Rows sorted by minimizer, cut between minimizers when their texts take ``SHARD_BYTES``."""
         texts: dict[bytes, int] = {}
-        number, batch, places, size, last = [], [], [], 0, None
+        number, batch, places, windows, size, last = [], [], [], [], 0, None
+
+        def shard() -> Shard:
+            n = np.fromiter(map(len, places), np.int64, len(places)) // 32
+            return cls(list(texts), np.array(windows, np.int64), np.repeat(np.array(number, np.int64), n),
+                       np.repeat(np.array(batch, np.int64), n), np.frombuffer(b"".join(places), np.int64).reshape(-1, 4))
+
         for rows in batches:
-            for m, p, b, x in zip(rows["minimizer"], rows["passage"], rows["batch"], rows["places"], strict=True):
+            for m, p, w, b, x in zip(rows["minimizer"].tolist(), rows["passage"], rows["windows"].tolist(), rows["batch"].tolist(),
+                                     rows["places"], strict=True):
                 if size >= SHARD_BYTES and m != last:
-                    yield cls(list(texts), np.array(number, np.int64), np.array(batch, np.int64), places)
-                    texts, number, batch, places, size = {}, [], [], [], 0
+                    yield shard()
+                    texts, number, batch, places, windows, size = {}, [], [], [], [], 0
                 last = m
-                known = len(texts)
-                number.append(texts.setdefault(p, known))
-                size += len(p) * (len(texts) - known)
+                k = texts.get(p)
+                if k is None:
+                    texts[p] = k = len(texts)
+                    windows.append(w)
+                    size += len(p)
+                number.append(k)
                 batch.append(b)
-                places.append(np.frombuffer(x, np.int64).reshape(-1, 4))  # rid, key, key is null, first window
+                places.append(x)
         if texts:
-            yield cls(list(texts), np.array(number, np.int64), np.array(batch, np.int64), places)
-
-
-@dataclass
-class Ages:
-    """For each distinct passage its windows' first occurrence: ages are ranks of (key is null, key, rid, window)."""
-
-    first: np.ndarray  # rid, key, key is null, first window; by passage
-    age: np.ndarray  # of the windows of all passages, one after the other
-
-    @classmethod
-    def of(cls, shard: Shard, windows: np.ndarray) -> Ages:
-        places = np.concatenate(shard.places)
-        number = np.repeat(shard.number, [len(p) for p in shard.places])
-        order = np.lexsort((places[:, 3], places[:, 0], places[:, 1], places[:, 2], number))
-        head = order[np.concatenate(([True], number[order][1:] != number[order][:-1]))]
-        first = places[head]
-        which = np.repeat(np.arange(len(windows)), windows)
-        at = first[which, 3] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rid, key, null = first[which, 0], first[which, 1], first[which, 2]
-        by = np.lexsort((at, rid, key, null))
-        new = np.ones(len(by), bool)  # a window may be in two passages that overlap
-        new[1:] = (at[by][1:] != at[by][:-1]) | (rid[by][1:] != rid[by][:-1])
-        age = np.empty(len(by), np.int64)
-        age[by] = np.cumsum(new)
-        return cls(first, age)
-
-    def flags(self, shard: Shard, younger: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """What ``removed_units`` wants: younger windows of a passage's first occurrence, all windows of the others."""
-        for k, batch, where in zip(shard.number.tolist(), shard.batch.tolist(), shard.places, strict=True):
-            first = (where[:, 0] == self.first[k, 0]) & (where[:, 3] == self.first[k, 3])
-            if first.any():
-                yield batch, where[first], younger[k]
-            if not first.all():
-                yield batch, where[~first], np.ones(len(younger[k]), bool)
-
-
-def covered(flags: np.ndarray, window: int) -> np.ndarray:
-    """[first unit, unit behind] of the stretches that flagged windows cover, in order."""
+            yield shard()
+
+
+def first_places(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct passage, by (key is null, key, rid, window), and the ages of the windows
+    there, one passage after the other: a number that orders windows so and is the same for one window in two passages."""
+    places = shard.places
+    order = np.lexsort((places[:, 3], places[:, 0], places[:, 1], places[:, 2], shard.passage))
+    sorted_passage = shard.passage[order]
+    first = places[order[np.concatenate(([True], sorted_passage[1:] != sorted_passage[:-1]))]]
+    by = np.lexsort((first[:, 0], first[:, 1], first[:, 2]))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(np.concatenate(([0], first[by][1:, 0] != first[by][:-1, 0])))
+    n = shard.windows
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return first, np.repeat(rank << 32, n) + np.repeat(first[:, 3], n) + within
+
+
+def covered(flags: np.ndarray, windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of units that flagged windows cover: passage, first unit, unit behind; in order."""
+    offset = np.cumsum(windows) - windows
     at = np.flatnonzero(flags)
-    if not len(at):
-        return np.zeros((0, 2), np.int64)
-    cut = np.flatnonzero(np.diff(at) > window)
-    return np.stack((at[np.concatenate(([0], cut + 1))], at[np.append(cut, len(at) - 1)] + window), axis=1)
+    passage = np.repeat(np.arange(len(windows)), windows)[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > window) | (passage[1:] != passage[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    of = passage[first]
+    return of, at[first] - offset[of], at[last] - offset[of] + window
 
 
-def removed_units(batches: DataFrame, window_flags: Callable[[Shard], Iterator[tuple[int, np.ndarray, np.ndarray]]],
+def spans_of(shard: Shard, flags: np.ndarray, first: np.ndarray | None, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(batch, spans of rid, first unit, unit behind) at all places of the passages.
+
+    ``flags`` are those of the windows of all passages, one after the other. With ``first`` they hold for these places,
+    and all windows at other places are flagged.
+    """
+    passage, places = shard.passage, shard.places
+    own = np.ones(len(places), bool) if first is None else (places[:, 0] == first[passage, 0]) & (places[:, 3] == first[passage, 3])
+    of, a, b = covered(flags, shard.windows, window)
+    low, n = np.searchsorted(of, np.arange(len(shard.windows))), np.bincount(of, minlength=len(shard.windows))
+    at = np.flatnonzero(own)
+    times = n[passage[at]]
+    index = np.repeat(low[passage[at]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    at = np.repeat(at, times)
+    rest = np.flatnonzero(~own)
+    start = places[rest, 3]
+    found = np.concatenate((
+        np.stack((places[at, 0], places[at, 3] + a[index], places[at, 3] + b[index]), axis=1),
+        np.stack((places[rest, 0], start, start + shard.windows[passage[rest]] + window - 1), axis=1)))
+    return np.concatenate((shard.batch[at], shard.batch[rest])), found
+
+
+def removed_units(batches: DataFrame, decide: Callable[[Shard], tuple[np.ndarray, np.ndarray | None]],
                   kind: Kind, total: int) -> DataFrame:
     """(batch, spans): spans holds rid, first unit and unit behind, of what flagged windows cover.
 
-    ``window_flags`` gives, for a shard, (batch, places, flags of the windows from each place on).
+    ``decide`` gives flags and first places of a shard (see ``spans_of``).
     """
 
     def work(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, list[np.ndarray]] = {}
-        for batch, places, flags in chain.from_iterable(map(window_flags, Shard.parts(rows))):
-            stretch = covered(flags, kind.window)
-            if len(stretch):
-                out = np.empty((len(places), len(stretch), 3), np.int64)
-                out[:, :, 0] = places[:, None, 0]
-                out[:, :, 1:] = places[:, None, None, 3] + stretch[None]
-                found.setdefault(batch, []).append(out.reshape(-1, 3))
-        yield pd.DataFrame({"batch": np.array(list(found), np.int64),
-                            "spans": [np.concatenate(x).tobytes() for x in found.values()]})
+        found: dict[int, list[bytes]] = {}
+        for shard in Shard.parts(rows):
+            batch, spans = spans_of(shard, *decide(shard), kind.window)
+            order = np.argsort(batch, kind="stable")
+            batch, spans = batch[order], spans[order]
+            cut = np.flatnonzero(np.diff(batch)) + 1
+            for b, part in zip(batch[np.concatenate(([0], cut))].tolist() if len(batch) else [], np.split(spans, cut), strict=False):
+                found.setdefault(b, []).append(part.tobytes())
+        yield pd.DataFrame({"batch": np.array(list(found), np.int64), "spans": [b"".join(x) for x in found.values()]})
 
     sorted_rows = passages(batches, kind, total).repartition("minimizer").sortWithinPartitions("minimizer")
     return sorted_rows.mapInPandas(work, "batch long, spans binary")

@@ -275,18 +275,15 @@ def common_windows(text: np.ndarray, order: np.ndarray, window: int, room: np.nd
     return out
 
 
-def repeated_windows(passages: list[bytes], window: int, ages: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each passage, which of its windows are also elsewhere in the passages; with ages (of all windows, one
-    passage after the other), which of them an older one equals."""
-    n = np.array([len(p) for p in passages], np.int64)
-    start = np.concatenate(([0], np.cumsum(n + 1)))
-    text = np.zeros(start[-1] + 1, np.int16)
-    room = np.zeros(start[-1] + 1, np.int32)
-    for p, a in zip(passages, start[:-1].tolist(), strict=True):
-        text[a:a + len(p)] = np.frombuffer(p, np.uint8)
-        room[a:a + len(p)] = np.arange(len(p), 0, -1)
+def repeated_windows(passages: list[bytes], window: int, ages: np.ndarray | None = None) -> np.ndarray:
+    """For all windows of the passages, one passage after the other, which are also elsewhere in them; with ages (of
+    all windows), which of them an older one equals."""
+    n = np.fromiter(map(len, passages), np.int64, len(passages))
+    text = np.frombuffer(b"\0".join([*passages, b"\0"]), np.uint8)
+    ends = np.cumsum(n + 1) - 1
+    room = np.append(np.repeat(ends, n + 1) - np.arange(ends[-1] + 1), 0)
     parted = text + np.int16(2)
-    parted[start[1:] - 1] = 1
+    parted[ends] = 1
     parted[-1] = 0
     order = sort_suffixes(parted)
     same = common_windows(text, order, window, room)
@@ -301,7 +298,7 @@ def repeated_windows(passages: list[bytes], window: int, ages: np.ndarray | None
         first = np.flatnonzero(~same)
         oldest = np.repeat(np.minimum.reduceat(ranked, first), np.diff(np.append(first, len(order))))
         flags[order] = ranked > oldest
-    return [flags[a:a + len(p) - window + 1] for p, a in zip(passages, start[:-1].tolist(), strict=True)]
+    return flags[room >= window]
 
 
 def kind_of(window: int) -> repeats.Kind:
@@ -327,16 +324,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     kind = kind_of(window)
     batches, total = repeats.prepared(docs, key, text, keep)
 
-    def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def decide(shard: repeats.Shard) -> tuple[np.ndarray, np.ndarray | None]:
         if keep_first:
-            windows = np.array([len(t) for t in shard.texts]) - window + 1
-            ages = repeats.Ages.of(shard, windows)
-            yield from ages.flags(shard, repeated_windows(shard.texts, window, ages.age))
-            return
-        seen = np.bincount(shard.number, [len(p) for p in shard.places], minlength=len(shard.texts))
-        flags = [f | twice for f, twice in zip(repeated_windows(shard.texts, window), (seen > 1).tolist(), strict=True)]
-        for number, batch, places in zip(shard.number.tolist(), shard.batch.tolist(), shard.places, strict=True):
-            yield batch, places, flags[number]
+            first, ages = repeats.first_places(shard)
+            return repeated_windows(shard.texts, window, ages), first
+        twice = np.bincount(shard.passage, minlength=len(shard.texts)) > 1
+        return repeated_windows(shard.texts, window) | np.repeat(twice, shard.windows), None
 
     def finish(value: str | None, spans: np.ndarray) -> tuple:
         raw = np.frombuffer((value or "").encode(), np.uint8)
@@ -346,6 +339,6 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return (len(raw), int(len(raw) - keep.sum()), starts, hashlib.sha256(left).hexdigest(),
                 (value if value is None else left.decode(errors="ignore")) if with_text else None)
 
-    spans = repeats.removed_units(batches, flagged, kind, total)
+    spans = repeats.removed_units(batches, decide, kind, total)
     return repeats.apply_spans(batches, spans, finish,
                                "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", keep)

@@ -38,33 +38,32 @@ def prefix_groups(words: np.ndarray, suffixes: np.ndarray, window: int) -> Itera
 
 
 def subtree(words: np.ndarray, group: np.ndarray, depth: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the depth (``window`` at most) at which each parts from the one before."""
+    """Suffixes of a group in order, and whether each parts from the one before above the window's depth.
+
+    ``words`` are ranks. Below the common prefix, the rest of the window is compared as big-endian bytes.
+    """
     if depth == window:
-        return group, np.concatenate(([0], np.full(len(group) - 1, window)))
-    parts = [words[group + k] for k in range(depth, window)]
-    order = np.lexsort(parts[::-1])
-    common = np.full(len(group), window)
-    open_ = np.ones(max(0, len(group) - 1), bool)
-    for k, part in enumerate(parts):
-        ordered = part[order]
-        differ = open_ & (ordered[1:] != ordered[:-1])
-        common[1:][differ] = depth + k
-        open_ &= ~differ
-    common[0] = 0
-    return group[order], common
+        return group, np.arange(len(group)) == 0
+    rest = np.lib.stride_tricks.sliding_window_view(words, window - depth)[group + depth].astype(">u4")
+    rest = rest.view(f"S{4 * (window - depth)}").ravel()
+    order = np.argsort(rest)
+    rest = rest[order]
+    return group[order], np.concatenate(([True], rest[1:] != rest[:-1]))
 
 
 def repeated_windows(words: np.ndarray, suffixes: np.ndarray, age: np.ndarray, window: int) -> np.ndarray:
-    """Flags of the suffixes whose window an older one has too. age: by suffix, unique."""
-    flags = np.zeros(len(words), bool)
+    """Which of the suffixes begin with a window that an older one begins with too."""
+    ranks = np.unique(words, return_inverse=True)[1].astype(np.uint32) + 1
     rank = np.zeros(len(words), np.int64)
     rank[suffixes] = age
-    for group, depth in prefix_groups(words, suffixes, window):
-        order, common = subtree(words, group, depth, window)
-        first = np.flatnonzero(common < window)  # where a topmost deep node, or a leaf, begins
-        oldest = np.minimum.reduceat(rank[order], first)
-        flags[order] = rank[order] > np.repeat(oldest, np.diff(np.append(first, len(order))))
-    return flags
+    flags = np.zeros(len(words), bool)
+    for group, depth in prefix_groups(ranks, suffixes, window):
+        order, parts = subtree(ranks, group, depth, window)
+        first = np.flatnonzero(parts)  # where a topmost node that is deep enough, or a leaf, begins
+        aged = rank[order]
+        oldest = np.minimum.reduceat(aged, first)
+        flags[order] = aged > np.repeat(oldest, np.diff(np.append(first, len(order))))
+    return flags[suffixes]
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20,
@@ -79,15 +78,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     kind = repeats.Kind(lambda t: word_hashes((t or "").encode())[0], np.uint64, window, max(1, window // 2))
     batches, total = repeats.prepared(docs, key, text)
 
-    def flagged(shard: repeats.Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        n = np.array([len(t) // 8 for t in shard.texts])
-        start = np.concatenate(([0], np.cumsum(n)))
+    def decide(shard: repeats.Shard) -> tuple[np.ndarray, np.ndarray]:
+        n = shard.windows
         words = np.frombuffer(b"".join(shard.texts), np.uint64)
-        windows = n - window + 1
-        ages = repeats.Ages.of(shard, windows)
-        suffixes = np.repeat(start[:-1] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-        younger = repeated_windows(words, suffixes, ages.age, window)
-        yield from ages.flags(shard, [younger[a:a + m] for a, m in zip(start.tolist(), windows.tolist(), strict=False)])
+        start = np.cumsum(n + window - 1) - n - window + 1
+        suffixes = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        first, ages = repeats.first_places(shard)
+        return repeated_windows(words, suffixes, ages, window), first
 
     def finish(value: str | None, spans: np.ndarray) -> tuple:
         raw = (value or "").encode()
@@ -97,5 +94,5 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return (len(words), int(len(words) - keep.sum()), hashlib.sha256(left).hexdigest(),
                 (value if value is None else left.decode()) if with_text else None)
 
-    spans = repeats.removed_units(batches, flagged, kind, total)
+    spans = repeats.removed_units(batches, decide, kind, total)
     return repeats.apply_spans(batches, spans, finish, "n_words long, n_removed long, kept_sha256 string, kept string")
