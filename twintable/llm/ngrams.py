@@ -21,6 +21,8 @@ from twintable.llm.base import gram_hashes, mixed, word_hashes
 ALPHA = 0.4
 #: N-grams of two words and more count from so many occurrences on.
 LEAST = 2
+#: Bytes of text in a batch: the larger it is, the fewer n-grams are asked for twice.
+BATCH_BYTES = 8 << 20
 
 
 def _grams(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +52,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: in
     word of it, without a factor for what is missing. Words are parted by ASCII white space and unchanged; all rows
     are counted and scored, repeated ones and null keys too. Null, empty and blank texts have no words: 0, 0 and null.
     """
-    batches, total = repeats.prepared(docs, key, text)
+    batches, total = repeats.prepared(docs, key, text, batch_bytes=BATCH_BYTES)
     buckets = tally.buckets_for(total)
 
     def short(rows: pd.DataFrame) -> pd.DataFrame:

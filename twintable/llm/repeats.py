@@ -316,13 +316,14 @@ def apply_spans(batches: DataFrame, spans: DataFrame, finish: Callable[[pd.Serie
                        *[F.col("key").alias(c) for i, c in enumerate(keep) if c not in held.values() and c not in shown and c != "text"])
 
 
-def prepared(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+def prepared(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (),
+             batch_bytes: int = tally.BATCH_BYTES) -> tuple[DataFrame, int]:
     """The table in batches, and its bytes of text. Columns that are kept become one struct, ``kept_columns``."""
     own = numbered(docs, key=key, text=text, **{f"kept_{i}": c for i, c in enumerate(keep)})
     own = own.select("rid", F.col("key").cast("long").alias("key"), "text",
                      *[F.col(f"kept_{i}") for i, c in enumerate(keep) if c not in (key, text)])
     total = tally_bytes(own)
-    return tally.batched(own, total), total
+    return tally.batched(own, total, batch_bytes), total
 
 
 def tally_bytes(own: DataFrame) -> int:

@@ -8,6 +8,7 @@ batch one entry, and no table of hashes is ever broadcast or collected.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +27,9 @@ ASKED = "batch long, bucket int, hashes binary, counts binary"
 ANSWERED = "batch long, bucket int, counts binary"
 
 
-def batched(docs: DataFrame, total: int) -> DataFrame:
+def batched(docs: DataFrame, total: int, least: int = BATCH_BYTES) -> DataFrame:
     """A table with rid and a batch number; the square root keeps batches x buckets in proportion at any size."""
-    size = max(BATCH_BYTES, int((total * 64) ** 0.5))
+    size = max(least, int((total * 64) ** 0.5))
     return docs.withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-total // size)))))
 
 
@@ -46,11 +47,12 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def plain(values: np.ndarray) -> bytes:
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Counts, mostly small: entropy coding takes them to a few bits each."""
+    return zlib.compress(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unplain(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def question(batch: int, hashes: np.ndarray, buckets: int, total: int | None = None) -> pd.DataFrame:
