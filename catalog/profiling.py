@@ -92,11 +92,9 @@ def common_shapes(spark, d):
 
 _SHAPE_PARTS = [("pages", "url"), ("pages", "html"), ("part", "p_name"), ("part", "p_brand"),
                 ("part", "p_type")]
-# long shapes rank by their hash on equal counts
 COMMON_SHAPES_SQL = union_all([f"""
 SELECT '{c}' AS "column", rank::INT AS rank, shape, n FROM (
-  SELECT shape, n, row_number() OVER (ORDER BY n DESC,
-    CASE WHEN length(shape) >= 64 THEN sha256(shape) ELSE shape END) AS rank
+  SELECT shape, n, row_number() OVER (ORDER BY n DESC, shape) AS rank
   FROM (SELECT {_shape_sql(c)} AS shape, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)
 ) WHERE rank <= 5 AND n > 1""" for t, c in _SHAPE_PARTS])
 

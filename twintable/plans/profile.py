@@ -106,6 +106,10 @@ def length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# Keys of long shapes that are broadcast at most; more of them are joined by key.
+TIED_KEYS = 50_000
+
+
 def shape_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) of shape keys; long shapes travel as hashes."""
     return (
@@ -117,26 +121,31 @@ def shape_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def common_shapes(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """(column, rank, shape, n): the k most frequent shapes that repeat.
+    """(column, rank, shape, n): the k most frequent shapes that repeat; ties go to the lower shape.
 
-    Shapes are ranked by key; the few winning keys of long shapes are then looked up in the
-    data, so no long text is ever shuffled.
+    Counting goes by key. All keys that tie at the k-th count are then candidates; the texts of
+    long ones are looked up in the data, so only texts that may be shown are moved.
     """
-    best = top_values(shape_frequencies(df, columns), k).filter(F.col("n") > 1)
-    long_keys = best.filter(F.length("value") == LONG_VALUE).select("column", "value")
+    freq = shape_frequencies(df, columns).filter(F.col("n") > 1)
+    least = top_values(freq, k).groupBy("column").agg(F.min("n").alias("least"))
+    # a row per column on the right
+    tied = freq.join(F.broadcast(least), "column").filter(F.col("n") >= F.col("least")).drop("least")
+    keys = tied.filter(F.length("value") == LONG_VALUE).select("column", "value")
+    if keys.limit(TIED_KEYS + 1).count() <= TIED_KEYS:
+        keys = F.broadcast(keys)
     texts = (
         melt(df, columns)
         .withColumn("shape", shape_pattern(F.col("value")))
         .filter(F.length("shape") >= LONG_VALUE)
         .withColumn("value", value_key(F.col("shape")))
-        # at most k keys per column
-        .join(F.broadcast(long_keys), ["column", "value"])
+        .join(keys, ["column", "value"])
         .groupBy("column", "value")
         .agg(F.first("shape").alias("shape"))
     )
-    return best.join(F.broadcast(texts), ["column", "value"], "left").select(
-        "column", "rank", F.coalesce("shape", "value").alias("shape"), "n"
+    shown = tied.join(texts, ["column", "value"], "left").select(
+        "column", F.coalesce("shape", "value").alias("value"), "n"
     )
+    return top_values(shown, k).withColumnRenamed("value", "shape")
 
 
 def format_consistency(df: DataFrame, columns: Sequence[str], threshold: float = 0.8) -> DataFrame:
