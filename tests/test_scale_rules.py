@@ -140,3 +140,23 @@ def test_short_and_long_lists_draw_alike(spark, monkeypatch):
     monkeypatch.setattr(categorical, "SMALL_LOOKUP", 5)
     many = categorical.add_city(home, "country", pairs, Draws(3, "x", F.col("row_id"))(0), "city", F.lit("?"))
     assert {r.row_id: r.city for r in many.collect()} == expected
+
+
+def test_correlations_match_pandas(spark):
+    import pandas as pd
+
+    from twintable.operators.aggregates import correlation_pairs
+
+    rng = np.random.default_rng(8)
+    a = rng.normal(1e7, 3, 500)
+    frame = pd.DataFrame({"a": a, "b": 2 * a + rng.normal(0, 2, 500), "c": 0.1, "d.e": rng.normal(0, 1e-3, 500), "f": np.nan})
+    frame.loc[::3, "b"] = np.nan
+    frame.loc[1::4, "d.e"] = np.nan
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "a double, b double, c double, `d.e` double, f double").repartition(3)
+    got = {(r.column_a, r.column_b): r["corr"] for r in correlation_pairs(df, list(frame)).collect()}
+    expected = frame.astype(float).corr()
+    assert len(got) == 25
+    for (x, y), r in got.items():
+        e = expected.loc[x, y]
+        assert r is None if np.isnan(e) else r == pytest.approx(e, abs=1e-9)
+    assert correlation_pairs(df.limit(0), ["a"]).collect() == []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,27 +96,54 @@ def frame_totals(df: DataFrame) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_a, column_b, corr) over the full matrix, pairwise-complete like pandas.
 
-    Pairs are map-side aggregates that share scans; the mirror comes for free.
+    Two scans however many columns there are: one for the means, one in which each task multiplies
+    the matrix of deviations and that of known cells with each other, a batch of rows at a time. What a
+    task hands on is one row of sums per pair of columns.
     """
-    clean = df.select(*[clean_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-
-    def cell(a: int, b: int, value: Column) -> Column:
-        return F.struct(
-            F.lit(columns[a]).alias("column_a"), F.lit(columns[b]).alias("column_b"),
-            value.alias("corr"),
-        )
-
-    parts = []
-    for i in range(len(columns)):
-        one = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
-        parts.append(([F.var_pop(f"v{i}").alias(f"s{i}")], [cell(i, i, one)]))
-    for i, j in combinations(range(len(columns)), 2):
-        r = F.corr(f"v{i}", f"v{j}")
-        both = F.col(f"r{i}_{j}")
-        parts.append(
-            ([F.when(~F.isnan(r), r).alias(f"r{i}_{j}")], [cell(i, j, both), cell(j, i, both)])
-        )
-    return rows_per_column(clean, parts)
+    names = [f"v{i}" for i in range(len(columns))]
+    clean = df.select(*[clean_number(df, c).cast("double").alias(n) for c, n in zip(columns, names)])
+    width = 40
+    means: dict[str, float] = {}
+    for at in range(0, len(names), width):
+        means |= clean.agg(*[F.avg(n).alias(n) for n in names[at:at + width]]).first().asDict()
+    centre = np.array([means[n] or 0.0 for n in names])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(np.float64)
+            known = ~np.isnan(x)
+            x = np.where(known, x - centre, 0.0)
+            mask = known.astype(np.float64)
+            part = np.stack((mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x))
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(centre))
+            n, one, square, cross = total
+            yield pd.DataFrame({
+                "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j], "sx": one[i, j], "sy": one[j, i],
+                "sxx": square[i, j], "syy": square[j, i], "sxy": cross[i, j],
+            })
+
+    parts = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    pairs = clean.mapInPandas(sums, "i int, j int, " + ", ".join(f"{p} double" for p in parts))
+    pairs = pairs.groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in parts])
+    at = F.array(*[F.lit(float(c)) for c in centre])
+
+    def spread(total: str, squares: str, place: str) -> Column:
+        value = F.col(squares) - F.col(total) * F.col(total) / F.col("n")
+        # below what doubles of this size can tell apart
+        least = F.col("n") * F.pow(F.abs(F.get(at, F.col(place))) * 1e-14, F.lit(2.0))
+        return F.when(value > least, value)
+
+    dx, dy = spread("sx", "sxx", "i"), spread("sy", "syy", "j")
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(dx * dy)
+    r = F.when(F.col("n") > 0, F.when(F.col("i") == F.col("j"), dx / dx).otherwise(r))
+    label = F.array(*map(F.lit, columns))
+    cells = pairs.withColumn("corr", F.when(~F.isnan(r), r))
+    mirrored = cells.select("i", "j", "corr").unionByName(
+        cells.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    return mirrored.select(F.get(label, F.col("i")).alias("column_a"), F.get(label, F.col("j")).alias("column_b"), "corr")
 
 
 def deterministic_mode(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

@@ -109,13 +109,17 @@ def normalized_entropy(freq: DataFrame) -> DataFrame:
     )
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Group sizes on keys; rows with a missing key are left out."""
+def present_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows without a missing key."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    present = df
     for k in keys:
-        present = present.filter(not_nan(F.col(f"`{k}`"), types[k]).isNotNull())
-    return present.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("group_size"))
+        df = df.filter(not_nan(F.col(f"`{k}`"), types[k]).isNotNull())
+    return df
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Group sizes on keys; rows with a missing key are left out."""
+    return present_rows(df, keys).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("group_size"))
 
 
 def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from twintable.operators.columns import (
     atomic_columns, merge_single_rows, rows_from_wide, small_copy,
 )
 from twintable.operators.frequency import (
-    frequency_summary, group_sizes, normalized_entropy, unique_rows, value_frequencies,
+    frequency_summary, group_sizes, normalized_entropy, present_rows, unique_rows, value_frequencies,
 )
 
 # Defaults and level limits.
@@ -42,7 +42,11 @@ def group_summary(
 ) -> DataFrame:
     """One row about the group sizes; groups are counted once for all risk measures."""
     size = F.col("group_size")
-    return group_sizes(df, keys).agg(
+    sizes = group_sizes(df, keys)
+    if any(not isinstance(df.schema[c].dataType, T.NumericType) for c in keys):
+        # texts stay where they are: groups are told apart by their digest
+        sizes = present_rows(df, keys).groupBy(_digest(df, keys, set()).alias("digest")).agg(F.count("*").alias("group_size"))
+    return sizes.agg(
         F.count("*").alias("total_groups"), F.min(size).alias("min_group_size"),
         F.count_if(size < k).alias("groups_below_k"), F.count_if(size == 1).alias("unique_groups"),
         F.count_if(size <= rare).alias("rare_groups"),
