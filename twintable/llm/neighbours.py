@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from twintable.llm.base import numbered
 
-#: Rows that rotation and radius are learned on, at most.
+#: Rows that rotation and radius are learned on, on average.
 SAMPLE = 10_000
 #: Share of true neighbours within the sample that the radius must hold.
 RECALL = 0.98
@@ -128,7 +128,10 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
                                                           F.col("vector").cast("array<double>").alias("vector"))
     own = own.filter("key IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
     schema = "query_rid long, query_id long, vec_id long, score double"
-    sample = own.orderBy(F.xxhash64("key", "rid")).limit(SAMPLE).select("vector").toPandas()["vector"].tolist()
+    total = own.count()
+    # a share by hash: each task sends its own few rows, never a full sample
+    share = F.pmod(F.xxhash64("key", "rid"), F.lit(1 << 40)) / float(1 << 40)
+    sample = own.filter(share * F.lit(float(total)) < SAMPLE).select("vector").toPandas()["vector"].tolist()
     sample = [v for v, good in zip(sample, usable(sample), strict=True) if good]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -185,7 +188,6 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
         return (own.mapInPandas(work, schema).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k))
 
     results = []
-    total = own.limit(k + 1).count()
     for block in range(blocks):
         queries = asked.filter(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == block).toPandas()
         if not len(queries):
