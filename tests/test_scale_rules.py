@@ -160,3 +160,14 @@ def test_correlations_match_pandas(spark):
         e = expected.loc[x, y]
         assert r is None if np.isnan(e) else r == pytest.approx(e, abs=1e-9)
     assert correlation_pairs(df.limit(0), ["a"]).collect() == []
+
+
+def test_a_text_order_is_cut_into_buckets(spark):
+    from twintable.operators import fill
+
+    rows = [(f"k{i:05d}", i if i % 7 == 0 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(4)
+    cut = fill._cut(df, ["k"], 500)
+    assert cut.select("_bucket").distinct().count() > 2
+    got = {r.k: r.v for r in fill._fill(df, ["v"], ["k"], None, False, 500).collect()}
+    assert got == {k: int(k[1:]) // 7 * 7 for k, _ in rows}

@@ -28,6 +28,12 @@ def _position(df: DataFrame, column: str) -> Column | None:
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        # the first six bytes as a number: texts sort by their bytes
+        raw = c if isinstance(dtype, T.BinaryType) else F.encode(c, "utf-8")
+        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
     return None
 
 

@@ -42,12 +42,22 @@ def quantile_values(
     ).first()
     small = [c for i, c in enumerate(columns) if sizes[f"d{i}"] <= distinct_limit]
     out: dict[str, list[float | None]] = {}
-    if small:
+    # one aggregate holds so many distinct values at most, over all of its columns
+    groups: list[list[str]] = []
+    held = distinct_limit
+    for c in small:
+        size = sizes[f"d{columns.index(c)}"]
+        if not groups or held + size > distinct_limit:
+            groups.append([])
+            held = 0
+        groups[-1].append(c)
+        held += size
+    for group in groups:
         row = df.agg(
             *[F.percentile(numbers[c], F.array(*map(F.lit, probs))).alias(f"q{i}")
-              for i, c in enumerate(small)]
+              for i, c in enumerate(group)]
         ).first()
-        for i, c in enumerate(small):
+        for i, c in enumerate(group):
             out[c] = list(row[i]) if row[i] is not None else [None] * len(probs)
     large = {c: sizes[f"n{i}"] for i, c in enumerate(columns) if c not in out}
     if large:
