@@ -20,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -117,18 +118,23 @@ class Chunks:
                 ids = self.plainly(c)
                 self.store([c], ids, np.array([len(ids)]))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty.
+
+        Arrow lower-cases A-Z, splits and numbers the distinct chunks; only those are looked up one by one.
+        """
         if len(self.number) > KNOWN:
             self.clear()
-        parts = [t.encode().lower().split() for t in texts]
-        chunks = list(chain.from_iterable(parts))
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.large_binary()).to_pylist()
         at = list(map(self.number.get, chunks))
         if None in at:
             self.learn(set(chunks).difference(self.number))
             at = list(map(self.number.get, chunks))
-        ids, size = self.gather(np.array(at, np.int32))
-        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([len(p) for p in parts])]
+        at = np.array(at, np.int32)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+        ids, size = self.gather(at)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(parts.value_lengths().to_numpy())]
         return np.split(ids, ends[:-1]) if len(ends) else []
 
 
@@ -200,7 +206,7 @@ class Packer:
         self.held = 0
 
     def add(self, keys: list, texts: list[str | None]) -> None:
-        for doc_id, ids in zip(keys, self.chunks.encode([t or "" for t in texts]), strict=True):
+        for doc_id, ids in zip(keys, self.chunks.encode(texts), strict=True):
             self.docs.append((doc_id, len(ids) + 1, 0))
             self.parts += [ids, np.array([END], np.uint32)]
             self.held += len(ids) + 1
@@ -266,8 +272,8 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
         packer = Packer(chunks_of(path), size, TaskContext.get().partitionId() << 32, with_ids)
         schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                packer.add(batch.column(0)[i:i + 200].to_pylist(), batch.column(1)[i:i + 200].to_pylist())
+            for i in range(0, batch.num_rows, 1000):
+                packer.add(batch.column(0)[i:i + 1000].to_pylist(), batch.column(1)[i:i + 1000].to_pylist())
                 if packer.held >= PLAN:
                     for f in frames(packer.drain(False)):
                         yield pa.RecordBatch.from_pandas(f, schema=schema, preserve_index=False)
