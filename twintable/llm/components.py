@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from twintable.session import durable
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the given edges connect, one less than nodes for each component."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest node of its component: one less than nodes for each.
+
+    Tasks that see parts of one large component mostly agree on its smallest node, so their edges are the same ones.
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -18,13 +21,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent[x] = x = parent.get(up, up)
         return x
 
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
         x, y = root(x), root(y)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            keep.append(k)
-    return a[keep], b[keep]
+    nodes = list(parent)
+    return np.array(nodes, np.int64), np.array([root(x) for x in nodes], np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ segment's keys.
   keys on average, every pair within five bits is met, and many beyond it).
 
 Equal fingerprints are one node. Nodes with a key in common meet in a task, sorted by key; it compares
-fingerprints and gives out a spanning forest of the links, not the links.
+fingerprints and gives out an edge for each linked node, not the links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twintable.llm.base import numbered
-from twintable.llm.components import components, forest
+from twintable.llm.components import components, stars
 from twintable.session import durable
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
@@ -186,23 +186,33 @@ def links(nodes: DataFrame, columns: Sequence[str], radius: int, fuzzy: bool) ->
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for batch in batches:
-            last = batch["key"].iloc[-1] if len(batch) else None
+        found, size, limit = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, 1 << 16
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            return stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if batch is not None and (not len(batch) or batch["key"].iloc[0] == batch["key"].iloc[-1]):
+                continue
             # all but the last key of a batch are complete
-            held.append(batch)
-            if len(batch) and batch["key"].iloc[0] != last:
-                whole = pd.concat(held)
-                done = whole["key"].to_numpy() != last
-                yield linked(whole[done])
-                held = [whole[~done]]
-        if held:
-            yield linked(pd.concat(held))
-
-    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+            whole = pd.concat(held) if held else pd.DataFrame()
+            done = whole["key"] != batch["key"].iloc[-1] if batch is not None else np.ones(len(whole), bool)
+            if len(whole):
+                found.append(linked(whole[done]))
+                size += len(found[-1][0])
+                if size > limit:
+                    found = [together()]
+                    size, limit = len(found[0][0]), 1 << 16 | 2 * len(found[0][0])
+            held = [whole[~done]]
+        a, b = together()
+        yield pd.DataFrame({"a": a, "b": b})
+
+    def linked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         a, b = group_links(rows["key"].to_numpy(), rows[list(columns)].to_numpy(np.int64).reshape(-1, n), radius)
         node = rows["node"].to_numpy()
-        a, b = forest(node[a], node[b])
-        return pd.DataFrame({"a": a, "b": b})
+        return node[a], node[b]
 
     wide = ", ".join(f"{c} long" for c in columns)
     keys = nodes.select("node", *columns).mapInPandas(keyed, f"key long, node long, {wide}")
