@@ -171,3 +171,16 @@ def test_a_text_order_is_cut_into_buckets(spark):
     assert cut.select("_bucket").distinct().count() > 2
     got = {r.k: r.v for r in fill._fill(df, ["v"], ["k"], None, False, 500).collect()}
     assert got == {k: int(k[1:]) // 7 * 7 for k, _ in rows}
+
+
+def test_names_with_dots(spark):
+    from twintable.operators import sets
+    from twintable.operators.aggregates import deterministic_mode
+
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("c", "x")], "`k.1` string, `v.2` string")
+    pairs = df.filter("`k.1` IN ('a', 'b')").withColumn("v.2", F.lit("x"))
+    assert [tuple(r) for r in sets.invalid_pairs(df, pairs, "k.1", "v.2").collect()] == [("b", "y")]
+    assert [r[0] for r in sets.unexpected_values(df, "k.1", pairs).collect()] == ["c"]
+    assert {r[0] for r in sets.vocabulary(df, "v.2").select("token").collect()} == {"x", "y"}
+    assert deterministic_mode(df, "v.2").first()["mode"] == "x"
+    assert {tuple(r)[:2] for r in deterministic_mode(df, "v.2", ["k.1"]).collect()} == {("a", "x"), ("b", "y"), ("c", "x")}

@@ -152,11 +152,13 @@ def deterministic_mode(df: DataFrame, column: str, by: Sequence[str] = ()) -> Da
     Counts come first, so the final pick sees one row per distinct value and a hot group
     costs no more than its distinct values.
     """
+    keys = [F.col(f"`{b}`") for b in by]
     counts = (
-        df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+        df.filter(F.col(f"`{column}`").isNotNull())
+        .groupBy(*keys, F.col(f"`{column}`").alias("_value")).agg(F.count("*").alias("_n"))
     )
     # smallest struct = highest count, then lowest value
-    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col(column).alias("value")))
-    return counts.groupBy(*by).agg(best.alias("best")).select(
-        *by, F.col("best.value").alias("mode"), (-F.col("best.rank")).alias("n")
+    best = F.min(F.struct((-F.col("_n")).alias("rank"), F.col("_value").alias("value")))
+    return counts.groupBy(*keys).agg(best.alias("best")).select(
+        *keys, F.col("best.value").alias("mode"), (-F.col("best.rank")).alias("n")
     )

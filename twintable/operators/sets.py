@@ -47,19 +47,21 @@ def shared_rows(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame
 
 def unexpected_values(df: DataFrame, column: str, expected: DataFrame) -> DataFrame:
     """Distinct values of a column that the expected list (same column name) does not hold."""
-    return (
-        df.select(column).filter(F.col(column).isNotNull()).distinct()
-        .join(expected.select(column).distinct(), column, "left_anti")
-    )
+    seen = df.select(F.col(f"`{column}`").alias("_v")).filter("_v IS NOT NULL").distinct()
+    known = expected.select(F.col(f"`{column}`").alias("_v")).distinct()
+    return seen.join(known, "_v", "left_anti").select(F.col("_v").alias(column))
 
 
 def invalid_pairs(
     df: DataFrame, pairs: DataFrame, parent: str, child: str
 ) -> DataFrame:
     """Rows whose (parent, child) pair is not listed, for listed parents only."""
-    known = pairs.select(parent).distinct()
-    listed = pairs.select(parent, child).distinct()
-    return df.join(known, parent, "left_semi").join(listed, [parent, child], "left_anti")
+    p, c = F.col(f"`{parent}`"), F.col(f"`{child}`")
+    known = pairs.select(p.alias("_known")).distinct()
+    listed = pairs.select(p.alias("_parent"), c.alias("_child")).distinct()
+    return df.join(known, p == F.col("_known"), "left_semi").join(
+        listed, (p == F.col("_parent")) & (c == F.col("_child")), "left_anti"
+    )
 
 
 def vocabulary(df: DataFrame, column: str, side: str | None = None) -> DataFrame:
@@ -69,8 +71,8 @@ def vocabulary(df: DataFrame, column: str, side: str | None = None) -> DataFrame
     """
     by = ([side] if side else []) + ["token"]
     return (
-        df.filter(F.col(column).isNotNull())
-        .select(*([side] if side else []), F.explode(tokens(F.col(column))).alias("token"))
+        df.filter(F.col(f"`{column}`").isNotNull())
+        .select(*([side] if side else []), F.explode(tokens(F.col(f"`{column}`"))).alias("token"))
         .groupBy(*by)
         .agg(F.count("*").alias("n"))
     )
