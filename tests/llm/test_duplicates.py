@@ -78,6 +78,20 @@ def test_no_rows(docs):
     assert simhash.classes(empty).count() == 0
 
 
+def test_stretches_of_flagged_windows():
+    windows = np.array([4, 30, 1])
+    flags = np.zeros(35, bool)
+    assert [x.tolist() for x in repeats.covered(flags, windows, 5)] == [[], [], []]
+    flags[[0, 3, 4, 9, 15, 34]] = True
+    assert [x.tolist() for x in repeats.covered(flags, windows, 5)] == [[0, 1, 1, 2], [0, 0, 11, 0], [8, 10, 16, 5]]
+    place = np.array([[7, 1, 0, 100], [8, 2, 0, 0]])
+    shard = repeats.Shard([b""], np.array([3]), np.array([0, 0]), np.array([5, 6]), place)
+    batch, spans = repeats.spans_of(shard, np.zeros(3, bool), place[:1], 5)
+    assert batch.tolist() == [6] and spans.tolist() == [[8, 0, 7]]
+    batch, spans = repeats.spans_of(shard, np.zeros(3, bool), None, 5)
+    assert len(batch) == len(spans) == 0
+
+
 def test_large_groups_share_prefixes(monkeypatch):
     monkeypatch.setattr(trees, "GROUP", 4)
     rng = np.random.default_rng(5)

@@ -231,7 +231,7 @@ def covered(flags: np.ndarray, windows: np.ndarray, window: int) -> tuple[np.nda
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > window) | (passage[1:] != passage[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(at))[:len(first)] - 1
     of = passage[first]
     return of, at[first] - offset[of], at[last] - offset[of] + window
 
