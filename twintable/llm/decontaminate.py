@@ -2,7 +2,8 @@
 
 Words are runs of a-z, 0-9 and bytes beyond ASCII after lower-casing; shingles are five words, weighted by
 how often they occur. For each item that shares a shingle with a document, the windows of the item's length
-around what is shared get a SimHash (prefix sums over the bits make that one difference per window). An index of
+around what is shared get a SimHash (prefix sums over the bits make that one difference per window); a document shorter
+than the item is compared with it as a whole. An index of
 the items' fingerprints, cut into blocks, gives every item within the radius: by the pigeonhole principle one block
 differs in at most radius / blocks bits. Candidates are verified by exact weighted Jaccard similarity.
 """
@@ -107,14 +108,20 @@ class Index:
         place = np.repeat(hit, n)
         found: dict[int, tuple[float, int, int]] = {}
         for size in np.unique(self.sizes[item]).tolist():
-            if size > len(h):
+            if len(h) < least * size - 1e-9:
                 continue
             mine = self.sizes[item] == size
             at, of = place[mine], item[mine]
             order = np.argsort(of, kind="stable")
             at, of = at[order], of[order]
-            # similarity s of two windows of n shingles takes 2s / (1 + s) * n in common, each a hit of its own
+            # similarity s of windows of n and m shingles takes s / (1 + s) * (n + m) in common, each a hit of its own
             cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+            if len(h) < size:  # a text shorter than the item is the one window
+                need = int(np.ceil(least / (1 + least) * (size + len(h)) - 1e-9))
+                for p, i in zip(np.split(at, cut), of[np.append(0, cut)].tolist(), strict=True):
+                    if len(np.unique(p)) >= need and (value := similarity(h, self.items[i][1])) >= least:
+                        found[i] = (value, 0, len(h) + words - 1)
+                continue
             starts = np.zeros(len(h) - size + 1, bool)
             need = int(np.ceil(2 * least / (1 + least) * size - 1e-9))
             for p in np.split(at, cut):
@@ -157,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """One row per input row: rid, key, ``item_ids`` (sorted, of the items that some window resembles) and ``similarity`` (the
     best; null without a match), with the columns of ``keep`` unchanged.
 
-    Null and empty texts match nothing; neither do items that are null or have fewer words than a shingle.
+    A text shorter than an item is compared as a whole. Null and empty texts match nothing; neither do items that are null or have fewer words than a shingle.
     Items with a null key are matched under key -1. Repeated items are listed once, and repeated rows are rows of their own. The benchmark is
     indexed a block of bounded bytes at a time; each block is one pass over the documents.
     """
