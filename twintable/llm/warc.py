@@ -26,7 +26,7 @@ LEAST = 1000
 RECORDS_PER_FILE = 20_000
 #: Narrow rows (a few numbers each) that are broadcast at most.
 BROADCAST_ROWS = 100_000
-#: Bytes in which a header must end.
+#: Bytes in which most headers end; where one does not, the whole piece is searched.
 HEADER = 1 << 16
 
 
@@ -63,8 +63,19 @@ def _record_id(rid: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
+def _escaped(url: Column) -> Column:
+    """The url without the magic text: its slash is percent-encoded, and what looks encoded is so once more."""
+    once = F.regexp_replace(url, r"WARC%(?<more>(?:25)*)2F1\.1", "WARC%25${more}2F1.1")
+    return F.regexp_replace(once, r"WARC/1\.1", "WARC%2F1.1")
+
+
+def _unescaped(url: Column) -> Column:
+    plain = F.regexp_replace(url, r"WARC%2F1\.1", "WARC/1.1")
+    return F.regexp_replace(plain, r"WARC%25(?<more>(?:25)*)2F1\.1", "WARC%${more}2F1.1")
+
+
 def write(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes rows of ``with_revisits`` as WARC files. Line breaks in urls become blanks."""
+    """Writes rows of ``with_revisits`` as WARC files. Line breaks in urls become blanks, and the magic text is escaped."""
     line = F.lit("\r\n")
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
     block = F.when(F.col("revisit"), "").otherwise(F.col("payload"))
@@ -72,7 +83,7 @@ def write(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -
     text = F.concat(
         F.lit(MAGIC), line, F.lit("WARC-Type: "), kind, line,
         F.lit("WARC-Record-ID: "), _record_id(F.col("rid")), line, F.lit(f"WARC-Date: {date}"), line,
-        named("WARC-Target-URI", F.regexp_replace("url", "[\r\n]+", " ")),
+        named("WARC-Target-URI", _escaped(F.regexp_replace("url", "[\r\n]+", " "))),
         named("X-Key", F.col("key").cast("string")),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), line,
         named("WARC-Profile", F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -94,11 +105,16 @@ def _raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def _head(data: Column) -> Column:
     """Header of a record, without the magic text, one character a byte."""
-    return F.substring_index(F.decode(F.substring(data, 1, HEADER), "iso-8859-1"), END, 1)
+    front = F.decode(F.substring(data, 1, HEADER), "iso-8859-1")
+    return F.substring_index(F.when(F.instr(front, END) > 0, front).otherwise(F.decode(data, "iso-8859-1")), END, 1)
 
 
 def _field(head: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(head, rf"(?im)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(head, rf"(?imd)^{name}: ([^\r\n]*)", 1), F.lit(""))
+
+
+def _url(head: Column) -> Column:
+    return _unescaped(F.decode(F.encode(_field(head, "WARC-Target-URI"), "iso-8859-1"), "utf-8")).alias("url")
 
 
 def _fields(head: Column) -> list[Column]:
@@ -116,7 +132,7 @@ def _payload(data: Column, head: Column) -> Column:
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """at, file, offset and next of what starts at each magic text (next is null where no length is told), with the
+    """at, file, offset, end and next of what starts at each magic text (next is null where no length is told), with the
     header's fields, and size and SHA-1 of the payload as far as the piece goes. Payloads are not among them."""
     magic = len(MAGIC)
     head = F.col("head")
@@ -134,7 +150,7 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     placed = narrow.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     offset = F.col("base") + F.col("inner") - magic
     return placed.join(blocks.withColumnRenamed("length", "block_length"), ["file", "block"]).select(
-        "at", "file", offset.alias("offset"), (offset + F.col("jump")).alias("next"),
+        "at", "file", offset.alias("offset"), (offset + F.col("size")).alias("end"), (offset + F.col("jump")).alias("next"),
         *[c for c in placed.columns if c not in ("at", "file", "block", "size", "jump", "inner")])
 
 
@@ -171,9 +187,13 @@ def reached(candidates: DataFrame) -> DataFrame:
 
 def owned(found: DataFrame) -> DataFrame:
     """``found`` with ``start``, the offset of the record that a piece belongs to (a record is its own piece and
-    those after it that no chain comes to), and ``cut``, whether the record has several pieces."""
-    true = reached(found.filter("next IS NOT NULL").select("file", "offset", "next"))
+    those after it that no chain comes to), and ``cut``, whether the record has several pieces. A file whose chain
+    does not end where the file does is an error."""
+    true = durable(reached(found.filter("next IS NOT NULL").select("file", "offset", "next")))
     marked = found.join(true.withColumn("start", F.col("offset")), ["file", "offset"], "left")
+    ends = marked.groupBy("file").agg(F.max(F.when(F.col("start").isNotNull(), F.col("next"))).alias("upto"), F.max("end").alias("end"))
+    if broken := ends.filter(~F.col("upto").eqNullSafe(F.col("end"))).head():
+        raise ValueError(f"the records of {broken['file']} end at {broken['upto']}, the file at {broken['end']}")
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("file").orderBy("offset")
     follows = F.lead(F.col("start").isNull(), 1, False).over(after)
@@ -191,12 +211,12 @@ def _assembled(data: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: type, key, refers_to, digest, length, payload (binary)."""
+    """One row per record: type, key, refers_to, digest, length, payload (binary), url."""
     owner = durable(owned(durable(pieces(spark, folder))).select("at", F.col("file").alias("f"), "offset", "start", "cut"))
     data = _raw(spark, folder).select("at", "data").join(owner, "at")
     whole = data.filter(~F.col("cut")).select("data", _head(F.col("data")).alias("head"))
     rows = whole.unionByName(_assembled(data.filter("cut")))
-    return rows.select(*_fields(F.col("head")), _payload(F.col("data"), F.col("head")).alias("payload"))
+    return rows.select(*_fields(F.col("head")), _payload(F.col("data"), F.col("head")).alias("payload"), _url(F.col("head")))
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
