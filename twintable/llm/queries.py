@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintable.llm import decontaminate, language, licenses, neighbours, ngrams, packing, simhash, suffixes, trees, warc
+from twintable.llm import decontaminate, language, licenses, merkle, neighbours, ngrams, packing, simhash, suffixes, trees, warc
 from twintable.llm.base import read
 
 
@@ -74,6 +74,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A Merkle proof for every document; where crc32 of the id is even, the text lost its line breaks meanwhile."""
+    found = merkle.manifest(
+        read(spark, folder, "documents"), altered={"text": lambda c: F.translate(c["text"], "\n", "")},
+        when=lambda c: F.crc32(c["doc_id"].cast("string")) % 2 == 0)
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 #: How the same records come about without archives.
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -97,4 +105,5 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_suffix_tree_dedup": (op9_suffix_tree_dedup, None),
     "op10_warc": (op10_warc, WARC_SQL),
+    "op12_merkle_manifest": (op12_merkle_manifest, None),
 }
