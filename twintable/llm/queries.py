@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintable.llm import decontaminate, language, licenses, merkle, neighbours, ngrams, packing, simhash, suffixes, trees, warc
+from twintable.llm import bpe, decontaminate, language, licenses, merkle, neighbours, ngrams, packing, simhash, suffixes, trees, warc, whitening
 from twintable.llm.base import read
 
 
@@ -74,6 +74,13 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All valid vectors, whitened, on up to 32 components."""
+    found = whitening.whiten(read(spark, folder, "embeddings"))
+    return found.select(F.col("key").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"),
+                        "whitened", "explained", "identity_error")
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """A Merkle proof for every document; where crc32 of the id is even, the text lost its line breaks meanwhile."""
     found = merkle.manifest(
@@ -82,6 +89,15 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and what they decode to, as digests."""
+    found = bpe.encode(read(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+
+
 #: How the same records come about without archives.
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -105,5 +121,7 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_suffix_tree_dedup": (op9_suffix_tree_dedup, None),
     "op10_warc": (op10_warc, WARC_SQL),
+    "op11_whitening": (op11_whitening, None),
     "op12_merkle_manifest": (op12_merkle_manifest, None),
+    "op13_byte_bpe": (op13_byte_bpe, None),
 }
