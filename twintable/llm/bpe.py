@@ -22,18 +22,22 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintable.llm.base import numbered
+from twintable.llm.base import text_bytes
 from twintable.session import scratch_folder
 
 #: Bits of an id.
 ID_BITS = 20
 #: Bytes of a word that is folded; longer ones are merged with a heap.
 LONG = 64
-#: Bytes of text in a batch.
-BATCH_BYTES = 32 << 20
+#: Bytes of split text in a batch, in Arrow (each word takes four more), and of text that a bucket holds.
+BATCH_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
+#: Bits of a word's place in its batch, and of a batch's number in its task.
+PLACE_BITS, NUMBER_BITS = 26, 12
 #: Words that are turned to ids at a time.
 TEXT_WORDS = 1 << 20
 #: Batches that one row of a word stands for.
@@ -185,19 +189,19 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[a:b]] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)]
 
 
-#: batch: row number of its first text; words by falling frequency; for each text its key and number of words; all
+#: batch: a number; words by falling frequency; for each text its key and number of words; all
 #: texts' words as numbers, first the lowest bytes, then the next, and so on.
 CODED = "batch long, words array<string>, longest int, `keys` array<bigint>, counts array<int>, codes binary"
 
 
 def coded(texts: DataFrame, pattern: str) -> DataFrame:
-    """Rows as in ``CODED`` of a table of rid, key, text."""
-    parts = texts.select("rid", "key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("parts"))
+    """Rows as in ``CODED`` of a table of key, text."""
+    parts = texts.select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("parts"))
     kinds = {"batch": pa.int64(), "words": pa.list_(pa.string()), "longest": pa.int32(), "keys": pa.list_(pa.int64()),
              "counts": pa.list_(pa.int32()), "codes": pa.binary()}
 
-    def emit(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        lists = pa.chunked_array([r.column(2) for r in rows]).combine_chunks()
+    def emit(rows: list[pa.RecordBatch], batch: int) -> pa.RecordBatch:
+        lists = pa.chunked_array([r.column(1) for r in rows]).combine_chunks()
         found = lists.flatten().dictionary_encode()
         order = np.argsort(-np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)), kind="stable")
         number = np.empty(len(order), np.uint32)
@@ -205,16 +209,16 @@ def coded(texts: DataFrame, pattern: str) -> DataFrame:
         codes = number[found.indices.to_numpy()]
         words = found.dictionary.take(pa.array(order))
         longest = pc.max(pc.binary_length(words)).as_py() or 0
-        keys = pa.chunked_array([r.column(1) for r in rows]).combine_chunks().cast(pa.int64())
+        keys = pa.chunked_array([r.column(0) for r in rows]).combine_chunks().cast(pa.int64())
         counts = pc.list_value_length(lists).cast(pa.int32())
         planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([
-            pa.array([rows[0].column(0)[0].as_py()], pa.int64()), one(words.cast(pa.string())), pa.array([longest], pa.int32()), one(keys), one(counts),
+            pa.array([batch], pa.int64()), one(words.cast(pa.string())), pa.array([longest], pa.int32()), one(keys), one(counts),
             pa.array([planes], pa.binary())], schema=pa.schema(list(kinds.items())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId() << NUMBER_BITS
         for batch in batches:
             # about even slices, so that a batch stays near its size
             step = max(1, batch.num_rows // max(1, batch.nbytes // (BATCH_BYTES // 4)))
@@ -222,18 +226,18 @@ def coded(texts: DataFrame, pattern: str) -> DataFrame:
                 held.append(batch.slice(i, step))
                 size += held[-1].nbytes
                 if size >= BATCH_BYTES:
-                    yield emit(held)
-                    held, size = [], 0
+                    yield emit(held, number)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield emit(held)
+            yield emit(held, number)
 
     return parts.mapInArrow(work, CODED)
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
+def _bucketed(rows: DataFrame, total: int) -> DataFrame:
     """The rows, written in buckets by batch, so that a join by batch moves the other side only."""
     spark, name = rows.sparkSession, f"twintable_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     rows.write.bucketBy(buckets, "batch").option("path", f"{scratch_folder(spark)}/coded").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name).select("*")
     table.count()
@@ -266,15 +270,16 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: s
     columns are left behind.
     """
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    own = numbered(docs, key=key, text=text).select("rid", F.col("key").cast("long").alias("key"), "text")
-    table = _bucketed(coded(own, pattern))
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    table = _bucketed(coded(own, pattern), text_bytes(own))
     size = table.agg(F.count("*").alias("n"), F.max("longest").alias("longest")).first()
     words = table.select("batch", F.posexplode("words").alias("place", "word"))
     share = F.pmod(F.xxhash64("batch"), F.lit(-(-size["n"] // PLACES) or 1))
-    distinct = words.groupBy("word", share.alias("share")).agg(F.collect_list(F.struct("batch", "place")).alias("places"))
+    distinct = words.groupBy("word", share.alias("share")).agg(F.collect_list(
+        F.call_function("shiftleft", F.col("batch"), F.lit(PLACE_BITS)).bitwiseOR(F.col("place").cast("long"))).alias("places"))
     answers = word_ids(distinct.select("word", "places"), size["longest"] or 0, path).select(
-        F.explode("places").alias("at"), "ids").groupBy(F.col("at.batch").alias("batch")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("at.place").alias("place"), "ids"))).alias("answers"))
+        F.explode("places").alias("at"), "ids").groupBy(F.shiftright("at", PLACE_BITS).alias("batch")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"), "ids"))).alias("answers"))
     both = table.select("batch", "keys", "counts", "codes").join(answers, "batch", "left").select(
         "keys", "counts", "codes", F.transform("answers", lambda a: a["ids"]).alias("answers"))
 
