@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,24 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+#: Rows of a narrow table up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """Marks a materialised narrow table for broadcast if it is short; a longer one is joined by its key."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def release_memory() -> None:
+    """Gives what earlier groups have freed back to the system: Python workers live on into later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads neighbouring values."""
     h = h ^ (h >> np.uint64(32))

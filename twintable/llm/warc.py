@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twintable.llm.base import numbered
+from twintable.llm.base import numbered, small_side
 from twintable.session import durable, scratch_folder
 
 MAGIC = "WARC/1.1"
@@ -24,8 +24,6 @@ END = "\r\n\r\n"
 LEAST = 1000
 #: Records in a file at most, so that a file is read as a few splits.
 RECORDS_PER_FILE = 20_000
-#: Narrow rows (a few numbers each) that are broadcast at most.
-BROADCAST_ROWS = 100_000
 #: Bytes in which most headers end; where one does not, the whole piece is searched.
 HEADER = 1 << 16
 
@@ -52,11 +50,6 @@ def with_revisits(pages: DataFrame, *, key: str, url: str, payload: str, least:
         "rid", "key", "url", "payload", "bytes", "digest", F.col("holder").isNotNull().alias("revisit"), "origin", "holder")
 
 
-def small_side(rows: DataFrame) -> DataFrame:
-    """Marks a materialised narrow table for broadcast if it is short; a longer one is joined by its key."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _record_id(rid: Column) -> Column:
     """A urn that is fixed by the row number."""
     h = F.md5(F.concat(F.lit("record-"), rid.cast("string")))
