@@ -71,6 +71,19 @@ def test_repeated_words(docs, rows):
     assert sorted((str(r.key), r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
 
 
+def test_long_texts_of_one_stretch(spark):
+    """Megabytes of one byte, and of a short period, across joined runs; each word but the first repeats."""
+    texts = ["a" * 2_000_000, "xy" * 300_000, "b" * 150, "z " * 200_000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.key: r for r in suffixes.remove_repeats(table, window=200).collect()}
+    assert [(found[i].n_bytes, found[i].n_removed, found[i].n_spans) for i in range(4)] == [
+        (2_000_000, 2_000_000, 1), (600_000, 600_000, 1), (150, 0, 0), (400_000, 400_000, 1)]
+    kept = {r.key: r for r in suffixes.remove_repeats(table, window=200, keep_first=True, with_text=True).collect()}
+    assert [len(kept[i].kept) for i in range(4)] == [1, 2, 150, 2]
+    words = {r.key: (r.n_words, r.n_removed) for r in trees.remove_repeats(table, window=20).collect()}
+    assert words == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (200_000, 199_999)}
+
+
 def test_no_rows(docs):
     empty = docs.limit(0)
     assert suffixes.remove_repeats(empty).count() == 0

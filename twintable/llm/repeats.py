@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twintable.llm import tally
-from twintable.llm.base import gram_hashes, numbered, sliding_min
+from twintable.llm.base import gram_hashes, numbered, release_memory, sliding_min
 
 #: Windows of a document that are hashed at a time.
 CHUNK = 1 << 19
 #: From so many runs on, a minimizer's windows are counted one by one.
 HOT = 32
 
+#: Windows from which on a passage of joined runs is cut.
+LONGEST = 1 << 17
+
 #: Bytes of distinct passages that are sorted at once, but for a minimizer that has more.
 SHARD_BYTES = 4 << 20
 
@@ -54,6 +57,19 @@ def runs(units: np.ndarray, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray
         yield start + at, np.diff(np.append(start, len(low))), low[start]
 
 
+def joined(start: np.ndarray, size: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that follow each other with equal minimizers as one, up to ``LONGEST`` windows: in a stretch of one
+    byte each window is a run, and all but the last of the joined ones are the same passage."""
+    if not len(start):
+        return start, size, low
+    new = np.concatenate(([True], (start[1:] != start[:-1] + size[:-1]) | (low[1:] != low[:-1])))
+    begin = start[np.flatnonzero(new)][np.cumsum(new) - 1]
+    part = (start - begin) // LONGEST
+    new[1:] |= part[1:] != part[:-1]
+    first = np.flatnonzero(new)
+    return start[first], np.add.reduceat(size, first), low[first]
+
+
 def all_runs(units: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = list(runs(units, kind))
     if not found:
@@ -114,7 +130,8 @@ def passages(batches: DataFrame, kind: Kind, total: int) -> DataFrame:
             return pd.DataFrame(columns=names)
         first, second = answers[answers["kind"] == 1], answers[answers["kind"] == 2]
         counts = None
-        known: dict[tuple[int, bytes], bytes] = {}
+        release_memory()
+        known: dict[tuple[int, bytes], bytearray] = {}
         width, more, pack = np.dtype(kind.dtype).itemsize, kind.window - 1, struct.Struct("<4q").pack
         if len(second):
             parts = list(hot_windows(rows, first))
@@ -128,18 +145,18 @@ def passages(batches: DataFrame, kind: Kind, total: int) -> DataFrame:
                 good = counts[used:used + n] >= 2
                 used += n
                 start, size, low = split_runs(start, size, low, hot, good)
+            start, size, low = joined(start, size, low)
             raw = units.tobytes()
             for a, n, m in zip(start.tolist(), size.tolist(), low.tolist(), strict=True):
                 passage = m, raw[a * width:(a + n + more) * width]
-                packed = pack(*place, a)
-                known[passage] = known[passage] + packed if passage in known else packed
+                known.setdefault(passage, bytearray()).extend(pack(*place, a))
         batch = rows["batch"].iloc[0]
         return pd.DataFrame({
             "minimizer": np.array([m for m, _ in known], np.uint64).view(np.int64),
             "passage": [p for _, p in known],
             "windows": np.array([len(p) // width - kind.window + 1 for _, p in known], np.int32),
             "batch": np.full(len(known), batch, np.int64),
-            "places": list(known.values())}, columns=names)
+            "places": [bytes(p) for p in known.values()]}, columns=names)
 
     first = tally.totals(tally.ask(batches, minimizers, buckets))
     again = batches.groupBy("batch").cogroup(first.groupBy("batch")).applyInPandas(ask_again, tally.ASKED)
@@ -268,6 +285,7 @@ def removed_units(batches: DataFrame, decide: Callable[[Shard], tuple[np.ndarray
     def work(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, list[bytes]] = {}
         for shard in Shard.parts(rows):
+            release_memory()
             batch, spans = spans_of(shard, *decide(shard), kind.window)
             order = np.argsort(batch, kind="stable")
             batch, spans = batch[order], spans[order]
@@ -297,6 +315,7 @@ def apply_spans(batches: DataFrame, spans: DataFrame, finish: Callable[[pd.Serie
     full = f"rid long, key long, {schema}" + "".join(f", {c} {types[c]}" for c in held)
 
     def work(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         every = np.concatenate([np.frombuffer(s, np.int64) for s in found["spans"]]).reshape(-1, 3) if len(found) else np.zeros((0, 3), np.int64)
         every = every[np.argsort(every[:, 0], kind="stable")]
         rid = rows["rid"].to_numpy()

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twintable.llm.base import release_memory
+
 #: Bytes of text in a batch, and in what the hashes of one bucket come from.
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
@@ -62,7 +64,7 @@ def question(batch: int, hashes: np.ndarray, buckets: int, total: int | None = N
         found, counts = np.append(found, TOTAL), np.append(counts, total)
     bucket = (found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(found) else np.zeros(0, int)
-    stop = np.append(start[1:], len(found))
+    stop = np.append(start[1:], len(found))[:len(start)]
     return pd.DataFrame({
         "batch": np.full(len(start), batch, np.int64), "bucket": bucket[start].astype(np.int32),
         "hashes": [packed(found[i:j]) for i, j in zip(start, stop, strict=True)],
@@ -103,6 +105,7 @@ def ask(docs: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]],
     """Questions of all batches."""
 
     def emit(rows: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         parts = list(hashes(rows))
         return question(rows["batch"].iloc[0], np.concatenate(parts) if parts else np.zeros(0, np.uint64), buckets)
 
