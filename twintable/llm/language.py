@@ -100,7 +100,9 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     """Counts of the labelled sample, with add-one-half smoothing. Rows without text or label are left out."""
     own = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
                       F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h")).dropna(subset=["text", "lang"])
+    # a row a language, as the model has a column for each: it is broadcast, so no text is shuffled
     sizes = own.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(sizes.collect(), sizes.schema))
     # a share of each language by hash: no sort, no group in one task, and the same rows each time
     share = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
     sample = own.join(sizes, "lang").filter(share * F.col("rows") < rows_per_language)
