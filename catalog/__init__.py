@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "scans", "profiling", "detection", "aggregation", "cleaning", "scoring", "fabrication",
-    "repairing", "domain",
+    "repairing", "domain", "nesting",
 ]
 
 

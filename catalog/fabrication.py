@@ -119,7 +119,7 @@ def sample_families(spark, d):
     return rounded(out, **{k: 3 for k in numeric.FAMILIES})
 
 
-def _normal_sql(name: str, d0: int | str = 0, d1: int | str = 1, row: str = "row_id") -> str:
+def normal_sql(name: str, d0: int | str = 0, d1: int | str = 1, row: str = "row_id") -> str:
     return (f"(sqrt(-2.0 * ln(1.0 - {u_sql(SEED, name, row, d0)})) "
             f"* cos({2 * math.pi!r} * {u_sql(SEED, name, row, d1)}))")
 
@@ -127,15 +127,15 @@ def _normal_sql(name: str, d0: int | str = 0, d1: int | str = 1, row: str = "row
 FAMILY_SQL = f"""
 WITH {ROWS}, p AS (SELECT {_fit_sql('o_totalprice')} FROM orders),
 g AS (SELECT *, CASE WHEN gamma_shape >= 1 THEN gamma_shape ELSE gamma_shape + 1 END - 1.0 / 3 AS d FROM p),
-tries AS (SELECT row_id, i, {_normal_sql('gamma', 'i * 3', 'i * 3 + 1')} AS z, {u_sql(SEED, 'gamma', 'row_id', 'i * 3 + 2')} AS u, d
+tries AS (SELECT row_id, i, {normal_sql('gamma', 'i * 3', 'i * 3 + 1')} AS z, {u_sql(SEED, 'gamma', 'row_id', 'i * 3 + 2')} AS u, d
   FROM rows_, g, range({GAMMA_TRIES}) t(i)),
 vs AS (SELECT *, pow(1 + z / sqrt(9 * d), 3) AS v FROM tries),
 taken AS (SELECT row_id, arg_min(v, i) AS v FROM vs
   WHERE v > 0 AND ln(1 - u) < 0.5 * z * z + d - d * v + d * ln(CASE WHEN v > 0 THEN v END) GROUP BY 1)
-SELECT row_id, round(mean + std * {_normal_sql('normal')}, 3) AS normal,
+SELECT row_id, round(mean + std * {normal_sql('normal')}, 3) AS normal,
   round(min + {u_sql(SEED, 'uniform', 'row_id', 0)} * (max - min), 3) AS uniform,
   round(-mean * ln(1 - {u_sql(SEED, 'exponential', 'row_id', 0)}), 3) AS exponential,
-  round(exp(log_mean + log_std * {_normal_sql('lognormal')}), 3) AS lognormal,
+  round(exp(log_mean + log_std * {normal_sql('lognormal')}), 3) AS lognormal,
   round(d * gamma_scale * v * CASE WHEN gamma_shape < 1 THEN pow(1 - {u_sql(SEED, 'gamma', 'row_id', 3 * GAMMA_TRIES)}, 1 / gamma_shape) ELSE 1 END, 3) AS gamma
 FROM rows_ JOIN taken USING (row_id), g"""
 
@@ -157,8 +157,8 @@ NUMERIC_SQL = f"""
 WITH {ROWS}, q AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
 a AS (SELECT avg(x) AS m, stddev_pop(x) AS s, min(x) AS lo FROM (SELECT l_tax * 100 - 3 AS x FROM lineitem))
 SELECT row_id, row_id + 1 AS order_id,
-  round_even(least(greatest(q.m + q.s * {_normal_sql('l_quantity')}, q.lo), q.hi), 0)::BIGINT AS l_quantity,
-  round(least(greatest(greatest(abs(a.m + a.s * {_normal_sql('amount')}), 10.0), a.lo), 12.0), 2)::DOUBLE AS amount
+  round_even(least(greatest(q.m + q.s * {normal_sql('l_quantity')}, q.lo), q.hi), 0)::BIGINT AS l_quantity,
+  round(least(greatest(greatest(abs(a.m + a.s * {normal_sql('amount')}), 10.0), a.lo), 12.0), 2)::DOUBLE AS amount
 FROM rows_, q, a"""
 
 

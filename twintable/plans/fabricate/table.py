@@ -20,7 +20,7 @@ from twintable.functions.numbers import clip
 from twintable.operators.columns import (
     atomic_columns, find_column, has_token, restore_order, small_copy,
 )
-from twintable.plans import infer
+from twintable.plans import infer, nested
 from twintable.plans.fabricate import categorical, lookups, numeric, people, temporal, text
 from twintable.plans.repair import COUNTER_WORDS, repair
 from twintable.sources.files import row_source
@@ -54,9 +54,13 @@ class Options:
 
 
 def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> DataFrame:
-    """n look-alike rows of the reference, in its column order and types."""
+    """n look-alike rows of the reference, in its column order and types; nested columns by ``nested``."""
     o = options or Options()
     columns = atomic_columns(reference)
+    deep = nested.nested_columns(reference)
+    if not columns:
+        rows = row_source(reference.sparkSession, n, o.partitions)
+        return rows.select(*_nested_exprs(reference, deep, o))
     # the row number has its own name, so a column called row_id is no clash
     clash = {"row_id": "row_id__source"} if "row_id" in columns else {}
     source = reference.select(*[F.col(f"`{c}`").alias(clash.get(c, c)) for c in columns])
@@ -97,9 +101,17 @@ def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> D
             )
             for c in columns if meta[c]["null_pct"] > 0
         })
+    ordered = _nested_exprs(reference, deep, o)
+    rows = rows.select(*[F.col(f"`{c}`") for c in columns], *ordered) if deep else restore_order(rows, columns).drop("row_id")
     back = {v: k for k, v in clash.items()}
-    rows = restore_order(rows, columns).drop("row_id")
-    return rows.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in rows.columns])
+    rows = rows.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in rows.columns])
+    return restore_order(rows, reference.columns) if deep else rows
+
+
+def _nested_exprs(reference: DataFrame, names: list[str], o: Options) -> list[Column]:
+    found = nested.fabricated_nested(reference, names, F.col("row_id"), o.seed, o.method, o.keep_nulls)
+    own = {c: o.generators[c](c, {}, Draws(o.seed, c, F.col("row_id"), o.method)) for c in names if c in o.generators}
+    return [c.alias(name) for name, c in {**found, **own}.items()]
 
 
 def _typed(c: Column, dtype: T.DataType) -> Column:
