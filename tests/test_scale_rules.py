@@ -173,6 +173,26 @@ def test_a_text_order_is_cut_into_buckets(spark):
     assert got == {k: int(k[1:]) // 7 * 7 for k, _ in rows}
 
 
+def test_any_order_is_cut_into_even_ranges(spark):
+    """Texts with a long common start, rows without a position, equal positions, and several columns as order."""
+    from twintable.operators import fill
+
+    n = 6000
+    url = lambda i: None if i % 3 == 0 else f"https://example.org/a/very/long/common/start/{i:06d}"
+    rows = [(url(i), i, "same", i if i % 5 == 0 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "u string, i int, w string, v long").repartition(5)
+    for order in (["u", "i"], ["u"], ["w"], ["w", "u", "i"]):
+        sizes = [r["count"] for r in fill._cut(df, order, 500).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == n and len(sizes) >= 10 and max(sizes) < 3 * 500
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    want, last = {}, None
+    for _, i, _, v in ordered:
+        last = v if v is not None else last
+        want[i] = last
+    assert {r.i: r.v for r in fill.fill_forward(df, ["v"], ["u", "i"], None, 500).collect()} == want
+    assert fill.fill_forward(df.limit(0), ["v"], ["u"]).collect() == []
+
+
 def test_names_with_dots(spark):
     from twintable.operators import sets
     from twintable.operators.aggregates import deterministic_mode

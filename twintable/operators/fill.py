@@ -1,88 +1,36 @@
 """Forward and backward fill over an explicit row order.
 
 A window over the whole table (or over a hot key) is one task. Rows are therefore cut into
-buckets of the order column; each bucket fills itself, and takes what its own start lacks from
-the last known value of the buckets before it.
+ranges of the whole order tuple, whatever its types; each range fills itself, and takes what its own
+start lacks from the last known value of the ranges before it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twintable.functions.numbers import not_nan
+from twintable.session import durable
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
-
-
-def _position(df: DataFrame, column: str) -> Column | None:
-    dtype = df.schema[column].dataType
-    c = F.col(f"`{column}`")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int").cast("double")
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        # the first six bytes as a number: texts sort by their bytes
-        raw = c if isinstance(dtype, T.BinaryType) else F.encode(c, "utf-8")
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
-    return None
-
-
-def _splits(positions: DataFrame, column: str, n: int) -> list[float]:
-    """Cut points at sketch quantiles. A value that fills a whole bucket gets one to itself."""
-    found = positions.agg(
-        F.percentile_approx(column, [i / n for i in range(1, n)], max(1000, 4 * n))
-    ).first()[0] or []
-    found = [x for x in found if math.isfinite(x)]
-    cuts = set(found)
-    cuts |= {math.nextafter(v, math.inf) for v in cuts if found.count(v) > 1}
-    return [-math.inf, *sorted(cuts), math.inf]
 
 
 def _cut(df: DataFrame, order_by: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """Adds ``_bucket`` (follows the order) and ``_part``, which splits buckets of one hot value.
+    """Adds ``_bucket``, which follows the order, and ``_tie``, which orders rows that the order leaves equal.
 
-    Where many rows share a value of the first order column, their order is that of the second;
-    the bucket is then cut along it.
+    A range partitioner samples the order tuples themselves, so a common start of texts, a moment that many rows share, and rows without
+    a position are spread like any others. Bounds are drawn anew each time a plan runs, so the cut table is
+    checkpointed: all that follows sees the same ranges, after a lost task too.
     """
-    first = _position(df, order_by[0])
-    if first is None:
-        return df.withColumns({"_bucket": F.lit(0), "_part": F.lit(0)})
-    second = _position(df, order_by[1]) if len(order_by) > 1 else None
-    placed = df.withColumn("_pos", first).withColumn(
-        "_pos2", second if second is not None else F.lit(0.0)
-    )
-    n = min(MAX_BUCKETS, max(1, placed.count() // rows_per_bucket))
+    n = max(1, df.count() // rows_per_bucket)
     if n == 1:
-        return placed.drop("_pos", "_pos2").withColumns({"_bucket": F.lit(0), "_part": F.lit(0)})
-    splits = _splits(placed, "_pos", n)
-    hot = [i for i in range(1, len(splits) - 1) if math.nextafter(splits[i], math.inf) == splits[i + 1]]
-    cut = Bucketizer(
-        inputCol="_pos", outputCol="_bucket", splits=splits, handleInvalid="keep",
-    ).transform(placed)
-    if hot and second is not None:
-        cut = Bucketizer(
-            inputCol="_pos2", outputCol="_part", splits=_splits(placed, "_pos2", n),
-            handleInvalid="keep",
-        ).transform(cut)
-        inner = F.when(F.col("_pos2").isNull(), F.lit(-1.0)).otherwise(F.col("_part"))
-        part = F.when(F.col("_bucket").isin(hot), inner).otherwise(F.lit(0.0))
-    else:
-        part = F.lit(0)
-    # rows without a position go first, like nulls in an ascending sort
-    bucket = F.when(F.col("_pos").isNull(), F.lit(-1.0)).otherwise(F.col("_bucket"))
-    return cut.withColumns({"_bucket": bucket.cast("int"), "_part": part.cast("int")}).drop(
-        "_pos", "_pos2"
-    )
+        return df.withColumns({"_bucket": F.lit(0), "_tie": F.lit(0).cast("long")})
+    order = [F.col(f"`{o}`").asc() for o in order_by]
+    tied = durable(df).withColumn("_tie", F.monotonically_increasing_id())
+    return durable(tied.repartitionByRange(n, *order, F.col("_tie")).withColumn("_bucket", F.spark_partition_id()))
 
 
 def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
@@ -90,10 +38,10 @@ def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     types = {f.name: f.dataType for f in df.schema.fields}
     cut = _cut(df, order_by, rows_per_bucket)
     known = {c: not_nan(F.col(f"`{c}`"), types[c]) for c in columns}
-    order = [F.col(f"`{o}`") for o in order_by]
+    order = [*[F.col(f"`{o}`") for o in order_by], F.col("_tie")]
     stamp = F.struct(*order)
     edge = F.min_by if backward else F.max_by
-    carried = cut.groupBy(*keys, "_bucket", "_part").agg(
+    carried = cut.groupBy(*keys, "_bucket").agg(
         *[edge(v, F.when(v.isNotNull(), stamp)).alias(f"_edge_{i}")
           for i, v in enumerate(known.values())]
     )
@@ -101,9 +49,7 @@ def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     # that shrinks would be recomputed for every row.
     turn = (lambda c: c.desc()) if backward else (lambda c: c.asc())
     # one row per key and bucket: what the neighbours hand over
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(
-        turn(F.col("_bucket")), turn(F.col("_part"))
-    )
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(turn(F.col("_bucket")))
     w = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.withColumns(
         {f"_carry_{i}": F.last(f"_edge_{i}", True).over(w) for i in range(len(columns))}
@@ -111,14 +57,14 @@ def _fill(df, columns, order_by, partition_by, backward, rows_per_bucket):
     # What is handed over enters each bucket as a row before all others: one window does the
     # rest, without joining anything to the table.
     handed = carried.select(
-        *keys, "_bucket", "_part", F.lit(0).alias("_data"),
+        *keys, "_bucket", F.lit(0).alias("_data"),
         *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(columns)],
     )
     both = cut.withColumn("_data", F.lit(1)).withColumns(known).unionByName(
         handed, allowMissingColumns=True
     )
     span = (
-        Window.partitionBy(*keys, "_bucket", "_part").orderBy("_data", *map(turn, order))
+        Window.partitionBy(*keys, "_bucket").orderBy("_data", *map(turn, order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = both.withColumns({c: F.last(F.col(f"`{c}`"), True).over(span) for c in columns})
