@@ -31,7 +31,7 @@ HOT = 32
 LONGEST = 1 << 17
 
 #: Bytes of distinct passages that are sorted at once, but for a minimizer that has more.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 PASSAGES = "minimizer long, passage binary, windows int, batch long, places binary"
 
