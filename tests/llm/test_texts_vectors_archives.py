@@ -33,6 +33,20 @@ def test_backoff_scores(docs):
     assert all((r.mean_score is None) == (r.n_words == 0) for r in found)
 
 
+def test_backoff_counts_from_one_or_more(spark):
+    texts = ["a b c d", "a b c e", "x", "", None, "a b c d", " \t\n", "b c " * 400]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 AS rid", "2 AS batch")
+    for least in (1, 2, 3):
+        found = {r.key: r for r in ngrams.score(docs, least=least).collect()}
+        for i, (n, s) in enumerate(ngrams.brute_force(texts, least)):
+            assert found[i].n_words == n and math.isclose(found[i].log_score, s, rel_tol=1e-9, abs_tol=1e-9)
+    every = 4 + 4 + 1 + 4 + 800
+    one = next(r for r in ngrams.score(docs).collect() if r.key == 1)
+    # c(a) / N, c(ab) / c(a), c(abc) / c(ab), c(bce) / c(bc): what occurs once counts as once
+    assert math.isclose(one.log_score, math.log(3 / every * 1 * 1 * 1 / 403))
+    assert ngrams.score(docs.limit(0)).count() == 0
+
+
 def test_benchmark_windows(spark, docs):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text")
     odd = spark.createDataFrame([(900, None), (901, ""), (902, "one two"), (None, "word word word word word word"), (903, "word " * 6), (903, "word " * 6)],

@@ -1,9 +1,8 @@
 """Stupid-backoff scores of documents, from n-gram counts over all of them.
 
-The count table is partitioned by hash: each batch of documents joins its own distinct n-grams to it (see
-``tally``) and gets their counts back, so the table grows with the corpus and is never broadcast. N-grams are
-counted in rounds: a longer one is only asked for if the two shorter ones in it reach the cut-off, without
-which it cannot reach it either. Then each document's n-grams are scored and summed.
+The count table is partitioned by hash: each batch of documents joins its own distinct words, pairs and triples to
+it (see ``tally``) and gets their counts back, so the table grows with the corpus and is never broadcast. Every
+count above 0 counts. Then each document's n-grams are scored and summed.
 """
 
 from __future__ import annotations
@@ -13,34 +12,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from twintable.llm import repeats, tally
-from twintable.llm.base import gram_hashes, mixed, word_hashes
+from twintable.llm.base import gram_hashes, mixed, release_memory, word_hashes
 
 ALPHA = 0.4
-#: N-grams of two words and more count from so many occurrences on.
-LEAST = 2
+#: N-grams of two words and more count from so many occurrences on: 1 is the measure itself, more is the user's choice.
+LEAST = 1
 #: Bytes of text in a batch: the larger it is, the fewer n-grams are asked for twice.
 BATCH_BYTES = 8 << 20
 
 
-def _grams(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each row; hashes of all words, and of the pairs and triples that lie within a row."""
+def _grams(rows: pd.DataFrame) -> tuple[list[int], np.ndarray]:
+    """Number of words of each row; hashes of all words, then of the pairs, then of the triples that lie within a row."""
     words = [word_hashes((t or "").encode())[0] for t in rows["text"]]
     ones = [mixed(w ^ np.uint64(0x517CC1B727220A95)) for w in words]
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return words, join(ones), join([gram_hashes(w, 2) for w in words]), join([gram_hashes(w, 3) for w in words])
-
-
-def _triples_of(pairs_known: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Which triples have two known pairs; pairs_known: by pair, rows one after the other."""
-    out, at = [], 0
-    for n in sizes:
-        known = pairs_known[at:at + max(0, n - 1)]
-        at += max(0, n - 1)
-        out.append(known[:-1] & known[1:])
-    return np.concatenate(out) if out else np.zeros(0, bool)
+    parts = ones + [gram_hashes(w, 2) for w in words] + [gram_hashes(w, 3) for w in words]
+    return [len(w) for w in words], np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, alpha: float = ALPHA) -> DataFrame:
@@ -55,47 +43,35 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: in
     batches, total = repeats.prepared(docs, key, text, batch_bytes=BATCH_BYTES)
     buckets = tally.buckets_for(total)
 
-    def short(rows: pd.DataFrame) -> pd.DataFrame:
-        _, ones, pairs, _ = _grams(rows)
-        return tally.question(rows["batch"].iloc[0], np.concatenate((ones, pairs)), buckets, total=len(ones))
-
-    def known(rows: pd.DataFrame, answers: pd.DataFrame) -> tuple:
-        words, ones, pairs, triples = _grams(rows)
-        counts = tally.answer(np.concatenate((ones, pairs)), answers, total=True)
-        one, pair, every = counts[:len(ones)], counts[len(ones):-1], float(counts[-1])
-        sizes = [len(w) for w in words]
-        return sizes, one, pair, every, triples, _triples_of(pair >= least, sizes)
-
-    def long(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return tally.question(0, np.zeros(0, np.uint64), buckets)
-        *_, triples, asked = known(rows, answers)
-        return tally.question(rows["batch"].iloc[0], triples[asked], buckets)
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
+        sizes, grams = _grams(rows)
+        return tally.question(rows["batch"].iloc[0], grams, buckets, total=sum(sizes))
 
     def judge(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        sizes, one, pair, every, triples, asked = known(rows, answers[answers["kind"] == 1])
-        triple = np.zeros(len(triples))
-        triple[asked] = tally.answer(triples[asked], answers[answers["kind"] == 2])
+        release_memory()
+        sizes, grams = _grams(rows)
+        counts = tally.answer(grams, answers, total=True).astype(float)
+        del grams
+        n_ones, n_pairs, every = sum(sizes), sum(max(0, n - 1) for n in sizes), counts[-1]
+        one, pair, triple = counts[:n_ones], counts[n_ones:n_ones + n_pairs], counts[n_ones + n_pairs:-1]
         found, a, b, c = [], 0, 0, 0
         for n in sizes:
-            ones, pairs = one[a:a + n].astype(float), pair[b:b + max(0, n - 1)].astype(float)
-            threes = triple[c:c + max(0, n - 2)]
-            a, b, c = a + n, b + max(0, n - 1), c + max(0, n - 2)
+            ones, pairs, threes = one[a:a + n], pair[b:b + max(0, n - 1)], triple[c:c + max(0, n - 2)]
+            a, b, c = a + n, b + len(pairs), c + len(threes)
             s = ones / every if n else ones
             if n > 1:
                 s[1:] = np.where(pairs >= least, pairs / ones[:-1], alpha * s[1:])
             if n > 2:
-                s[2:] = np.where(threes >= least, threes / np.maximum(pairs[:-1], 1), alpha * s[2:])
+                s[2:] = np.where(threes >= least, threes / pairs[:-1], alpha * s[2:])
             total_log = float(np.log(s).sum())
             found.append((n, total_log, total_log / n if n else None))
         out = pd.DataFrame(found, columns=["n_words", "log_score", "mean_score"])
         out.insert(0, "key", rows["key"].astype("Int64").reset_index(drop=True))
         return out
 
-    first = tally.totals(batches.groupBy("batch").applyInPandas(short, tally.ASKED))
-    again = batches.groupBy("batch").cogroup(first.groupBy("batch")).applyInPandas(long, tally.ASKED)
-    both = first.withColumn("kind", F.lit(1)).union(tally.totals(again).withColumn("kind", F.lit(2)))
-    return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(
+    counts = tally.totals(batches.groupBy("batch").applyInPandas(ask, tally.ASKED))
+    return batches.groupBy("batch").cogroup(counts.groupBy("batch")).applyInPandas(
         judge, "key long, n_words long, log_score double, mean_score double")
 
 
