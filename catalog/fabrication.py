@@ -218,6 +218,30 @@ def long_category(spark, d):
 LONG_SQL = f"WITH {ROWS} SELECT * FROM {cat_sql('part', 'lineitem', 'l_partkey::VARCHAR')}"
 
 
+def alias_category(spark, d):
+    """The same list, drawn from an alias table: one cell a draw."""
+    df = load(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("part"))
+    return categorical.add_long_category(_rows(spark, d), df, "part", SEED, long_lists="alias")
+
+
+ALIAS_SQL = f"""
+WITH {ROWS}, freq AS (SELECT l_partkey::VARCHAR AS v, count(*) AS w FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1),
+size AS (SELECT count(*) AS n, sum(w) AS tot FROM freq),
+gaps AS (SELECT v, n, tot, n * w - tot AS g FROM freq, size),
+light AS (SELECT v, tot, row_number() OVER o - 1 AS number, tot + g AS keep, sum(-g) OVER o + g AS lo, sum(-g) OVER o AS hi
+  FROM gaps WHERE g < 0 WINDOW o AS (ORDER BY md5(v), v)),
+heavy AS (SELECT v, tot, n - row_number() OVER o AS number, sum(g) OVER o - g AS lo, sum(g) OVER o AS hi, lead(v) OVER o AS other
+  FROM gaps WHERE g >= 0 WINDOW o AS (ORDER BY md5(v), v)),
+cells AS (
+  SELECT l.number, l.v, l.keep::DOUBLE / l.tot::DOUBLE AS share, h.v AS other
+  FROM light l ASOF JOIN (SELECT * FROM heavy WHERE hi > lo) h ON l.lo >= h.lo
+  UNION ALL
+  SELECT h.number, h.v, (h.tot - coalesce(l.hi - h.hi, 0))::DOUBLE / h.tot::DOUBLE, h.other
+  FROM heavy h ASOF LEFT JOIN light l ON h.hi > l.lo)
+SELECT row_id, CASE WHEN {u_sql(SEED, 'part', 'row_id', 1)} < share THEN v ELSE other END AS part
+FROM rows_ CROSS JOIN size JOIN cells ON number = CAST(floor({u_sql(SEED, 'part', 'row_id', 0)} * n) AS BIGINT)"""
+
+
 def fallback_categories(spark, d):
     r = F.col("row_id")
     names = ["order_status", "customer_type", "category", "colour"]
@@ -703,6 +727,7 @@ QUERIES = {
     "correlated_columns": (correlated_columns, CORRELATED_SQL),
     "categorical_columns": (categorical_columns, CATEGORICAL_SQL),
     "long_category": (long_category, LONG_SQL),
+    "alias_category": (alias_category, ALIAS_SQL),
     "fallback_categories": (fallback_categories, FALLBACK_SQL),
     "country_and_city": (country_and_city, CITY_SQL),
     "uniform_dates": (uniform_dates, UNIFORM_SQL),

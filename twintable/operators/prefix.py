@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Buckets are the first so many hex digits of the order's MD5.
 BUCKET_DIGITS = 3
+# Cells that a value lists at a time: a hot one touches a share of all cells.
+CELLS_A_ROW = 4096
 
 
 def running_span(
@@ -51,16 +53,22 @@ def pick_by_span(
 
     The running weight is cut into about as many cells as there are values. Each value lists
     the cells it touches, so the draw is an equi-join on the cell. A value with a third of the
-    weight lists a third of the cells, and the drawn rows spread over all cells evenly.
+    weight lists a third of the cells, some thousands in an array, and the drawn rows spread over
+    all cells evenly. ``alias.pick_by_alias`` gives such a value a single cell.
     """
     size = values.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
     cells = max(1, size["n"])
     width = max(1, -(-size["w"] // cells))
-    spans = running_span(values, weight, value).select(
-        F.col(value).alias(name), "span_lo", "span_hi",
+    last = F.floor((F.col("span_hi") - 1) / width)
+    blocks = running_span(values, weight, value).select(
+        F.col(value).alias(name), "span_lo", "span_hi", last.alias("_last"),
         F.explode(
-            F.sequence(F.floor(F.col("span_lo") / width), F.floor((F.col("span_hi") - 1) / width))
-        ).alias("_cell"),
+            F.sequence(F.floor(F.col("span_lo") / width), last, F.lit(CELLS_A_ROW).cast("long"))
+        ).alias("_first"),
+    )
+    spans = blocks.select(
+        name, "span_lo", "span_hi",
+        F.explode(F.sequence("_first", F.least(F.col("_first") + CELLS_A_ROW - 1, "_last"))).alias("_cell"),
     )
     target = F.floor(u * F.lit(float(size["w"]))).cast("long")
     marked = df.withColumn("_target", target).withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintable.functions.draw import Draws, pick, pick_from, pick_weighted
+from twintable.operators.alias import pick_by_alias
 from twintable.operators.columns import has_token
 from twintable.operators.frequency import value_frequencies
 from twintable.operators.prefix import draw_order, pick_by_span, running_span
@@ -56,12 +57,20 @@ def by_name(column: str, u: Column) -> Column:
 
 
 def add_long_category(
-    rows: DataFrame, reference: DataFrame, column: str, seed: int, method: str = "md5"
+    rows: DataFrame, reference: DataFrame, column: str, seed: int, method: str = "md5", long_lists: str = "spans"
 ) -> DataFrame:
-    """Adds a column with too many categories for literals, by a join on cumulative counts."""
+    """Adds a column with too many categories for literals, by a join.
+
+    "spans" joins on cumulative counts and draws as a short list would; "alias" joins each draw to one cell of an
+    alias table, however much of the weight a single category holds.
+    """
     freq = value_frequencies(reference, [column]).select("value", "n")
-    u = Draws(seed, column, F.col("row_id"), method)(0)
-    return pick_by_span(rows, u, freq, "value", "n", column)
+    u = Draws(seed, column, F.col("row_id"), method)
+    if long_lists == "alias":
+        return pick_by_alias(rows, u(0), u(1), freq, "value", "n", column)
+    if long_lists != "spans":
+        raise ValueError(f"long_lists is spans or alias, not {long_lists}")
+    return pick_by_span(rows, u(0), freq, "value", "n", column)
 
 
 def city_table(

@@ -51,6 +51,8 @@ class Options:
     partitions: int | None = None
     # "md5" can be replayed by other engines, "xxhash64" costs less per draw
     method: str = "md5"
+    # draws from more than 256 categories: "spans" as from a short list, "alias" without hot cells
+    long_lists: str = "spans"
 
 
 def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> DataFrame:
@@ -201,7 +203,7 @@ def _add_categories(rows, source, kinds, meta, o: Options) -> DataFrame:
             exprs[c] = categorical.by_name(c, u)
     rows = rows.withColumns(exprs)
     for c in long:
-        rows = categorical.add_long_category(rows, source, c, o.seed, o.method)
+        rows = categorical.add_long_category(rows, source, c, o.seed, o.method, o.long_lists)
     for c in later:
         pairs = categorical.city_table(source, country, c, source.sparkSession)
         u = Draws(o.seed, c, row, o.method)(0)
