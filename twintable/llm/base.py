@@ -49,11 +49,18 @@ def small_side(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+#: Arrays from this size on get a mapping of their own, which goes back to the system as soon as they are freed.
+MAPPED_BYTES = 1 << 20
+M_MMAP_THRESHOLD = -3
+
+
 def release_memory() -> None:
     """Gives what earlier groups have freed back to the system: Python workers live on into later stages."""
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(M_MMAP_THRESHOLD, MAPPED_BYTES)
+        libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
 
