@@ -23,7 +23,7 @@ from twintable.llm import tally
 from twintable.llm.base import gram_hashes, numbered, release_memory, sliding_min
 
 #: Windows of a document that are hashed at a time.
-CHUNK = 1 << 17
+CHUNK = 1 << 19
 #: From so many runs on, a minimizer's windows are counted one by one.
 HOT = 32
 
