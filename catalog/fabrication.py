@@ -342,6 +342,41 @@ DAYS = f"""days_ AS (SELECT o, isodow(lo + o * INTERVAL 1 DAY) - 1 AS w, month(l
 PATTERN_SQL = f"WITH {ROWS}, {DAYS} SELECT * FROM {patterned_sql('day')}"
 
 
+def timed_dates(spark, d):
+    """Moments with the weekdays, months and times of day of the events."""
+    df = load(spark, d, "events")
+    low, high = df.agg(F.min("ts"), F.max("ts")).first()
+    rows = df.select(F.col("event_id").alias("row_id"))
+    return temporal.add_timed_dates(rows, "moment", df, "ts", low, high, SEED)
+
+
+def _share_sql(part: str, draw: int) -> str:
+    return f"""(SELECT row_id, s FROM (SELECT row_id, floor({u_sql(SEED, 'moment', 'row_id', draw)} * tot)::BIGINT AS t
+    FROM rows_, (SELECT count(ts) AS tot FROM events)) r
+  ASOF JOIN (SELECT s, sum(n) OVER (ORDER BY s) - n AS lo FROM (
+    SELECT {part} AS s, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1)) c ON r.t >= c.lo)"""
+
+
+TIMED_SQL = f"""
+WITH rows_ AS (SELECT event_id AS row_id FROM events),
+span AS (SELECT min(ts) AS low, max(ts) AS high, date_trunc('day', min(ts))::TIMESTAMP AS lo,
+  date_diff('day', min(ts), max(ts)) + 1 AS days FROM events),
+days_ AS (SELECT o, isodow(lo + o * INTERVAL 1 DAY) - 1 AS w, month(lo + o * INTERVAL 1 DAY) AS m
+  FROM (SELECT lo, unnest(range(days)) AS o FROM span)),
+drawn AS (SELECT row_id, low, high, lo + (coalesce(e.offs, f.offs))[1 + CAST(floor({u_sql(SEED, 'moment', 'row_id', 2)}
+    * len(coalesce(e.offs, f.offs))) AS INT)] * INTERVAL 1 DAY AS day
+  FROM {_share_sql('isodow(ts) - 1', 0)} w JOIN {_share_sql('month(ts)', 1)} m USING (row_id) JOIN span ON TRUE
+  LEFT JOIN (SELECT w, m, list(o ORDER BY o) AS offs FROM days_ GROUP BY 1, 2) e ON e.w = w.s AND e.m = m.s
+  LEFT JOIN (SELECT w, list(o ORDER BY o) AS offs FROM days_ GROUP BY 1) f ON f.w = w.s),
+clock AS (SELECT w, sec, sum(n) OVER (PARTITION BY w ORDER BY sec) - n AS before, sum(n) OVER (PARTITION BY w) AS tot FROM (
+  SELECT isodow(ts) - 1 AS w, date_diff('second', date_trunc('day', ts)::TIMESTAMP, date_trunc('second', ts)) AS sec, count(*) AS n
+  FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)),
+asked AS (SELECT d.*, isodow(day) - 1 AS w, floor({u_sql(SEED, 'moment', 'row_id', 3)} * tot)::BIGINT AS t
+  FROM drawn d JOIN (SELECT DISTINCT w, tot FROM clock) c ON c.w = isodow(d.day) - 1)
+SELECT row_id, greatest(least(day + sec * INTERVAL 1 SECOND, high), low) AS moment
+FROM asked a ASOF JOIN clock c ON a.w = c.w AND a.t >= c.before"""
+
+
 def regular_series(spark, d):
     low, high = _date_range(spark, d)
     series = temporal.regular_series(spark, str(low), str(high), "7 day")
@@ -732,6 +767,7 @@ QUERIES = {
     "country_and_city": (country_and_city, CITY_SQL),
     "uniform_dates": (uniform_dates, UNIFORM_SQL),
     "patterned_dates": (patterned_dates, PATTERN_SQL),
+    "timed_dates": (timed_dates, TIMED_SQL),
     "regular_series": (regular_series, SERIES_SQL),
     "seasonal_dates": (seasonal_dates, SEASON_SQL),
     "person_names": (person_names, NAMES_SQL),

@@ -37,6 +37,8 @@ class Options:
     keep_nulls: bool = False
     keep_correlations: bool = False
     keep_calendar: bool = True
+    # moments get a time of day as the source has it on that weekday
+    keep_clock: bool = True
     business_days: bool = False
     match_lengths: bool = True
     enforce_range: bool = True
@@ -221,11 +223,16 @@ def _add_dates(rows, source, kinds, meta, o: Options) -> DataFrame:
         low, high = over.get("min", low), over.get("max", high)
         days = temporal.span_days(low, high)
         is_text = isinstance(source.schema[c].dataType, T.StringType)
-        if o.keep_calendar and meta[c]["min_ts"] is not None and days > 0:
-            dated = source
-            if is_text:
-                chosen = column_layouts(source, [c])[c]
-                dated = source.select(parse_date(F.col(f"`{c}`"), chosen).alias(c))
+        known = meta[c]["min_ts"] is not None and days > 0
+        dated = source
+        if is_text and known and o.keep_calendar:
+            chosen = column_layouts(source, [c])[c]
+            dated = source.select(parse_date(F.col(f"`{c}`"), chosen).alias(c))
+        # texts are shown by day, and dates have no time of day
+        timed = known and o.keep_clock and isinstance(source.schema[c].dataType, (T.TimestampType, T.TimestampNTZType))
+        if timed and temporal.has_clock(source, c):
+            rows = temporal.add_timed_dates(rows, c, source, c, low, high, o.seed, o.method, o.keep_calendar)
+        elif known and o.keep_calendar:
             weekdays, months = temporal.calendar_counts(dated, c)
             rows = temporal.add_patterned_dates(
                 rows, c, low, days, weekdays, months, o.seed, o.method
