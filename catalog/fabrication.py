@@ -12,8 +12,9 @@ from twintable.functions import numbers as num
 from twintable.functions import text as text_fn
 from twintable.functions.draw import GAMMA_TRIES, Draws
 from twintable.operators.ecdf import two_sample_ks
-from twintable.plans.fabricate import categorical, lookups, numeric, people, temporal, text
+from twintable.plans.fabricate import categorical, lookups, numeric, people, pools, temporal, text
 from twintable.plans.fabricate.table import Options, blend, fabricate
+from twintable.session import scratch_folder
 from twintable.sources.files import row_source
 
 SEED = 7
@@ -289,6 +290,37 @@ lists AS (SELECT country, list(city ORDER BY md5(city), city) AS cities FROM (
 SELECT row_id, c.country, cities[1 + CAST(floor({u_sql(SEED, 'city', 'row_id', 0)} * len(cities)) AS INT)] AS city
 FROM {cat_sql('country', 'ref', 'country')} c JOIN lists ON lists.country = {_alias_sql('c.country')}"""
 
+
+
+def names_from_table(spark, d):
+    """Names of suppliers by nation, from a file of short lists, and of customers by segment, from long ones."""
+    path = f"{scratch_folder(spark)}/names"
+    load(spark, d, "supplier").select("s_nationkey", "s_name").write.json(path)
+    by_nation = pools.index_pools(lookups.load_lookup(spark, path, "s_nationkey int, s_name string"), "s_name", "s_nationkey")
+    by_segment = pools.index_pools(load(spark, d, "customer"), "c_name", "c_mktsegment")
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), "c_nationkey", "c_mktsegment")
+    draw = lambda name: Draws(SEED, name, F.col("row_id"))(0)
+    rows = pools.draw_from_pools(rows, "supplier", by_nation, draw("supplier"), F.col("c_nationkey"), default="0")
+    return pools.draw_from_pools(rows, "customer", by_segment, draw("customer"), F.col("c_mktsegment"))
+
+
+def _pool_sql(key: str, value: str, table: str) -> str:
+    return f"""(SELECT pool, list(v ORDER BY md5(v), v) AS vs FROM (SELECT DISTINCT {key}::VARCHAR AS pool, {value} AS v FROM {table}) GROUP BY 1)"""
+
+
+def _draw_pool_sql(vs: str, name: str) -> str:
+    return f"({vs})[1 + CAST(floor({u_sql(SEED, name, 'row_id', 0)} * len({vs})) AS BIGINT)]"
+
+
+NAMES_TABLE_SQL = f"""
+WITH suppliers AS {_pool_sql('s_nationkey', 's_name', 'supplier')},
+customers AS {_pool_sql('c_mktsegment', 'c_name', 'customer')}
+SELECT row_id, c_nationkey, c_mktsegment, {_draw_pool_sql('coalesce(s.vs, z.vs)', 'supplier')} AS supplier,
+  {_draw_pool_sql('c.vs', 'customer')} AS customer
+FROM (SELECT c_custkey AS row_id, c_nationkey, c_mktsegment FROM customer)
+LEFT JOIN suppliers s ON s.pool = c_nationkey::VARCHAR LEFT JOIN suppliers z ON z.pool = '0'
+LEFT JOIN customers c ON c.pool = c_mktsegment"""
+
 # ----------------------------------------------------------------- temporal
 
 
@@ -772,6 +804,7 @@ QUERIES = {
     "seasonal_dates": (seasonal_dates, SEASON_SQL),
     "person_names": (person_names, NAMES_SQL),
     "names_by_country": (names_by_country, BY_COUNTRY_SQL),
+    "names_from_table": (names_from_table, NAMES_TABLE_SQL),
     "emails": (emails, EMAIL_SQL),
     "phones": (phones, PHONE_SQL),
     "addresses": (addresses, ADDRESS_SQL),

@@ -21,7 +21,7 @@ from twintable.operators.columns import (
     atomic_columns, find_column, has_token, restore_order, small_copy,
 )
 from twintable.plans import infer, nested
-from twintable.plans.fabricate import categorical, lookups, numeric, people, temporal, text
+from twintable.plans.fabricate import categorical, lookups, numeric, people, pools, temporal, text
 from twintable.plans.repair import COUNTER_WORDS, repair
 from twintable.sources.files import row_source
 
@@ -50,6 +50,8 @@ class Options:
     unique_columns: tuple[str, ...] = ()
     # column or data type -> own generator (column name, its metadata row, its draws) -> Column
     generators: Mapping[str, Callable[[str, Mapping, Draws], Column]] = field(default_factory=dict)
+    # columns drawn from the user's own lists: the lists, and the column that names a row's list (None: one list)
+    pools: Mapping[str, tuple[pools.Pools, str | None]] = field(default_factory=dict)
     partitions: int | None = None
     # "md5" can be replayed by other engines, "xxhash64" costs less per draw
     method: str = "md5"
@@ -92,6 +94,9 @@ def fabricate(reference: DataFrame, n: int, options: Options | None = None) -> D
     rows = rows.withColumns(
         {c: F.lit(None).cast(source.schema[c].dataType) for c in columns if c not in rows.columns}
     )
+    for c, (lists, by) in o.pools.items():
+        u = Draws(o.seed, c, F.col("row_id"), o.method)(0)
+        rows = pools.draw_from_pools(rows, c, lists, u, F.col(f"`{by}`") if by else None)
     if o.repair:
         rows = repair(rows, o.seed, method=o.method, integers=False)
     for c in o.unique_columns:
