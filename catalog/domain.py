@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog.common import between_sql, load, pick_sql, rounded, u_sql, union_all
 from twintable.plans import knowledge as kn
 from twintable.plans import risk
-from twintable.sources.files import row_source
 
 SEED = 42
 CONSTRAINTS = [
@@ -154,7 +153,7 @@ BANDS = [kn.Band("low", 0, 100, 0.16), kn.Band("mid", 101, 500, 0.54), kn.Band("
 
 
 def draw_from_bands(spark, d):
-    rows = row_source(spark, load(spark, d, "orders").count())
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"))
     label, value = kn.draw_from_bands(BANDS, F.col("row_id"), SEED, "score", whole=True)
     return rows.select("row_id", label.alias("label"), value.alias("score"))
 
@@ -164,7 +163,7 @@ _B = u_sql(SEED, "score", "row_id", 1)
 BAND_SQL = f"""
 SELECT row_id, CASE WHEN {_T} < 160000 THEN 'low' WHEN {_T} < 700000 THEN 'mid' ELSE 'high' END AS label,
   CASE WHEN {_T} < 160000 THEN {between_sql(_B, 0, 100)} WHEN {_T} < 700000 THEN {between_sql(_B, 101, 500)} ELSE {between_sql(_B, 501, 900)} END AS score
-FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS row_id)"""
+FROM (SELECT o_orderkey AS row_id FROM orders)"""
 
 
 def band_shares(spark, d):
