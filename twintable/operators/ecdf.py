@@ -151,6 +151,10 @@ def _narrowed_down(
     ``edges`` are first-round buckets with their distance (edge) and its bound by family, as ``place`` gives them.
     Each round handles only the rows of the open buckets that are still too large.
     """
+    cells = edges.collect()  # at most MAX_COUNTS, a local table
+    if all(r["held"] <= ROWS_PER_BUCKET for r in cells):
+        best = _best(edges, families)
+        return best, [(rows, F.broadcast(_still_open(edges, best, families)))]
     best = small_copy(_best(edges, families))
     found = []
     while True:
@@ -167,7 +171,7 @@ def _narrowed_down(
             *[F.max(f"best_{k}").alias(f"best_{k}") for k in families]
         ))
     # what was found later may close buckets that were open before
-    return best, [(r, _still_open(todo, best, families)) for r, todo in found]
+    return best, [(r, _by_size(_still_open(todo, best, families))) for r, todo in found]
 
 
 def _steps(found: Sequence[tuple[DataFrame, DataFrame]], measures: Sequence[str]) -> DataFrame:
@@ -175,7 +179,7 @@ def _steps(found: Sequence[tuple[DataFrame, DataFrame]], measures: Sequence[str]
     edges = [f"{m}_{end}" for m in measures for end in ("lo", "n")]
     parts = [
         rows.select("column", "bucket", "value", *measures)
-        .join(_by_size(todo.select("column", "bucket", *edges)), ["column", "bucket"])
+        .join(todo.select("column", "bucket", *edges), ["column", "bucket"])
         for rows, todo in found
     ]
     every = parts[0]
@@ -268,7 +272,7 @@ def one_sample_ks(
     if counts.count() <= MIN_BUCKETS * len(columns) and counts.filter(F.col("held") > ROWS_PER_BUCKET).isEmpty():
         # little data: looking into all buckets is cheaper than ruling some out
         best = sizes.select("column", *[F.lit(None).cast("double").alias(f"best_{k}") for k in cdfs])
-        found = [(rows, edges)]
+        found = [(rows, F.broadcast(edges))]
     else:
         best, found = _narrowed_down(rows, small_copy(place(edges)), ["obs"], list(cdfs), place)
     steps = (
