@@ -32,6 +32,19 @@ def test_quantiles_match_numpy_whatever_the_path(spark, limit):
     assert np.allclose(got["y"], np.quantile(y, probs))
 
 
+def test_many_quantiles_take_one_sort(spark, monkeypatch):
+    """Hundreds of quantiles of many distinct values are hundreds of ranks, not hundreds of aggregates."""
+    x = np.append(RNG.normal(0, 1, 20_000), np.full(5_000, 0.5))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "k": np.arange(len(x)) % 7.0})).repartition(4)
+    probs = [i / 256 for i in range(257)]
+    asked, percentile = [], F.percentile
+    monkeypatch.setattr(F, "percentile", lambda *a: asked.append(a) or percentile(*a))
+    got = quantiles.quantile_values(df, ["x", "k"], probs, 10_000)
+    assert len(asked) == 1  # of the few values
+    assert np.allclose(got["x"], np.quantile(x, probs), atol=1e-12)
+    assert np.allclose(got["k"], np.quantile(np.arange(len(x)) % 7.0, probs))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantiles.quantile_values(df, ["x"], [0.5]) == {"x": [None]}

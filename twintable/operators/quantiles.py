@@ -1,23 +1,27 @@
 """Exact quantiles (linear interpolation) that do not need one task to hold a column.
 
-``percentile`` keeps a map of distinct values in the final task. That is fine for a bounded
-number of distinct values. Beyond the bound every quantile is bracketed by the quantile
-sketch, the bracket is narrowed by counting until few distinct values are left inside, and
-only those reach ``percentile``. All passes are plain map-side aggregates of one row.
+``percentile`` keeps a map of distinct values in the final task and goes over it once for each
+quantile. That is fine for a bounded number of both. Beyond the bound the distinct values are counted and
+sorted into ranges, and the values at the wanted ranks are picked from the ranges that hold them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twintable.operators.columns import rows_from_wide
+from twintable.session import durable
 
 DISTINCT_LIMIT = 1_000_000
+#: Quantiles that a task reads off ``DISTINCT_LIMIT`` distinct values; each goes over all of them.
+MANY_PROBS = 16
 _ACCURACY = 10_000
 
 
@@ -40,7 +44,8 @@ def quantile_values(
         *[F.count(v).alias(f"n{i}") for i, v in enumerate(numbers.values())],
         *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(numbers.values())],
     ).first()
-    small = [c for i, c in enumerate(columns) if sizes[f"d{i}"] <= distinct_limit]
+    small = [c for i, c in enumerate(columns)
+             if sizes[f"d{i}"] <= distinct_limit and sizes[f"d{i}"] * len(probs) <= distinct_limit * MANY_PROBS]
     out: dict[str, list[float | None]] = {}
     # one aggregate holds so many distinct values at most, over all of its columns
     groups: list[list[str]] = []
@@ -61,74 +66,54 @@ def quantile_values(
             out[c] = list(row[i]) if row[i] is not None else [None] * len(probs)
     large = {c: sizes[f"n{i}"] for i, c in enumerate(columns) if c not in out}
     if large:
-        out.update(_narrowed(df, numbers, large, probs, distinct_limit))
+        out.update(_by_rank(df, numbers, large, probs))
     return out
 
 
-def _narrowed(df, numbers, counts, probs, limit):
-    brackets = {}
-    for c, n in counts.items():
-        for p in probs:
-            brackets[c, p] = {
-                "lo": None, "hi": None, "below": 0, "inside": n, "distinct": n,
-                "pos": (n - 1) * p, "slack": 2.0 / _ACCURACY,
-            }
-
-    def inside(key):
-        v, b = numbers[key[0]], brackets[key]
-        cond = v.isNotNull()
-        if b["lo"] is not None:
-            cond = cond & (v >= F.lit(b["lo"])) & (v <= F.lit(b["hi"]))
-        return F.when(cond, v)
-
-    while True:
-        wide = [k for k, b in brackets.items() if b["distinct"] > limit and b["lo"] != b["hi"]
-                or b["lo"] is None]
-        if not wide:
-            break
-        asks = []
-        for i, k in enumerate(wide):
-            b = brackets[k]
-            local = (b["pos"] - b["below"]) / max(b["inside"] - 1, 1)
-            low, high = max(0.0, local - b["slack"]), min(1.0, local + b["slack"])
-            asks.append(
-                F.percentile_approx(inside(k), [low, high], _ACCURACY).alias(f"b{i}")
-            )
-        guess = df.agg(*asks).first()
-        checks = []
-        for i, k in enumerate(wide):
-            v, (lo, hi) = numbers[k[0]], guess[i]
-            within = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            checks += [
-                F.count_if(v < F.lit(lo)).alias(f"u{i}"),
-                F.count_if(within).alias(f"m{i}"),
-                F.approx_count_distinct(F.when(within, v)).alias(f"d{i}"),
-            ]
-        seen = df.agg(*checks).first()
-        for i, k in enumerate(wide):
-            b, (lo, hi) = brackets[k], guess[i]
-            below, held = seen[f"u{i}"], seen[f"m{i}"]
-            covered = below <= math.floor(b["pos"]) and math.ceil(b["pos"]) < below + held
-            if covered and held < b["inside"]:
-                b.update(lo=lo, hi=hi, below=below, inside=held, distinct=seen[f"d{i}"])
-            elif covered:
-                # the sketch cannot tell these values apart any further
-                b.update(lo=lo, hi=hi, distinct=0)
-            else:
-                b["slack"] *= 10.0
-    keys = list(brackets)
-    final = df.agg(
-        *[
-            F.percentile(
-                inside(k),
-                F.lit(min(1.0, max(0.0, (brackets[k]["pos"] - brackets[k]["below"])
-                                   / max(brackets[k]["inside"] - 1, 1)))),
-            ).alias(f"v{i}")
-            for i, k in enumerate(keys)
-        ]
-    ).first()
-    values = {k: final[i] for i, k in enumerate(keys)}
-    return {c: [values[c, p] for p in probs] for c in counts}
+def _by_rank(
+    df: DataFrame, numbers: dict[str, Column], counts: dict[str, int], probs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    """Quantiles of columns with many values, read off the distinct values in order.
+
+    Only the rows per range, a short list, come to the driver: they tell which range holds each wanted rank.
+    """
+    cells = [F.struct(F.lit(i).alias("i"), numbers[c].alias("value")) for i, c in enumerate(counts)]
+    values = (df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+              .groupBy("i", "value").agg(F.count("*").alias("n")))
+    # kept, as ranges are cut by a sample and both reads below must see the same ones
+    ordered = durable(values.repartitionByRange("i", "value").sortWithinPartitions("i", "value")
+                      .withColumn("part", F.spark_partition_id()))
+    places = {c: [(n - 1) * p for p in probs] for c, n in counts.items()}
+    ranks = [np.unique([r for x in at for r in (math.floor(x), math.ceil(x))]) for at in places.values()]
+    before = [0] * len(ranks)
+    wanted: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    for part, i, n in ordered.groupBy("part", "i").agg(F.sum("n").alias("n")).orderBy("part", "i").collect():
+        own = ranks[i][(ranks[i] >= before[i]) & (ranks[i] < before[i] + n)]
+        if len(own):
+            wanted[part, i] = before[i], own
+        before[i] += n
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            for (part, i), rows in batch.groupby(["part", "i"], sort=False):
+                if (part, i) not in wanted:
+                    continue
+                start, asked = wanted[part, i]
+                upto = seen.get(i, start) + np.cumsum(rows["n"].to_numpy())
+                own = asked[(asked >= seen.get(i, start)) & (asked < upto[-1])]
+                seen[i] = int(upto[-1])
+                yield pd.DataFrame({"i": np.full(len(own), i, np.int32), "rank": own.astype(np.int64),
+                                    "value": rows["value"].to_numpy()[np.searchsorted(upto, own, "right")]})
+
+    # two rows a quantile at most
+    found = {(i, r): v for i, r, v in ordered.mapInPandas(pick, "i int, rank long, value double").collect()}
+
+    def between(i: int, at: float) -> float:
+        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
+        return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+    return {c: [between(i, at) for at in places[c]] for i, c in enumerate(counts)}
 
 
 def quantile_table(
