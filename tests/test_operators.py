@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from twintable.functions import dates
 from twintable.functions import numbers as num
 from twintable.functions.draw import Draws, gamma, uniform
 from twintable.operators import aggregates, columns, ecdf, fill, frequency, prefix, quantiles
@@ -201,3 +202,34 @@ def test_moments_of_small_columns(spark):
     assert got["b"]["skewness"] == 0.0 and got["b"]["std"] == 0.0
     nulls = {r["column"]: r["null_count"] for r in aggregates.null_counts(df).collect()}
     assert nulls == {"a": 2, "b": 0}
+
+
+DATE_TEXTS = [
+    "123-45-6789", "45-12-2020", "2023-1-5", "2023-01-05", "2023-1-0005", "2023-13-5", "31-12-2020", "12-31-2020", "0001-2-3", "31/12/2020",
+    "12/31/2020", "2020/02/30", "2020/2/29", "20200229", "20201301", "12345678", "31.1.2020", "Jan 5, 2020", "January 5, 2020", "5 Sep 2020",
+    "5 september 2020", "Foo 5, 2020", "1/2/2020 3:04:05 pm", "1/2/2020 3:04 PM", "1/2/2020 13:04 PM", "2020-1-2 3:4:5 am", "2020-1-2 3:04 AM",
+    "2020-1-2 3:4:5", "2020-01-02T03:04:05Z", "00-1-2020", "0-0-0000", "1-1-0000", "2023-1-5\n", "99.99.9999", "5-05-2020",
+]
+
+
+def test_layouts_are_tried_on_texts_of_their_shape_only(spark):
+    df = spark.createDataFrame([(t,) for t in DATE_TEXTS], "t string")
+    layouts = dates.DATE_FORMATS + dates.OTHER_FORMATS
+    tried = df.select("t", *[F.when(F.col("t").rlike(dates._OUTLINE), F.try_to_timestamp(
+        F.upper("t") if f.endswith(" a") else F.col("t"), F.lit(f))).alias(f"p{i}") for i, f in enumerate(layouts)])
+    # the parser for every layout gives the same
+    plain = tried.select("t", F.coalesce(*[f"p{i}" for i in range(len(layouts))], F.when(
+        F.col("t").rlike(dates._OUTLINE), F.try_to_timestamp("t"))).cast("string").alias("at"))
+    assert df.select("t", dates.parse_date(F.col("t")).cast("string").alias("at")).collect() == plain.collect()
+    assert sum(r["at"] is not None for r in plain.collect()) > 15
+    shaped = df.filter("t = '123-45-6789'").select(*[F.col("t").rlike(dates.shape(f)) for f in layouts]).first()
+    assert not any(shaped)
+
+
+def test_numbers_are_those_that_the_cast_knows(spark):
+    texts = ["1", " 1 ", "-1.5", "+.5", "1e5", "1E-5", "1e+5", "1d", "1f", "NaN", "inf", "-Infinity", "+inf", "0x1.8p1", "0x1p-2", "1 2", "555-012-0123",
+             "\t7\n", "1_000", "user1@example.com", "", " ", "-", ".", "1.", "1-", "12-5", "\x007", "١", "nan", "INFINITY", "1\x7f", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select("t", num.text_to_number(F.col("t")).cast("string"), F.col("t").try_cast("double").cast("string")).collect()
+    assert [r[1] for r in both] == [r[2] for r in both]
+    assert sum(r[1] is not None for r in both) > 12

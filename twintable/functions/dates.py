@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -73,10 +74,22 @@ def date_like(c: Column) -> Column:
     return c.rlike(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}")
 
 
+# What a letter of a layout stands for, where days and months are in range. Others are numbers of any length.
+_SHAPES = {"yyyy": r"\d{4}", "M": r"0*([1-9]|1[0-2])", "MMM": r"\p{L}+", "MMMM": r"\p{L}+", "d": r"0*([1-9]|[12]\d|3[01])", "a": "[AP]M"}
+
+
+def shape(layout: str) -> str:
+    """Pattern of the texts that a layout can parse, and few others: the parser builds an exception per miss."""
+    if layout == "yyyyMMdd":
+        return r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"
+    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", layout)
+    return "^" + "".join(re.escape(other) if other else _SHAPES.get(first + more, r"\d+") for first, more, other in parts) + "$"
+
+
 def _attempt(c: Column, layout: str) -> Column:
     # the parser knows AM and PM in capitals only
     text = F.upper(c) if layout.endswith(" a") else c
-    return F.try_to_timestamp(text, F.lit(layout))
+    return F.when(text.rlike(shape(layout)), F.try_to_timestamp(text, F.lit(layout)))
 
 
 def parse_date(c: Column, layout: str | None = None) -> Column:

@@ -16,6 +16,15 @@ def to_number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+# A text with one of these is no number: a letter or sign that none has, a sign or gap between digits.
+_NO_NUMBER = r"[^0-9A-FXPINTYa-fxpinty+.\x00-\x20\x7F-]|[0-9.][ +-]+[0-9.]"
+
+
+def text_to_number(c: Column) -> Column:
+    """``to_number`` of a text. Most texts that are none never reach the parser, which builds an exception per miss."""
+    return F.when(~c.rlike(_NO_NUMBER), to_number(c))
+
+
 def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Limit to [low, high]; NULL stays NULL."""
     out = c

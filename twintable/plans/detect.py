@@ -64,13 +64,14 @@ _KNOWN_NAME = (
 
 def is_person_name(text: Column) -> Column:
     value = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return value.rlike(FULL_NAME) | value.rlike(_KNOWN_NAME) | value.rlike(TITLED_NAME)
+    # all three have a gap between words
+    return text.rlike(r"\S\s+\S") & (value.rlike(FULL_NAME) | value.rlike(_KNOWN_NAME) | value.rlike(TITLED_NAME))
 
 
 def is_address(text: Column, whole_words: bool = False) -> Column:
     any_word = "|".join(ADDRESS_WORDS)
     pattern = rf"\b({any_word})\b" if whole_words else f"({any_word})"
-    return F.lower(text).rlike(pattern) & text.rlike(r"\d")
+    return text.rlike(r"\d") & F.lower(text).rlike(pattern)
 
 
 def detectors(text: Column, whole_words: bool = False) -> dict[str, Column]:

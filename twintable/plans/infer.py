@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twintable.functions import dates
-from twintable.functions.numbers import not_nan, plain_text, to_number
+from twintable.functions.numbers import not_nan, plain_text, text_to_number
 from twintable.operators import aggregates
 from twintable.operators.columns import (
     atomic_columns, has_token, is_numeric, rows_from_wide, rows_per_column, small_copy,
@@ -83,7 +83,7 @@ def signals(df: DataFrame, columns: Sequence[str], scores: bool = True) -> DataF
             parsed, number = F.lit(False), value.cast("double")
             is_bool = value.cast("double").isin(0.0, 1.0)
         else:
-            parsed, number = dates.parse_date(text).isNotNull(), to_number(text)
+            parsed, number = dates.parse_date(text).isNotNull(), text_to_number(text)
             is_bool = F.lit(False)
         parts = {
             "n": F.count(value),
