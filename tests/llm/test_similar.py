@@ -2,9 +2,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from twintable.llm import similar
+from twintable.llm import components, similar
+from twintable.session import durable
 
 
 def words(rng, n):
@@ -80,3 +82,35 @@ def test_far_distances_are_compared():
     for low, high in ((1, 2), (2, 16), (16, 128), (128, 1024)):
         met |= set(map(tuple, np.sort(np.transpose(similar.pairs_in(keys, root, size, bits, low, high, 0.8)), axis=1).tolist()))
     assert met == {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j]}
+
+
+def test_a_key_meets_in_one_task_after_a_join(spark):
+    """Whatever adaptive execution makes of the join that picks the keys, all rows of a key meet."""
+    rows = spark.range(0, 30_000, 1, 8).selectExpr("id % 10000 AS key", "id AS node", "id AS root", "100L AS size", "cast(repeat('a', 32) AS binary) AS bits")
+    keys = durable(rows)
+    picked = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 AND key < 50").select("key")
+    found = {tuple(r) for r in similar._candidates(keys.join(picked, "key").select("key", "node", "root", "size", "bits"), 1, 2, 0.8).collect()}
+    assert found == {(k + at, k + at + 10_000) for k in range(50) for at in (0, 10_000)}
+
+
+def test_fingerprints_are_compared_first(spark, monkeypatch):
+    """Texts with fingerprints two bits apart are linked before the prefix join, which need not meet them again."""
+    rng = random.Random(4)
+    base = words(rng, 3000)
+    texts = [" ".join([*base[:i], "changed", *base[i + 1:]]) for i in range(0, 3000, 100)]
+    prints = [similar.fingerprint(similar.shingles(t, 5)) for t in texts]
+    near = {i for i in range(30) for j in range(30) if i != j and (prints[i] ^ prints[j] & (1 << 64) - 1).bit_count() <= similar.RADIUS}
+    asked, candidates = [], similar._candidates
+    monkeypatch.setattr(similar, "_candidates", lambda keys, *a: asked.append(keys.select("root").distinct().count()) or candidates(keys, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar.classes(docs).select("root").distinct().count() == 1
+    assert near and asked[0] < 30
+
+
+def test_a_small_graph_is_one_task_and_a_large_one_is_not(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 50), (100, 60), (7, 7)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    few = {tuple(r) for r in components.components(table).collect()}
+    monkeypatch.setattr(components, "SMALL_GRAPH", 0)
+    assert few == {tuple(r) for r in components.components(table).collect()}
+    assert len(few) == 43 and (100, 50) in few

@@ -1,4 +1,8 @@
-"""Near duplicates by exact Jaccard similarity of word shingles: a prefix join, verified pair by pair.
+"""Near duplicates by exact Jaccard similarity of word shingles: SimHash fingerprints first, then a prefix join, each
+link verified on the sets.
+
+Each distinct set has a fingerprint; those within ``RADIUS`` bits are joined by their keys as in ``simhash``, verified,
+and joined to classes. Fingerprints miss pairs, so a prefix join finds the rest; it leaves out pairs of one class.
 
 Shingles have one order in all texts: rare ones first (counts over all texts), then by hash. Two sets of similarity
 t have a shingle in common among the first size - ceil(t * size) + 1 of each, so these are a text's keys, and
@@ -7,6 +11,7 @@ pairs that sizes and parity bitmaps (a lower bound of the differing shingles) al
 
 A group of a key is compared by distance in its order, a range of distances a round, and pairs that earlier rounds
 have linked already, by whatever path, are left out: a large group of copies costs about its size, not its square.
+Similar texts share many keys and would be met at each, so the first round takes the ``FIRST`` rarest of each only.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twintable.llm import tally
+from twintable.llm import simhash, tally
 from twintable.llm.base import gram_hashes, numbered, release_memory, small_side, text_bytes, word_hashes
 from twintable.llm.components import components
 from twintable.session import durable
@@ -29,6 +34,10 @@ from twintable.session import durable
 BITMAP = 4
 #: Shingles are counted by this many leading bits; what shares them counts as one, which keeps an order.
 COUNTED = np.uint64(0xFFFFFFFFFF000000)
+#: Differing bits of fingerprints whose texts are compared first.
+RADIUS = 2
+#: Keys of a text that take part in the first round of the prefix join.
+FIRST = 3
 #: By how much each round goes further; the first compares neighbours.
 REACH = 8
 
@@ -41,6 +50,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(gram_hashes(units, min(words, len(units)))) if len(units) else np.zeros(0, np.uint64)
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if it is set in over half of them."""
+    return int(np.packbits(simhash.byte_counts(h) * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -119,7 +133,9 @@ def _candidates(keys: DataFrame, low: int, high: int, least: float) -> DataFrame
             node = rows["node"].to_numpy()
             yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInPandas(meet, "a long, b long").distinct()
+    # dealt by a hash of the key: dealt by the key itself, the exchange would be left to a join by key before it,
+    # which adaptive execution may turn into a broadcast join that reads a key's rows in several tasks
+    return keys.repartition(F.xxhash64("key")).sortWithinPartitions("key", "node").mapInPandas(meet, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -141,8 +157,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame | None:
-    """(node, root): classes of ``nodes`` (row numbers, one for each distinct set) that verified pairs connect; None without any.
-    ``docs`` has rid and text of all rows."""
+    """(node, root): classes of ``nodes`` (row numbers, one for each distinct set, with its fingerprint f0) that verified
+    pairs connect; None without any. ``docs`` has rid and text of all rows."""
+
+    def joined(pairs: DataFrame, member: DataFrame | None) -> DataFrame | None:
+        """The classes with those that similar pairs connect."""
+        if pairs.isEmpty():
+            return member
+        edges = durable(_verified(pairs, docs, words, least))
+        if edges.isEmpty():
+            return member
+        if member is not None:
+            edges = edges.union(member.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return durable(components(edges))
+
+    alike = simhash.links(nodes.select("node", "f0"), ["f0"], RADIUS, fuzzy=False)
+    member = joined(durable(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()), None)
     total = text_bytes(docs)
     batches, buckets = tally.batched(docs, total), tally.buckets_for(total)
 
@@ -156,43 +186,37 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFr
         sets = [shingles(t, words) for t in rows["text"]]
         every = np.concatenate([*sets, np.zeros(0, np.uint64)])
         counts = tally.answer(every & COUNTED, answers[~wanted]) if len(every) else every
-        found, nodes, sizes, bits, at = [np.zeros(0, np.int64)], [], [], [], 0
+        found, places, nodes, sizes, bits, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], [], 0
         for rid, h in zip(rows["rid"].tolist(), sets, strict=True):
             c, at = counts[at:at + len(h)], at + len(h)
             keys = prefix(h, c, least) if len(h) and rid in mine else h[:0]
             if len(keys):
                 found.append(keys.view(np.int64))
+                places.append(np.arange(len(keys)))
                 nodes.append(rid)
                 sizes.append(len(h))
                 bits.append(bitmap(h))
         times = [len(f) for f in found[1:]]
-        return pd.DataFrame({"key": np.concatenate(found), "node": np.repeat(np.array(nodes, np.int64), times),
+        return pd.DataFrame({"key": np.concatenate(found), "place": np.concatenate(places), "node": np.repeat(np.array(nodes, np.int64), times),
                              "size": np.repeat(np.array(sizes, np.int64), times),
                              "bits": np.repeat(np.array(bits, object), times)})
 
     asked = tally.totals(tally.ask(batches, ask, buckets)).withColumn("nodes", F.lit(None).cast("array<long>"))
     mine = tally.batched(nodes.select(F.col("node").alias("rid")), total).groupBy("batch").agg(F.collect_list("rid").alias("nodes"))
     known = asked.unionByName(mine.select("batch", F.lit(-1).alias("bucket"), F.lit(b"").alias("counts"), "nodes"))
-    keys = durable(batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(keyed, "key long, node long, size long, bits binary"))
+    keys = durable(batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(keyed, "key long, place long, node long, size long, bits binary"))
     largest = keys.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    member, low, high = None, 1, 2
+    low, high, some = 1, 2, keys.filter(F.col("place") < FIRST)
     while low < largest:
-        live = keys.withColumn("root", F.col("node"))
-        if low > 1:
-            if member is not None:
-                live = keys.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = live.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
-            live = live.join(mixed.filter((F.col("n") > low) & F.col("mixed")).select("key"), "key")
-        pairs = durable(_candidates(live.select("key", "node", "root", "size", "bits"), low, high, least))
-        low, high = high, high * REACH
-        if pairs.isEmpty():
-            continue
-        edges = durable(_verified(pairs, docs, words, least))
-        if edges.isEmpty():
-            continue
+        live = some.withColumn("root", F.col("node"))
         if member is not None:
-            edges = edges.union(member.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        member = durable(components(edges))
+            live = some.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = live.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
+        live = live.join(mixed.filter((F.col("n") > low) & F.col("mixed")).select("key"), "key")
+        member = joined(durable(_candidates(live.select("key", "node", "root", "size", "bits"), low, high, least)), member)
+        if some is keys:
+            low, high = high, high * REACH
+        some = keys
     return member
 
 
@@ -207,11 +231,15 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [hashlib.blake2b(shingles(t, words).tobytes(), digest_size=16).digest() for t in batch["text"]]
-            yield batch[["rid", "key"]].assign(digest=found)
-
-    prints = durable(own.mapInPandas(digest, "rid long, key long, digest binary"))
-    nodes = durable(prints.groupBy("digest").agg(F.min("rid").alias("node")))
+            digests, prints = [], []
+            for t in batch["text"]:
+                h = shingles(t, words)
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                prints.append(fingerprint(h))
+            yield batch[["rid", "key"]].assign(digest=digests, f0=np.array(prints, np.int64))
+
+    prints = durable(own.mapInPandas(digest, "rid long, key long, digest binary, f0 long"))
+    nodes = durable(prints.groupBy("digest").agg(F.min("rid").alias("node"), F.min("f0").alias("f0")))
     member = links(own.select("rid", "text"), nodes, words, least)
     placed = nodes.withColumn("root", F.col("node")) if member is None else (
         nodes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")))
