@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from twintable.llm import base, repeats, simhash, suffixes, trees
+from twintable.llm import base, repeats, simhash, suffixes, tally, trees
 from twintable.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -207,3 +207,13 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (300, 300)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
+
+
+def test_hashes_are_packed_near_their_entropy():
+    """Steps of 42 bits take less than six bytes each, and come back as they were."""
+    rng = np.random.default_rng(6)
+    values = np.unique(rng.integers(0, 1 << 64, 1 << 22, np.uint64))
+    some = values[:100_000]
+    assert len(tally.packed(some)) < 5.7 * len(some)
+    for v in (some, values[:1], values[:0], np.array([0, 1, 2**64 - 1], np.uint64)):
+        assert (tally.unpacked(tally.packed(v)) == v).all()

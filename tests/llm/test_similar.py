@@ -89,7 +89,16 @@ def test_a_key_meets_in_one_task_after_a_join(spark):
     rows = spark.range(0, 30_000, 1, 8).selectExpr("id % 10000 AS key", "id AS node", "id AS root", "100L AS size", "cast(repeat('a', 32) AS binary) AS bits")
     keys = durable(rows)
     picked = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 AND key < 50").select("key")
-    found = {tuple(r) for r in similar._candidates(keys.join(picked, "key").select("key", "node", "root", "size", "bits"), 1, 2, 0.8).collect()}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = similar._candidates(keys.join(picked, "key").select("key", "node", "root", "size", "bits"), 1, 2, 0.8)
+        assert "REPARTITION_BY_COL" in pairs._jdf.queryExecution().executedPlan().toString()  # not left to the join
+        found = {tuple(r) for r in pairs.collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
     assert found == {(k + at, k + at + 10_000) for k in range(50) for at in (0, 10_000)}
 
 

@@ -20,7 +20,7 @@ ALPHA = 0.4
 #: N-grams of two words and more count from so many occurrences on: 1 is the measure itself, more is the user's choice.
 LEAST = 1
 #: Bytes of text in a batch: the larger it is, the fewer n-grams are asked for twice.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 
 def _grams(rows: pd.DataFrame) -> tuple[list[int], np.ndarray]:

@@ -22,6 +22,9 @@ from twintable.llm.base import release_memory
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 
+#: Bytes of a step that are kept as they are.
+LOW_BYTES = 5
+
 #: The largest hash stands for a sum over all batches.
 TOTAL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -40,12 +43,24 @@ def buckets_for(total: int) -> int:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Rising 64-bit numbers, as steps, all first bytes first: high bytes are mostly zero and compress well."""
-    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Rising 64-bit numbers, as their count and steps, all first bytes first. Low bytes are as good as random; the high
+    ones are small or zero, and entropy coding takes each plane of them to a few bits a number."""
+    planes = np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, 8).T
+    high = [zlib.compress(plane.tobytes(), 1) for plane in planes[LOW_BYTES:]]
+    sizes = np.array([len(values), *map(len, high)], np.int32).tobytes()
+    return b"".join((sizes, planes[:LOW_BYTES].tobytes(), *high))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    head = 4 * (9 - LOW_BYTES)
+    n, *sizes = np.frombuffer(data[:head], np.int32).tolist()
+    planes = np.empty((8, n), np.uint8)
+    planes[:LOW_BYTES] = np.frombuffer(data, np.uint8, LOW_BYTES * n, head).reshape(LOW_BYTES, n)
+    at = head + LOW_BYTES * n
+    for plane, size in zip(planes[LOW_BYTES:], sizes, strict=True):
+        plane[:] = np.frombuffer(zlib.decompress(data[at:at + size]), np.uint8)
+        at += size
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def plain(values: np.ndarray) -> bytes:
