@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twintable.llm import decontaminate, language, packing, similar, suffixes
-from twintable.llm.base import numbered, read
+from twintable.llm.base import numbered, read, small_batches
 from twintable.session import scratch_folder
 
 #: A document is rejected if no language is this probable.
@@ -19,16 +19,12 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bytes of a passage that is kept once.
 PASSAGE = 200
 
-#: Bytes of whole texts that go to a Python worker at a time: with a row count alone, long texts make large batches.
-BATCH_BYTES = 4 << 20
+#: Chunks of text whose ids a Python worker keeps: the heap of an executor is as large as earlier stages made it.
+KNOWN = 400_000
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that can be told; null texts and those without letters go."""
     small_batches(spark)
@@ -66,7 +62,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     small_batches(spark)
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, known=KNOWN).drop("ids")
 
 
 STAGES = [

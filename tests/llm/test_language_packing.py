@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twintable.llm import language, packing, queries
+from twintable.llm import base, language, packing, queries
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = "K İ ß ẞ É× ÷a é don't IT'S <|endoftext|> a.b,c... 12 —.  x y\u0085z \x1cq 你好 . , .. ÀÖ."
@@ -78,6 +78,23 @@ def check_pieces(rows, docs, size):
     return padding
 
 
+def test_few_known_chunks():
+    """A store that forgets gives the same ids, keeps what comes again and is dropped by other work."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    large, small = packing.Chunks(path), packing.Chunks(path, known=400)
+    for k in range(12):
+        texts = [f"the of and, word{k * 40 + i}. Zürich{i}{k}" for i in range(40)] + [None, ""]
+        assert [x.tolist() for x in small.encode(texts)] == [x.tolist() for x in large.encode(texts)]
+        assert len(small.number) < 400 + 4 * len(texts)
+    small.forget()
+    assert small.known == 400 and len(small.number) <= 200 + len(packing.MARKS)
+    assert {b"the", b"of", b"and,", b".", b","} <= set(small.number)
+    store = packing.chunks_of(path, 400)
+    assert packing.chunks_of(path, 400) is store
+    base.release_memory()
+    assert packing.chunks_of(path, 400) is not store
+
+
 def test_packing_round_trip(spark):
     rows = queries.op3_packing(spark, FOLDER).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,12 @@ def small_side(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def release_memory() -> None:
-    """Gives what earlier groups have freed back to the system: Python workers live on into later stages."""
+#: What empties the stores that a Python worker keeps from task to task.
+STORES: list[Callable[[], None]] = []
+
+
+def trim_memory() -> None:
+    """Gives what earlier work has freed back to the system: Python workers live on into later stages."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -58,6 +63,21 @@ def release_memory() -> None:
         pass  # another C library
 
 
+def release_memory() -> None:
+    """Empties the stores of other operators and gives back what earlier groups have freed."""
+    for empty in STORES:
+        empty()
+    trim_memory()
+
+
+#: Bytes of whole texts that go to a Python worker at a time: with a row count alone, long texts make large batches.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads neighbouring values."""
     h = h ^ (h >> np.uint64(32))

@@ -25,13 +25,16 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from twintable.llm.base import STORES, trim_memory
+
 SIZE = 4096
 END = 2
 #: What a cut costs, in tokens of padding: after a sentence, and elsewhere.
 SENTENCE, ANYWHERE = 8, 64
 #: Tokens that are planned at a time; what is left over starts the next plan.
 PLAN = 1 << 20
-#: Known chunks of text at most; the store starts anew beyond, which changes no result.
+#: Known chunks of text at most (some 170 bytes each); beyond, those that few calls have met are forgotten, which
+#: changes no result.
 KNOWN = 1_500_000
 
 #: Bytes of words that are only a-z and letters from U+00C0 to U+00FF (lead byte C3); other leads are not among them.
@@ -46,10 +49,11 @@ class Chunks:
     """Token ids of texts. A text is cut at ASCII white space, which the tokenizer drops anyway, and
     ids of chunks seen before are not made again."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, known: int = KNOWN) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.known = known
         self.tokenizer = Tokenizer.from_file(path)
         # what the byte-level splitter makes of each byte of a two-byte letter
         self.letters = {x: y for b in range(0x80, 0xC0) for x, y in zip(
@@ -65,11 +69,23 @@ class Chunks:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int32)
         self.size = np.zeros(1 << 16, np.int32)
+        self.met = np.zeros(1 << 16, np.int32)  # calls that had the chunk
         self.used = 0
         for mark in MARKS:
             ids = self.plainly(mark)
             self.store([mark], ids, np.array([len(ids)]))
 
+    def forget(self) -> None:
+        """Keeps the chunks that most calls have met, up to half of ``known``."""
+        names, met = list(self.number), self.met
+        some = np.flatnonzero(met[:len(names)] > 1)
+        some = some[np.argsort(-met[some], kind="stable")][:self.known // 2]
+        some = some[some >= len(MARKS)]
+        ids, size = self.gather(some)
+        self.clear()
+        self.store([names[k] for k in some.tolist()], ids, size)
+        self.met[len(MARKS):len(self.number)] = met[some] // 2
+
     def store(self, chunks: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         """Takes in new chunks, whose ids follow each other."""
         n, k = len(ids), len(self.number)
@@ -78,6 +94,7 @@ class Chunks:
         while k + len(chunks) > len(self.first):
             self.first = np.concatenate((self.first, np.zeros_like(self.first)))
             self.size = np.concatenate((self.size, np.zeros_like(self.size)))
+            self.met = np.concatenate((self.met, np.zeros_like(self.met)))
         self.ids[self.used:self.used + n] = ids
         self.size[k:k + len(chunks)] = size
         self.first[k:k + len(chunks)] = self.used + np.cumsum(size) - size
@@ -123,8 +140,8 @@ class Chunks:
 
         Arrow lower-cases A-Z, splits and numbers the distinct chunks; only those are looked up one by one.
         """
-        if len(self.number) > KNOWN:
-            self.clear()
+        if len(self.number) > self.known:
+            self.forget()
         parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
         coded = parts.flatten().dictionary_encode()
         chunks = coded.dictionary.cast(pa.large_binary()).to_pylist()
@@ -132,16 +149,21 @@ class Chunks:
         if None in at:
             self.learn(set(chunks).difference(self.number))
             at = list(map(self.number.get, chunks))
-        at = np.array(at, np.int32)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+        at = np.array(at, np.int32)
+        self.met[at] += 1
+        at = at[coded.indices.to_numpy()] if len(coded) else at
         ids, size = self.gather(at)
         ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(parts.value_lengths().to_numpy())]
         return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 @lru_cache(1)
-def chunks_of(path: str) -> Chunks:
-    """The store of this Python worker, which its later tasks find filled."""
-    return Chunks(path)
+def chunks_of(path: str, known: int) -> Chunks:
+    """The store of this Python worker, which its later tasks find filled; other work drops it."""
+    return Chunks(path, known)
+
+
+STORES.append(chunks_of.cache_clear)
 
 
 def cuts(ends: list[int], ids: np.ndarray, enders: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,13 +271,14 @@ class Packer:
 
 
 def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE,
-         tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+         tokenizer: str | None = None, with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """One row per piece of a document: where it lies in the document and in its sequence.
 
     A null text counts as empty and leaves its end id alone. Null or repeated ids are kept as they
     are: each row is a document of its own. A text of any length is cut into as many sequences as it
     needs. An empty table gives no rows. ``ids`` (little-endian 32-bit) is null without ``with_ids``.
-    Sequence numbers are unique, and those of a task follow each other.
+    Sequence numbers are unique, and those of a task follow each other. A Python worker keeps the ids of ``known``
+    chunks of text; fewer take less memory and more time.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     own = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
@@ -269,7 +292,8 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
             yield frame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(chunks_of(path), size, TaskContext.get().partitionId() << 32, with_ids)
+        trim_memory()
+        packer = Packer(chunks_of(path, known), size, TaskContext.get().partitionId() << 32, with_ids)
         schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
