@@ -1,4 +1,6 @@
 import hashlib
+import os
+import tempfile
 from collections import Counter
 
 import numpy as np
@@ -84,6 +86,35 @@ def test_long_texts_of_one_stretch(spark):
     assert words == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (200_000, 199_999)}
 
 
+def test_words_of_texts_are_hashed_together(monkeypatch):
+    texts = ["a b", None, "", " \t", "c", "a b c ä", "x" * 30, "b", "", "e\vf\xa0g "]
+    plain = [base.word_hashes((t or "").encode())[0].tolist() for t in texts]
+    calls = []
+    monkeypatch.setattr(trees, "word_hashes", lambda data: calls.append(len(data)) or base.word_hashes(data))
+    for together in (1, 8, 1 << 18):
+        monkeypatch.setattr(trees, "TOGETHER", together)
+        assert [x.tolist() for x in trees.words_of(texts)] == plain
+        assert [x.tolist() for x in trees.words_of([])] == []
+    assert calls[-1] > 30  # all of them in one call
+
+
+def test_texts_become_units_once_a_pass(spark, tmp_path):
+    """A pass each for minimizers (two where no exchange is reused), hot windows and passages."""
+    folder = str(tmp_path)
+
+    def units(texts):
+        for text in texts:
+            with tempfile.NamedTemporaryFile(dir=folder, delete=False):
+                yield np.frombuffer(text.encode(), np.uint8)
+
+    n = 2 * repeats.HOT
+    table = spark.createDataFrame([(i, "abcdefghijklmnop") for i in range(n)], "doc_id long, text string").coalesce(1)
+    batches, total = repeats.prepared(table, "doc_id", "text")
+    found = repeats.passages(batches, repeats.Kind(units, np.uint8, 10, 3), total).collect()
+    assert sum(len(r.places) // 32 for r in found) >= n
+    assert len(os.listdir(folder)) <= 4 * n
+
+
 def test_no_rows(docs):
     empty = docs.limit(0)
     assert suffixes.remove_repeats(empty).count() == 0

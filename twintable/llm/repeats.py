@@ -11,7 +11,7 @@ text, to the task of its minimizer, one row for each batch and distinct text.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,9 +38,9 @@ PASSAGES = "minimizer long, passage binary, windows int, batch long, places bina
 
 @dataclass(frozen=True)
 class Kind:
-    """units: array of a text; dtype: of a unit; window and gram: units in a window and in a k-gram."""
+    """units: an array for each text; dtype: of a unit; window and gram: units in a window and in a k-gram."""
 
-    units: Callable[[str | None], np.ndarray]
+    units: Callable[[Iterable[str | None]], Iterator[np.ndarray]]
     dtype: type
     window: int
     gram: int
@@ -98,12 +98,12 @@ def passages(batches: DataFrame, kind: Kind, total: int) -> DataFrame:
     buckets = tally.buckets_for(total)
 
     def minimizers(rows: pd.DataFrame) -> Iterator[np.ndarray]:
-        for text in rows["text"]:
-            yield all_runs(kind.units(text), kind)[2]
+        for units in kind.units(rows["text"]):
+            yield all_runs(units, kind)[2]
 
     def candidates(rows: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple]:
         """Units and repeated runs of each document, and which of them are hot."""
-        units = [kind.units(t) for t in rows["text"]]
+        units = list(kind.units(rows["text"]))
         found = [all_runs(u, kind) for u in units]
         counts = tally.answer(np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64), answers)
         at = 0
@@ -113,15 +113,15 @@ def passages(batches: DataFrame, kind: Kind, total: int) -> DataFrame:
             keep = n >= 2
             yield u, start[keep], size[keep], low[keep], n[keep] >= HOT
 
-    def hot_windows(rows: pd.DataFrame, answers: pd.DataFrame) -> Iterator[np.ndarray]:
-        for units, start, size, _, hot in candidates(rows, answers):
+    def hot_windows(found: Iterable[tuple]) -> Iterator[np.ndarray]:
+        for units, start, size, _, hot in found:
             if hot.any():
                 yield window_hashes(units, start[hot], size[hot], kind)
 
     def ask_again(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return tally.question(0, np.zeros(0, np.uint64), buckets)
-        parts = list(hot_windows(rows, answers))
+        parts = list(hot_windows(candidates(rows, answers)))
         return tally.question(rows["batch"].iloc[0], np.concatenate(parts) if parts else np.zeros(0, np.uint64), buckets)
 
     def gather(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -133,12 +133,12 @@ def passages(batches: DataFrame, kind: Kind, total: int) -> DataFrame:
         release_memory()
         known: dict[tuple[int, bytes], bytearray] = {}
         width, more, pack = np.dtype(kind.dtype).itemsize, kind.window - 1, struct.Struct("<4q").pack
+        found = list(candidates(rows, first))
         if len(second):
-            parts = list(hot_windows(rows, first))
+            parts = list(hot_windows(found))
             counts = tally.answer(np.concatenate(parts), second)
         used = 0
-        for (units, start, size, low, hot), rid, key in zip(
-                candidates(rows, first), rows["rid"], rows["key"], strict=True):
+        for (units, start, size, low, hot), rid, key in zip(found, rows["rid"], rows["key"], strict=True):
             place = (rid, 0, 1) if pd.isna(key) else (rid, int(key), 0)
             if hot.any():
                 n = int(size[hot].sum())

@@ -302,7 +302,7 @@ def repeated_windows(passages: list[bytes], window: int, ages: np.ndarray | None
 
 
 def kind_of(window: int) -> repeats.Kind:
-    return repeats.Kind(lambda t: np.frombuffer((t or "").encode(), np.uint8), np.uint8, window,
+    return repeats.Kind(lambda texts: (np.frombuffer((t or "").encode(), np.uint8) for t in texts), np.uint8, window,
                         max(1, window // 3))
 
 
