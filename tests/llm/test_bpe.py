@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -67,3 +68,27 @@ def test_words_in_many_batches(spark, library, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     found = {r.key: list(r.ids) for r in bpe.encode(table).collect()}
     assert found == {k: library.encode_ordinary(t) for k, t in rows}
+
+
+def test_ids_go_back_packed(spark, monkeypatch):
+    """One row a task and batch, with all words of the batch in it; a few bytes a word."""
+    random.seed(4)
+    n = 3000
+    words = [(f"w{i}", [i % 2 << bpe.PLACE_BITS | i // 2], random.choices(range(50_000), k=i % 4 + 1)) for i in range(n)]
+    words += [("both", [n, 1 << bpe.PLACE_BITS | n], [7, 1 << 19])]
+    random.shuffle(words)
+    table = spark.createDataFrame(words, "word string, places array<bigint>, ids array<int>").coalesce(1)
+    expected = {at: ids for _, places, ids in words for at in places}
+    for together, rows in ((1 << 20, 2), (1, None)):
+        monkeypatch.setattr(bpe, "PACKED_WORDS", together)
+        answers = bpe.packed(table).collect()
+        assert rows is None or len(answers) == rows
+        found = {}
+        for r in answers:
+            places, length, ids = bpe.unpack_answers(r.answer)
+            assert (places[1:] > places[:-1]).all()
+            parts = [x.tolist() for x in np.split(ids, length.cumsum()[:-1])]
+            assert not any((r.batch << bpe.PLACE_BITS | p) in found for p in places.tolist())
+            found |= {r.batch << bpe.PLACE_BITS | p: x for p, x in zip(places.tolist(), parts, strict=True)}
+        assert found == expected
+        assert rows is None or sum(len(r.answer) for r in answers) < 8 * n

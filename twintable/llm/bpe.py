@@ -4,7 +4,7 @@
    frequency and keep the texts as those numbers, in a table with a bucket a group of batches.
 2. The distinct words of all batches are merged: neighbours of lowest rank first, ranks from literal arrays in the plan.
    A word is folded once, however many batches have it; groups of more than ``PLACES`` batches are parted.
-3. The ids go back to each batch, one row a word of it, and are put in the place of the numbers.
+3. The ids go back to each batch, packed by the task that made them, and are put in the place of the numbers.
 
 Decoding takes each id's bytes from a literal array and concatenates them.
 """
@@ -15,6 +15,7 @@ import base64
 import heapq
 import json
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintable.llm.base import text_bytes
+from twintable.llm.base import small_batches, text_bytes, trim_memory
 from twintable.session import scratch_folder
 
 #: Bits of an id.
@@ -40,6 +41,8 @@ BUCKET_BYTES = 32 << 20
 PLACE_BITS, NUMBER_BITS = 26, 12
 #: Words that are turned to ids at a time.
 TEXT_WORDS = 1 << 20
+#: Words of batches whose ids are packed at once.
+PACKED_WORDS = 1 << 20
 #: Batches that one row of a word stands for.
 PLACES = 4096
 #: Letters and numbers that were assigned after Unicode 13, as code points in hex: fixed values. Java's classes may lack them.
@@ -218,6 +221,7 @@ def coded(texts: DataFrame, pattern: str) -> DataFrame:
             pa.array([planes], pa.binary())], schema=pa.schema(list(kinds.items())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         held, size, number = [], 0, TaskContext.get().partitionId() << NUMBER_BITS
         for batch in batches:
             # about even slices, so that a batch stays near its size
@@ -230,6 +234,8 @@ def coded(texts: DataFrame, pattern: str) -> DataFrame:
                     held, size, number = [], 0, number + 1
         if held:
             yield emit(held, number)
+        held = batch = None
+        trim_memory()  # the worker lives on while Spark merges
 
     return parts.mapInArrow(work, CODED)
 
@@ -261,6 +267,61 @@ def word_ids(words: DataFrame, longest: int, path: str) -> DataFrame:
     return short.union(words.filter(whole > LONG).mapInArrow(work, short.schema))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def pack_answers(places: np.ndarray, length: np.ndarray, ids: np.ndarray) -> bytes:
+    """Some words of a batch: rising places, number of ids and all ids, the first bytes of all numbers first, compressed."""
+    parts = [_planes(x) for x in (np.diff(places, prepend=0), length, ids)]
+    return b"".join((np.array([len(x) for x in parts], "<i4").tobytes(), *parts))
+
+
+def unpack_answers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ends = 12 + np.cumsum(np.frombuffer(data[:12], "<i4"))
+    steps, length, ids = (_unplanes(data[a:b]) for a, b in zip((12, *ends[:-1]), ends, strict=True))
+    return np.cumsum(steps), length, ids
+
+
+def packed(answers: DataFrame) -> DataFrame:
+    """(batch, answer): a row for each batch that some words of a task are from, of a table of places and ids of words."""
+
+    def emit(held: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+        places, ids = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+        at, values = places.flatten().to_numpy(), ids.flatten().to_numpy()
+        n = pc.list_value_length(ids).to_numpy()
+        start = np.cumsum(n) - n
+        order = np.argsort(at, kind="stable")
+        at, word = at[order], np.repeat(np.arange(len(n)), pc.list_value_length(places).to_numpy())[order]
+        batch, place = at >> PLACE_BITS, at & ((1 << PLACE_BITS) - 1)
+        cuts = np.flatnonzero(np.diff(batch, prepend=-1))
+        out = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+            length = n[word[a:b]]
+            index = np.repeat(start[word[a:b]] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+            out.append(pack_answers(place[a:b], length, values[index]))
+        return pa.RecordBatch.from_arrays([pa.array(batch[cuts], pa.int64()), pa.array(out, pa.binary())], ["batch", "answer"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
+        held, size = [], 0
+        for rows in batches:
+            if rows.num_rows:
+                held.append((rows.column("places"), rows.column("ids")))
+                size += len(held[-1][0].flatten())
+            if size >= PACKED_WORDS:
+                yield emit(held)
+                held, size = [], 0
+        if held:
+            yield emit(held)
+
+    return answers.select("places", "ids").mapInArrow(work, "batch long, answer binary")
+
+
 def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str | None = None,
            pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(key, ids) of every row: each match of the pattern is encoded by itself, without special tokens.
@@ -271,17 +332,16 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: s
     """
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    small_batches(docs.sparkSession)
     table = _bucketed(coded(own, pattern), text_bytes(own))
     size = table.agg(F.count("*").alias("n"), F.max("longest").alias("longest")).first()
     words = table.select("batch", F.posexplode("words").alias("place", "word"))
     share = F.pmod(F.xxhash64("batch"), F.lit(-(-size["n"] // PLACES) or 1))
     distinct = words.groupBy("word", share.alias("share")).agg(F.collect_list(
         F.call_function("shiftleft", F.col("batch"), F.lit(PLACE_BITS)).bitwiseOR(F.col("place").cast("long"))).alias("places"))
-    answers = word_ids(distinct.select("word", "places"), size["longest"] or 0, path).select(
-        F.explode("places").alias("at"), "ids").groupBy(F.shiftright("at", PLACE_BITS).alias("batch")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"), "ids"))).alias("answers"))
-    both = table.select("batch", "keys", "counts", "codes").join(answers, "batch", "left").select(
-        "keys", "counts", "codes", F.transform("answers", lambda a: a["ids"]).alias("answers"))
+    answers = packed(word_ids(distinct.select("word", "places"), size["longest"] or 0, path)).groupBy("batch").agg(
+        F.collect_list("answer").alias("answers"))
+    both = table.select("batch", "keys", "counts", "codes").join(answers, "batch", "left").select("keys", "counts", "codes", "answers")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,9 +349,10 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: s
                 row = batch.slice(r, 1)
                 keys, counts = row.column(0).flatten(), row.column(1).flatten().to_numpy()
                 codes = np.ascontiguousarray(np.frombuffer(row.column(2)[0].as_py(), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                words = row.column(3).flatten()
-                values, length = words.flatten().to_numpy(), pc.list_value_length(words).to_numpy()
-                start = np.cumsum(length) - length
+                found = [unpack_answers(x) for x in row.column(3).flatten().to_pylist()] or [(np.zeros(0, np.int64),) * 3]
+                places, each, values = (np.concatenate(x) for x in zip(*found, strict=True))
+                length, start = np.empty_like(each), np.empty_like(each)
+                length[places], start[places] = each, np.cumsum(each) - each
                 ends = np.cumsum(counts)
                 at = 0
                 while at < len(counts):  # some texts at a time
