@@ -84,6 +84,49 @@ def test_far_distances_are_compared():
     assert met == {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j]}
 
 
+def test_long_bitmaps_bound_the_differing_shingles():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 63, n, np.uint64)
+    common = draw(60_000)
+    sets = [np.unique(np.concatenate((common[:n], draw(more)))) for n in (0, 30, 480, 500, 520, 7000, 60_000) for more in (1, 25, 60)]
+    long = similar.LongBitmaps([similar.long_bitmap(h) for h in sets])
+    assert len(set(long.words.tolist())) > 4 and long.words.max() == similar.LONGEST
+    i, j = np.nonzero(np.ones((len(sets), len(sets)), bool))
+    found = long.differing(i, j)
+    for a, b, n in zip(i.tolist(), j.tolist(), found.tolist(), strict=True):
+        differing = len(np.setxor1d(sets[a], sets[b], assume_unique=True))
+        assert n <= differing and (n - differing) % 2 == 0
+        if 440 < len(sets[a]) < 600 and 440 < len(sets[b]) < 600:
+            assert n >= 0.85 * differing
+
+
+def test_a_template_is_not_handed_on_by_its_square(spark, monkeypatch):
+    """Texts of one template with a similarity of about 0.74: what is verified grows no faster than they do."""
+    rng = random.Random(7)
+    base = words(rng, 404)
+    asked, candidates = [], similar._candidates
+
+    def counted(keys, low, *a):
+        found = durable(candidates(keys, low, *a))
+        asked.append((low, found.count()))
+        return found
+
+    monkeypatch.setattr(similar, "_candidates", counted)
+    for n in (60, 240):
+        texts = []
+        for _ in range(n):
+            some = list(base)
+            for at in rng.sample(range(20, 384), 6):
+                some[at] = words(rng, 1)[0]
+            texts.append(" ".join(some))
+        sets = [similar.shingles(t, 5) for t in texts]
+        linked = sum(similar.jaccard(sets[i], sets[j]) >= 0.8 for i in range(n) for j in range(i))
+        asked.clear()
+        similar.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        far = [found for low, found in asked if low > 1]
+        assert len(far) > 1 and sum(far) <= linked + n, (n, linked, asked)
+
+
 def test_a_key_meets_in_one_task_after_a_join(spark):
     """Whatever adaptive execution makes of the join that picks the keys, all rows of a key meet."""
     rows = spark.range(0, 30_000, 1, 8).selectExpr("id % 10000 AS key", "id AS node", "id AS root", "100L AS size", "cast(repeat('a', 32) AS binary) AS bits")

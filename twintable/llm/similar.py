@@ -12,12 +12,15 @@ pairs that sizes and parity bitmaps (a lower bound of the differing shingles) al
 A group of a key is compared by distance in its order, a range of distances a round, and pairs that earlier rounds
 have linked already, by whatever path, are left out: a large group of copies costs about its size, not its square.
 Similar texts share many keys and would be met at each, so the first round takes the ``FIRST`` rarest of each only.
+
+A group of texts from one template, too different to be linked, would be handed on by the square of its size: short
+bitmaps tell little of long texts. Rounds beyond neighbours compare parity bitmaps as long as the sets ask for.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -32,6 +35,8 @@ from twintable.session import durable
 
 #: 64-bit words of a parity bitmap.
 BITMAP = 4
+#: Bits for each shingle of a longer parity bitmap, 64-bit words that it has at most, and words compared at a time.
+SHARPER, LONGEST, GATHERED = 8, 256, 1 << 16
 #: Shingles are counted by this many leading bits; what shares them counts as one, which keeps an order.
 COUNTED = np.uint64(0xFFFFFFFFFF000000)
 #: Differing bits of fingerprints whose texts are compared first.
@@ -66,31 +71,76 @@ def prefix(h: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     return h[order[counts[order] > 1]]
 
 
-def bitmap(h: np.ndarray) -> bytes:
+def bitmap(h: np.ndarray, words: int = BITMAP) -> bytes:
     """Parity of the number of shingles at each bit."""
-    n = np.bincount((h & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP)
+    n = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
     return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
 
+def long_bitmap(h: np.ndarray) -> bytes:
+    """A bitmap whose length is in proportion to the set, a power of two: halves of a longer one fold to a shorter one."""
+    return bitmap(h, 1 << (max(BITMAP, min(LONGEST, len(h) * SHARPER // 64)) - 1).bit_length())
+
+
+def most_differing(i: np.ndarray, j: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that one of rows i and j has alone, at the threshold."""
+    return (size[i] + size[j]) * ((1 - least) / (1 + least)) + 1e-9
+
+
 def possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, bits: np.ndarray, least: float) -> np.ndarray:
     """Whether the similarity of rows i and j can reach the threshold."""
     a, b = size[i], size[j]
-    differing = (a + b) * ((1 - least) / (1 + least)) + 1e-9
-    return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= differing)
+    differing = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    return (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (differing <= most_differing(i, j, size, least))
+
+
+class LongBitmaps:
+    """Long bitmaps of rows, end to end."""
+
+    def __init__(self, bitmaps: Sequence[bytes]) -> None:
+        self.words = np.array([len(x) // 8 for x in bitmaps], np.int64)
+        self.start = np.cumsum(self.words) - self.words
+        self.data = np.frombuffer(b"".join(bitmaps), np.uint64)
+
+    def folded(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        """Bitmaps of rows that have so many words each, folded to fewer."""
+        found = self.data[self.start[rows][:, None] + np.arange(words)]
+        return found if to == words else np.bitwise_xor.reduce(found.reshape(len(rows), -1, to), axis=1)
 
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of rows i and j at the length of the shorter one."""
+        out = np.zeros(len(i), np.int64)
+        both = self.words[i] * 2 * LONGEST + self.words[j]
+        for lengths in np.unique(both).tolist():
+            a, b = divmod(lengths, 2 * LONGEST)
+            alike, to = np.flatnonzero(both == lengths), min(a, b)
+            for at in range(0, len(alike), step := GATHERED // max(a, b)):
+                some = alike[at:at + step]
+                out[some] = np.bitwise_count(self.folded(i[some], a, to) ^ self.folded(j[some], b, to)).sum(axis=1, dtype=np.int64)
+        return out
 
-def pairs_in(keys: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, low: int, high: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Possible pairs of different classes, at distances from ``low`` below ``high`` among rows with an equal key (sorted)."""
+
+def pairs_in(keys: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, low: int, high: int, least: float,
+             long: Sequence[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Possible pairs of different classes, at distances from ``low`` below ``high`` among rows with an equal key (sorted).
+
+    ``long`` has the rows' long bitmaps, where those are compared too.
+    """
     if not len(keys):
         return _none, _none
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     n = np.diff(np.append(start, len(keys)))
     left, right = [_none], [_none]
+    closer = None if long is None else LongBitmaps(long)
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         ok = possible(i, j, size, bits, least)
-        left.append(i[ok])
-        right.append(j[ok])
+        i, j = i[ok], j[ok]
+        if closer is not None and len(i):
+            ok = closer.differing(i, j) <= most_differing(i, j, size, least)
+            i, j = i[ok], j[ok]
+        left.append(i)
+        right.append(j)
 
     if high <= 64:
         end, at = np.repeat(start + n, n), np.arange(len(keys))
@@ -113,7 +163,7 @@ def pairs_in(keys: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndar
 
 
 def _candidates(keys: DataFrame, low: int, high: int, least: float) -> DataFrame:
-    """(a, b) of nodes to be verified, from rows of key, node, root, size, bits."""
+    """(a, b) of nodes to be verified, from rows of key, node, root, size, bits and, where they are compared too, long."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -129,7 +179,8 @@ def _candidates(keys: DataFrame, low: int, high: int, least: float) -> DataFrame
             done = (whole["key"] != batch["key"].iloc[-1]).to_numpy() if batch is not None else np.ones(len(whole), bool)
             rows, held = whole[done], [whole[~done]]
             bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITMAP)
-            i, j = pairs_in(rows["key"].to_numpy(), rows["root"].to_numpy(), rows["size"].to_numpy(), bits, low, high, least)
+            i, j = pairs_in(rows["key"].to_numpy(), rows["root"].to_numpy(), rows["size"].to_numpy(), bits, low, high, least,
+                            rows["long"].tolist() if "long" in rows else None)
             node = rows["node"].to_numpy()
             yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
@@ -138,18 +189,23 @@ def _candidates(keys: DataFrame, low: int, high: int, least: float) -> DataFrame
     return keys.repartition(F.xxhash64("key")).sortWithinPartitions("key", "node").mapInPandas(meet, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs whose sets are as similar as asked; only texts in a pair are taken up again."""
+def _of_nodes(docs: DataFrame, nodes: DataFrame, make: Callable[[str | None], object], kind: str) -> DataFrame:
+    """node and data, made from the text of each of ``nodes`` (a column rid); no other texts are taken up."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             release_memory()
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at:at + 256]
-                yield pd.DataFrame({"node": some["rid"], "data": [shingles(t, words).view(np.int64) for t in some["text"]]})
+                yield pd.DataFrame({"node": some["rid"], "data": [make(t) for t in some["text"]]})
 
-    named = small_side(durable(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()))
-    found = durable(docs.join(named, "rid").select("rid", "text").mapInPandas(sets, "node long, data array<long>"))
+    return durable(docs.join(small_side(durable(nodes)), "rid").select("rid", "text").mapInPandas(made, f"node long, data {kind}"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose sets are as similar as asked; only texts in a pair are taken up again."""
+    named = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    found = _of_nodes(docs, named, lambda t: shingles(t, words).view(np.int64), "array<long>")
     own = lambda c, s: found.select(F.col("node").alias(c), F.col("data").alias(s))
     both = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").select(
         "a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
@@ -206,14 +262,19 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFr
     known = asked.unionByName(mine.select("batch", F.lit(-1).alias("bucket"), F.lit(b"").alias("counts"), "nodes"))
     keys = durable(batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(keyed, "key long, place long, node long, size long, bits binary"))
     largest = keys.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    low, high, some = 1, 2, keys.filter(F.col("place") < FIRST)
+    low, high, some, longer = 1, 2, keys.filter(F.col("place") < FIRST), None
     while low < largest:
         live = some.withColumn("root", F.col("node"))
         if member is not None:
             live = some.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = live.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
-        live = live.join(mixed.filter((F.col("n") > low) & F.col("mixed")).select("key"), "key")
-        member = joined(durable(_candidates(live.select("key", "node", "root", "size", "bits"), low, high, least)), member)
+        live = live.join(mixed.filter((F.col("n") > low) & F.col("mixed")).select("key"), "key").select("key", "node", "root", "size", "bits")
+        if low > 1:
+            if longer is None:  # rows of later rounds are among those of this one
+                live = durable(live)
+                longer = _of_nodes(docs, live.select(F.col("node").alias("rid")).distinct(), lambda t: long_bitmap(shingles(t, words)), "binary")
+            live = live.join(longer.withColumnRenamed("data", "long"), "node").select("key", "node", "root", "size", "bits", "long")
+        member = joined(durable(_candidates(live, low, high, least)), member)
         if some is keys:
             low, high = high, high * REACH
         some = keys
